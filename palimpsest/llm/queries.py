@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(spark, docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.warc import archive_pages
 
@@ -31,7 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc, op8_mixing, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_warc, op8_mixing, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     # The SHA-1 of DuckDB is hexadecimal; its bytes are written in base32 five bits at a time.
