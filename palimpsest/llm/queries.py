@@ -14,6 +14,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark, docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.warc import archive_pages
 
@@ -38,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_warc, op8_mixing, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_html, op4_warc, op8_mixing, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     # The SHA-1 of DuckDB is hexadecimal; its bytes are written in base32 five bits at a time.
