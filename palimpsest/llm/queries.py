@@ -26,6 +26,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.jaccard import jaccard_components
+
+    return jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.mixing import mix
 
@@ -44,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_html, op4_warc, op8_mixing, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_html, op4_warc, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     # The SHA-1 of DuckDB is hexadecimal; its bytes are written in base32 five bits at a time.
