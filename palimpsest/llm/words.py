@@ -31,7 +31,8 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     part = np.cumsum(sizes) // TEXT_BYTES
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-        yield batch.slice(a, b - a)
+        # copied: ascii_lower of pyarrow reads past the values of a slice that does not begin at 0
+        yield batch if b - a == len(sizes) else batch.take(pa.array(range(a, b)))
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -40,7 +41,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     A null text has no words, like an empty one.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    texts = pc.ascii_lower(pc.ascii_trim_whitespace(texts))
     parts = pc.ascii_split_whitespace(texts)
     offsets, flat = parts.offsets.to_numpy(), parts.flatten()
     base = offsets[0]
