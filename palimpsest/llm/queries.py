@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.common import table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.neighbours import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.toxicity import score, train
 
@@ -50,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_html, op4_warc, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     # The SHA-1 of DuckDB is hexadecimal; its bytes are written in base32 five bits at a time.
