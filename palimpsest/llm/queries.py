@@ -32,6 +32,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.hamming import nearest
+
+    return nearest(spark, table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.jaccard import jaccard_components
 
@@ -56,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     # The SHA-1 of DuckDB is hexadecimal; its bytes are written in base32 five bits at a time.
