@@ -32,6 +32,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.tool_calls import REPLY, from_conversations, link
+
+    calls, results = from_conversations(table(spark, sf_dir, "conversations"))
+    return link(spark, calls, results, {"reply": REPLY})
+
+
 def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.hamming import nearest
 
@@ -62,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op5_tool_calls, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     # The SHA-1 of DuckDB is hexadecimal; its bytes are written in base32 five bits at a time.
@@ -75,4 +82,23 @@ ORACLE_SQL = {
           CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
         FROM b""",
+    "op5_tool_calls": """
+        WITH RECURSIVE c AS (
+          SELECT conv_id, turn, 'c' || conv_id || '_' || turn AS call_id, text,
+            CASE WHEN turn % 8 > 1 THEN 'c' || conv_id || '_' || (turn - 2) END AS after
+          FROM conversations WHERE role = 'user'),
+        r AS (SELECT conv_id, 'c' || conv_id || '_' || (turn - 1) AS call_id, arg_min(text, turn) AS content, count(*) AS n
+          FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+        lv AS (
+          SELECT conv_id, call_id, 0 AS level FROM c WHERE after IS NULL OR NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+          UNION ALL
+          SELECT c.conv_id, c.call_id, lv.level + 1 FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.after = lv.call_id)
+        SELECT c.conv_id, c.turn, c.call_id, CAST(lv.level AS INT) AS level,
+          row_number() OVER (PARTITION BY c.conv_id ORDER BY lv.level, c.turn, c.call_id) - 1 AS position,
+          coalesce(r.n, 0) AS n_results,
+          '{"arguments":{"after":' || coalesce(CAST(to_json(c.after) AS VARCHAR), 'null') || ',"text":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","conv_id":' || c.conv_id
+            || ',"name":"reply","result":' || CASE WHEN r.n IS NULL THEN 'null' ELSE '{"content":' || CAST(to_json(r.content) AS VARCHAR) || '}' END || '}' AS json,
+          c.text <> '' AS valid, CASE WHEN c.text = '' THEN '$.text: length' ELSE '' END AS errors,
+          CASE WHEN r.n IS NULL THEN 'open' ELSE 'linked' END AS status
+        FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.call_id = lv.call_id LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id""",
 }
