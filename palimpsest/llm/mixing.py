@@ -35,7 +35,7 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1,
     size, and its excess is shared again by weight until none is above."""
     order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    cap = {s: most * n for s, n in order}
+    cap = {s: float(most * n) for s, n in order}
     total, fixed = float(sum(n for _, n in order)), {}
     while True:
         free = [s for s, _ in order if s not in fixed]
@@ -205,6 +205,7 @@ def repeat_documents(spark: SparkSession, docs: DataFrame, weights: tuple[int, .
     scratch = Scratch(spark, "mixing")
     plan = plan_mix(spark, scratch.table(sized(docs), "sized"), scratch, weights)
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    d = docs.withColumn("size", F.coalesce(F.size(words), F.lit(0)).cast("long")).withColumn("text_hash", F.xxhash64("text"))
+    # whole rows travel in a struct, so that no column of theirs can clash
+    d = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.coalesce(F.size(words), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
     d = apply_copies(d, plan).filter("n_copies > 0")
-    return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*docs.columns)
+    return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select("row.*")
