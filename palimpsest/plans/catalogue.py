@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar, text
-from palimpsest.operators import hierarchy, items, maintain, match, reconcile, report, state
+from palimpsest.operators import hierarchy, items, maintain, match, reconcile, report, state, writes
 from palimpsest.sources import projections as P
 
 ME = "u0"
@@ -561,6 +561,48 @@ def lru_evict(spark, sf_dir):
     return report.evict(d, 500).drop("key")
 
 
+# --- writes --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_STATE} SELECT identity, section, key, value, 'u0' AS author, 1000000000 AS clock, true AS deleted FROM state WHERE NOT deleted AND clock % 3 = 0""")
+def removal_ops(spark, sf_dir):
+    s = _state(spark, sf_dir)
+    return writes.removals(s, s.filter("clock % 3 = 0"), ME, 1_000_000_000, 0).drop("at")
+
+
+@query(f"WITH {_STATE} SELECT identity, section, key, clock FROM state WHERE NOT (section = 'notes' AND clock % 3 = 0)")
+def hard_delete(spark, sf_dir):
+    s = _state(spark, sf_dir)
+    return writes.hard_delete(s, s.filter("section = 'notes' and clock % 3 = 0")).select("identity", "section", "key", "clock")
+
+
+@query(f"""WITH {_OPS} SELECT identity, key, arg_min(CASE section WHEN 'notes' THEN 'note' WHEN 'selections' THEN 'selection' WHEN 'selectionNotes' THEN 'selectionNote' WHEN 'transcriptions' THEN 'transcription' ELSE 'list' END, clock) AS type FROM ops WHERE section <> 'tags' GROUP BY 1, 2""")
+def uuid_registry(spark, sf_dir):
+    return writes.registry(P.ops(spark, sf_dir))
+
+
+@query(f"""WITH {_OPS}, d AS (SELECT DISTINCT identity, section, key FROM ops) SELECT identity, count_if(section = 'notes') AS note, count_if(section = 'selections') AS selection, count_if(section = 'selectionNotes') AS "selectionNote", count_if(section = 'transcriptions') AS transcription, count_if(section = 'lists') AS list FROM d WHERE section <> 'tags' GROUP BY 1""")
+def vault_recovery(spark, sf_dir):
+    return writes.known_keys(writes.registry(P.ops(spark, sf_dir)))
+
+
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_mktsegment END AS value FROM customer")
+def room_config(spark, sf_dir):
+    c = P.read(spark, sf_dir, "customer")
+    return writes.merge_config(c.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("value")), c.filter("c_custkey % 4 = 0").select(F.col("c_name").alias("name"), F.lit("new").alias("value")))
+
+
+@query("SELECT c_custkey AS room FROM customer WHERE c_custkey % 3 <> 1")
+def schema_gate(spark, sf_dir):
+    version = F.when(F.col("c_custkey") % 3 == 0, 4).when(F.col("c_custkey") % 3 == 1, 3)
+    return writes.readable(P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("room"), version.alias("schema_version"))).select("room")
+
+
+@query(f"""WITH {_REC} SELECT 'metadata.update' AS action, identity AS target, '{{"identity":"' || identity || '","key":"' || key || '"}}' AS payload FROM rec WHERE {_APPLY} = 'apply'""")
+def host_actions(spark, sf_dir):
+    return writes.actions(apply_plan_metadata(spark, sf_dir), "metadata")
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 _SUMMARY = f"WITH {_STATE}, s AS (SELECT author, 0 AS metadata, count_if(section = 'tags') AS tags, count_if(section = 'notes') AS notes, count_if(section = 'selections') AS selections, count_if(section = 'transcriptions') AS transcriptions, count_if(section = 'lists') AS lists FROM state WHERE NOT deleted AND author IS DISTINCT FROM 'u0' AND section <> 'selectionNotes' GROUP BY author)"
