@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Scratch, only, width
@@ -120,16 +120,19 @@ def _commit(fs, temporary: str, final: str) -> None:
     fs.move(temporary, final)
 
 
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, refers_to of the pages that repeat a payload of at least ``min_bytes``.
+    """page_id, digest, refers_to of the pages that repeat a payload of at least ``min_bytes``.
 
     Of equal payloads the row with the largest page_id stands; rows that repeat that page_id stand
     too. Only digests are grouped, by sums made before the shuffle.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keys = pages.filter(F.length(payload) >= min_bytes).select("page_id", F.unhex(F.sha1(payload)).alias("digest"))
+    keys = pages.filter(F.length(_payload()) >= min_bytes).select("page_id", F.sha1(_payload()).alias("digest"))
     last = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).filter("first <> refers_to").drop("first")
-    return keys.join(last, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return keys.join(last, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_monolithic(pages: DataFrame, repeats: DataFrame, folder: str) -> DataFrame:
@@ -150,7 +153,7 @@ def write_monolithic(pages: DataFrame, repeats: DataFrame, folder: str) -> DataF
         _commit(fs, temporary, final)
         yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{part:06d}.warc.gz"], "n_records": [n]})
 
-    rows = pages.join(repeats, "page_id", "left").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), "refers_to")
+    rows = pages.withColumn("payload", _payload()).withColumn("digest", F.sha1("payload")).join(repeats, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
     return rows.mapInArrow(run, "file string, n_records long")
 
 

@@ -222,7 +222,7 @@ def test_covered():
 
 
 def test_archives(spark):
-    rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\r\nX: y%0A", ""), (5, "u", "é" * 100_000), (6, "u", "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nb"), (7, "w", "seven"), (7, "w", "seven"), (None, "n", "nn")]
+    rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\r\nX: y%0A", ""), (5, "u", "é" * 100_000), (6, "u", "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nb"), (7, "w", "seven"), (7, "w", "seven"), (8, "v", "same"), (8, "v", "another"), (None, "n", "nn")]
     d = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload string")
     out = warc.archive_pages(spark, d).collect()
     assert len(out) == len(rows)
