@@ -57,4 +57,4 @@ def rollback(version: DataFrame, state: DataFrame, author: str, clock: int) -> D
     keys = ["identity", "section", "key"]
     now = state.select(*keys, F.col("value").alias("now"), F.col("deleted").alias("gone"))
     d = version.join(now, keys, "left").filter(F.col("gone").isNull() | ~F.col("value").eqNullSafe(F.col("now")) | (F.col("gone") != F.col("deleted")))
-    return d.select(*keys, F.lit(author).alias("author"), F.lit(clock).alias("clock"), "value", "deleted", F.lit(None).cast("long").alias("at"))
+    return d.select(*keys, F.lit(author).alias("author"), F.lit(clock).cast("long").alias("clock"), "value", "deleted", F.lit(None).cast("long").alias("at"))

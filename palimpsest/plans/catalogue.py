@@ -193,7 +193,7 @@ def compact(spark, sf_dir):
 
 @query(f"""WITH {_OPS}{_CUT}, win AS (SELECT identity, section, key, value, deleted FROM ops QUALIFY row_number() OVER (PARTITION BY identity, section, key ORDER BY clock DESC) = 1),
   old AS (SELECT identity, section, key, value, deleted FROM ops, cut WHERE "at" < t QUALIFY row_number() OVER (PARTITION BY identity, section, key ORDER BY clock DESC) = 1)
-  SELECT old.identity, old.section, old.key, 'u0' AS author, 1000000000 AS clock, old.value, old.deleted FROM old JOIN win USING (identity, section, key)
+  SELECT old.identity, old.section, old.key, 'u0' AS author, CAST(1000000000 AS BIGINT) AS clock, old.value, old.deleted FROM old JOIN win USING (identity, section, key)
   WHERE old.value <> win.value OR old.deleted <> win.deleted""")
 def rollback(spark, sf_dir):
     ops = P.ops(spark, sf_dir)
@@ -549,7 +549,7 @@ def id_map(spark, sf_dir):
     return d.withColumn("id", F.concat(F.lit("n_"), F.substring(F.sha2(F.concat_ws("/", "identity", "key"), 256), 1, 32)))
 
 
-@query(f"WITH {_OPS} SELECT identity, count_if(deleted) AS failures, count_if(deleted) >= 3 AS given_up FROM ops GROUP BY 1")
+@query(f"WITH {_OPS} SELECT identity, count(*) FILTER (WHERE deleted) AS failures, count(*) FILTER (WHERE deleted) >= 3 AS given_up FROM ops GROUP BY 1")
 def failed_keys(spark, sf_dir):
     return P.ops(spark, sf_dir).groupBy("identity").agg(F.count_if("deleted").alias("failures")).withColumn("given_up", F.col("failures") >= 3)
 
@@ -564,7 +564,7 @@ def lru_evict(spark, sf_dir):
 # --- writes --------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_STATE} SELECT identity, section, key, value, 'u0' AS author, 1000000000 AS clock, true AS deleted FROM state WHERE NOT deleted AND clock % 3 = 0""")
+@query(f"""WITH {_STATE} SELECT identity, section, key, value, 'u0' AS author, CAST(1000000000 AS BIGINT) AS clock, true AS deleted FROM state WHERE NOT deleted AND clock % 3 = 0""")
 def removal_ops(spark, sf_dir):
     s = _state(spark, sf_dir)
     return writes.removals(s, s.filter("clock % 3 = 0"), ME, 1_000_000_000, 0).drop("at")
@@ -581,7 +581,7 @@ def uuid_registry(spark, sf_dir):
     return writes.registry(P.ops(spark, sf_dir))
 
 
-@query(f"""WITH {_OPS}, d AS (SELECT DISTINCT identity, section, key FROM ops) SELECT identity, count_if(section = 'notes') AS note, count_if(section = 'selections') AS selection, count_if(section = 'selectionNotes') AS "selectionNote", count_if(section = 'transcriptions') AS transcription, count_if(section = 'lists') AS list FROM d WHERE section <> 'tags' GROUP BY 1""")
+@query(f"""WITH {_OPS}, d AS (SELECT DISTINCT identity, section, key FROM ops) SELECT identity, count(*) FILTER (WHERE section = 'notes') AS note, count(*) FILTER (WHERE section = 'selections') AS selection, count(*) FILTER (WHERE section = 'selectionNotes') AS "selectionNote", count(*) FILTER (WHERE section = 'transcriptions') AS transcription, count(*) FILTER (WHERE section = 'lists') AS list FROM d WHERE section <> 'tags' GROUP BY 1""")
 def vault_recovery(spark, sf_dir):
     return writes.known_keys(writes.registry(P.ops(spark, sf_dir)))
 
@@ -605,7 +605,7 @@ def host_actions(spark, sf_dir):
 
 # --- reports -------------------------------------------------------------------------------------
 
-_SUMMARY = f"WITH {_STATE}, s AS (SELECT author, 0 AS metadata, count_if(section = 'tags') AS tags, count_if(section = 'notes') AS notes, count_if(section = 'selections') AS selections, count_if(section = 'transcriptions') AS transcriptions, count_if(section = 'lists') AS lists FROM state WHERE NOT deleted AND author IS DISTINCT FROM 'u0' AND section <> 'selectionNotes' GROUP BY author)"
+_SUMMARY = f"WITH {_STATE}, s AS (SELECT author, 0 AS metadata, count(*) FILTER (WHERE section = 'tags') AS tags, count(*) FILTER (WHERE section = 'notes') AS notes, count(*) FILTER (WHERE section = 'selections') AS selections, count(*) FILTER (WHERE section = 'transcriptions') AS transcriptions, count(*) FILTER (WHERE section = 'lists') AS lists FROM state WHERE NOT deleted AND author IS DISTINCT FROM 'u0' AND section <> 'selectionNotes' GROUP BY author)"
 
 
 @query(_SUMMARY + " SELECT * REPLACE (CAST(metadata AS BIGINT) AS metadata) FROM s")
@@ -624,7 +624,7 @@ def contributors(spark, sf_dir):
     return report.contributors(_state(spark, sf_dir), ME)
 
 
-_FLOOD = "flood AS (SELECT identity, count(*) AS total, count_if(deleted) AS gone, count_if(deleted) / count(*) AS ratio FROM state WHERE author IS DISTINCT FROM 'u0' GROUP BY 1)"
+_FLOOD = "flood AS (SELECT identity, count(*) AS total, count(*) FILTER (WHERE deleted) AS gone, count(*) FILTER (WHERE deleted) / count(*) AS ratio FROM state WHERE author IS DISTINCT FROM 'u0' GROUP BY 1)"
 
 
 @query(f"WITH {_STATE}, {_FLOOD} SELECT *, total >= 5 AND ratio > 0.2 AS flood FROM flood")
@@ -632,7 +632,7 @@ def tombstone_flood(spark, sf_dir):
     return report.tombstone_flood(_state(spark, sf_dir), ME, 5, 0.2)
 
 
-@query(f"""WITH {_STATE}, {_FLOOD}, {_NOTES}, v AS (SELECT 'item' || (doc_id % 50) AS identity, count(*) AS n_entries, count_if(strlen(text) > 20000) AS n_oversize FROM notes GROUP BY 1)
+@query(f"""WITH {_STATE}, {_FLOOD}, {_NOTES}, v AS (SELECT 'item' || (doc_id % 50) AS identity, count(*) AS n_entries, count(*) FILTER (WHERE strlen(text) > 20000) AS n_oversize FROM notes GROUP BY 1)
   SELECT v.*, coalesce(total >= 5 AND ratio > 0.2, false) AS flood, n_oversize = 0 AND NOT coalesce(total >= 5 AND ratio > 0.2, false) AS valid FROM v LEFT JOIN flood USING (identity)""")
 def validate_inbound(spark, sf_dir):
     sizes = P.notes(spark, sf_dir).select(F.concat(F.lit("item"), F.col("doc_id") % 50).alias("identity"), F.octet_length("text").alias("size"))
@@ -646,14 +646,14 @@ def _rooms(spark, sf_dir):
     return P.read(spark, sf_dir, "events").select(F.concat(F.lit("room"), F.col("user_id") % 20).alias("room"), F.col("user_id").alias("client"), F.col("event_type").alias("kind"), P.millis("ts").alias("at"), F.col("event_id").alias("seq"))
 
 
-@query(f"""WITH {_ROOMS} SELECT room, count(DISTINCT client) AS clients, count_if(kind = 'view') AS total_syncs, min("at") AS created, max("at") AS last_activity FROM rooms GROUP BY 1""")
+@query(f"""WITH {_ROOMS} SELECT room, count(DISTINCT client) AS clients, count(*) FILTER (WHERE kind = 'view') AS total_syncs, min("at") AS created, max("at") AS last_activity FROM rooms GROUP BY 1""")
 def room_stats(spark, sf_dir):
     return report.room_stats(_rooms(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "view", "sync").otherwise(F.col("kind"))))
 
 
 @query(f"""WITH {_ROOMS} SELECT room, client, kind, seq, row_number() OVER (PARTITION BY room ORDER BY "at" DESC, seq DESC) AS rank FROM rooms QUALIFY rank <= 200""")
 def room_activity(spark, sf_dir):
-    return report.room_activity(_rooms(spark, sf_dir)).drop("at")
+    return report.room_activity(_rooms(spark, sf_dir)).drop("at").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {_ROOMS} SELECT client AS ip, count(*) AS connections, count(*) > 10 AS limited FROM rooms GROUP BY 1""")
@@ -661,7 +661,7 @@ def conn_stats(spark, sf_dir):
     return _rooms(spark, sf_dir).groupBy(F.col("client").alias("ip")).agg(F.count("*").alias("connections")).withColumn("limited", F.col("connections") > 10)
 
 
-@query(f"WITH {_STATE} SELECT count(DISTINCT identity) AS identities, count(DISTINCT author) AS peers, count(*) AS entries, count_if(deleted) AS tombstones FROM state")
+@query(f"WITH {_STATE} SELECT count(DISTINCT identity) AS identities, count(DISTINCT author) AS peers, count(*) AS entries, count(*) FILTER (WHERE deleted) AS tombstones FROM state")
 def status(spark, sf_dir):
     return _state(spark, sf_dir).agg(F.countDistinct("identity").alias("identities"), F.countDistinct("author").alias("peers"), F.count("*").alias("entries"), F.count_if("deleted").alias("tombstones"))
 
