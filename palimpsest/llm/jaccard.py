@@ -35,7 +35,8 @@ from palimpsest.llm.words import mix, shingle_sets, slices
 SHINGLE, PERCENT = 5, 80
 ORDERS = (1, 2, 3)
 SKETCH_BITS, SLICES = 20, 64
-OUTLIERS, MEMBERS = 128, 512
+#: Tokens of the outliers and of the members of a block, on average, and matches looked at together.
+OUTLIERS, MEMBERS, MATCHES = 100_000, 400_000, 1_000_000
 
 
 def allowance(n, percent: int = PERCENT):
@@ -195,8 +196,13 @@ class _Index:
         low, high = np.searchsorted(self.token, s, "left"), np.searchsorted(self.token, s, "right")
         n = high - low
         ends = np.cumsum(n)
-        at = np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.bincount(self.owner[at], minlength=self.n)
+        out = np.zeros(self.n, np.int64)
+        cuts = np.searchsorted(ends, np.arange(MATCHES, ends[-1], MATCHES)).tolist() if len(ends) and ends[-1] > MATCHES else []
+        for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True):
+            m, stops = n[a:b], np.cumsum(n[a:b])
+            at = np.repeat(low[a:b] - (stops - m), m) + np.arange(stops[-1] if len(stops) else 0)
+            out += np.bincount(self.owner[at], minlength=self.n)
+        return out
 
 
 def compare_block(outliers: list[tuple[int, np.ndarray]], members: list[tuple[int, np.ndarray]], cells: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -237,12 +243,12 @@ def compare_block(outliers: list[tuple[int, np.ndarray]], members: list[tuple[in
 
 
 def _compare(groups: DataFrame, sets: DataFrame, cells, percent: int) -> DataFrame:
-    """Links between the outliers of groups (g, class, outlier) and everything of the same group.
+    """Links between the outliers of groups (g, class, n, outlier) and everything of the same group.
 
     Outliers and members are cut into blocks by hash, and every pair of blocks is a task's group.
     """
-    sizes = groups.groupBy("g").agg(F.ceil(F.sum(F.col("outlier").cast("long")) / OUTLIERS).alias("n_out"), F.ceil(F.count(F.lit(1)) / MEMBERS).alias("n_in"))
-    d = groups.join(sizes, "g")
+    sizes = groups.groupBy("g").agg(F.ceil(F.sum(F.when(F.col("outlier"), F.col("n")).otherwise(0)) / OUTLIERS).alias("n_out"), F.ceil(F.sum("n") / MEMBERS).alias("n_in"))
+    d = groups.drop("n").join(sizes, "g")
     block_in, block_out = F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_in")), F.pmod(F.xxhash64("class", F.lit(2)), F.col("n_out"))
     as_member = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1), lambda o: F.struct(o.alias("o"), block_in.alias("i"), F.lit(False).alias("out")))
     as_outlier = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_in") - 1), lambda i: F.struct(block_out.alias("o"), i.alias("i"), F.lit(True).alias("out")))
@@ -286,14 +292,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = SHIN
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "class")).alias("first")).filter("k > 1")
     lists = scratch.table(lists.select("token", F.col("first.class").alias("hub"), F.col("first.n").alias("hub_n")), "lists")
     members = scratch.table(postings.join(lists, "token").select("token", "class", "n", "hub", "hub_n"), "members")
-    stars = members.filter(f"class <> hub and 100 * hub_n >= {percent} * n").select(F.col("hub").alias("g"), "class").distinct()
-    stars = scratch.table(stars.withColumn("outlier", F.lit(False)).union(stars.select("g", F.col("g").alias("class"), F.lit(True)).distinct()), "stars")
+    stars = members.filter(f"class <> hub and 100 * hub_n >= {percent} * n").select(F.col("hub").alias("g"), "class", "n", "hub_n").distinct()
+    stars = scratch.table(stars.drop("hub_n").withColumn("outlier", F.lit(False)).union(stars.select("g", F.col("g").alias("class"), "hub_n", F.lit(True)).distinct()), "stars")
     links = scratch.table(_compare(stars, sets, cells, percent), "links")
     parts = connected_components(links, scratch)
     parts_of = lambda d, at, to: d.join(parts.select(F.col("node").alias(at), F.col("component").alias(f"{to}_")), at, "left").withColumn(to, F.coalesce(f"{to}_", at)).drop(f"{to}_")
     placed = scratch.table(parts_of(parts_of(members, "class", "part"), "hub", "g"), "placed")
     split = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
-    groups = placed.join(split, "token").select("g", "class", (F.col("part") != F.col("g")).alias("outlier")).distinct()
+    groups = placed.join(split, "token").select("g", "class", "n", (F.col("part") != F.col("g")).alias("outlier")).distinct()
     more = scratch.table(_compare(scratch.table(groups, "groups"), sets, cells, percent), "more")
     parts = connected_components(links.union(more), scratch)
     nodes = meta.filter("n > 0").join(parts, meta["class"] == parts["node"], "left").select("doc_id", "class", F.coalesce("component", "class").alias("root"))
