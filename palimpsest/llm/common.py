@@ -63,3 +63,34 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+SLOTS, SLOT_BITS = 512, 32768
+
+
+def _flagged(df: DataFrame, key: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    h = lambda: F.xxhash64(key, F.lit("bitmap"))
+    slot, bit = F.pmod(h(), F.lit(SLOTS)), F.pmod(F.shiftrightunsigned(h(), 20), F.lit(SLOT_BITS))
+    maps = wanted.select(slot.alias("slot_"), bit.alias("bit_")).groupBy("slot_").agg(F.bitmap_construct_agg("bit_").alias("map_"))
+    maps = scratch.table(maps, "bitmap")
+    d = df.withColumn("slot_", slot).withColumn("bit_", bit).join(F.broadcast(maps), "slot_", "left")
+    byte = F.conv(F.hex(F.substring(F.col("map_"), F.floor(F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.expr("shiftright(byte_, cast(bit_ % 8 as int)) & 1 = 1")
+    return d.withColumn("byte_", byte).select(*df.columns, F.coalesce(there, F.lit(False)).alias("maybe_"))
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in the column of the same name of ``wanted``, and few others.
+
+    A bitmap of hashed keys stands for ``wanted``. It has ``SLOTS`` * ``SLOT_BITS`` bits, 2 MB, whatever
+    the data, so it can be broadcast and ``df`` is not shuffled; with very many keys it only passes more.
+    """
+    return _flagged(df, key, wanted, scratch).filter("maybe_").drop("maybe_")
+
+
+def not_in(df: DataFrame, key: str, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``gone``. Only rows that the bitmap cannot tell meet
+    ``gone`` in a join."""
+    d = _flagged(df, key, gone, scratch)
+    sure = d.filter(~F.col("maybe_")).drop("maybe_")
+    return sure.unionByName(d.filter("maybe_").drop("maybe_").join(gone, key, "left_anti").select(*df.columns))

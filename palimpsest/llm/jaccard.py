@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, only, width
+from palimpsest.llm.common import Scratch, maybe_in, not_in, only, width
 from palimpsest.llm.graph import connected_components
 from palimpsest.llm.words import mix, shingle_sets, slices
 
@@ -36,7 +36,7 @@ SHINGLE, PERCENT = 5, 80
 ORDERS = (1, 2, 3)
 SKETCH_BITS, SLICES = 20, 64
 #: Tokens of the outliers and of the members of a block, on average, and matches looked at together.
-OUTLIERS, MEMBERS, MATCHES = 100_000, 400_000, 1_000_000
+OUTLIERS, MEMBERS, MATCHES = 800_000, 1_600_000, 1_000_000
 
 
 def allowance(n, percent: int = PERCENT):
@@ -120,17 +120,31 @@ def _count(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("bucket").applyInArrow(reduce, "doc_id long, n long, class long, need long, shared long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """class, n, tokens (sorted, packed) of one document for each wanted class (class, doc_id)."""
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, class, n, tokens (sorted, packed) of documents that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                sets, want = shingle_sets(b.column("text"), shingle), b.column("class").to_pylist()
-                got = [(c, len(s), s.tobytes()) for s, c in zip(sets, want, strict=True) if _class(s) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["class", "n", "tokens"])
+                got = [(i, _class(s), len(s), s.tobytes()) for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), shingle), strict=True) if len(s)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=["doc_id", "class", "n", "tokens"])
 
-    return docs.join(wanted, "doc_id").select("class", "text").mapInArrow(run, "class long, n long, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, class long, n long, tokens binary")
+
+
+def _one_each(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of each class. Sets travel only where a document repeats with an equal text."""
+    names = sets.select("class", "doc_id")
+    twice = names.groupBy("class").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("other"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    twice = scratch.table(twice, "twice")
+    if twice.isEmpty():
+        return sets
+    gone = names.join(twice, "class").filter("doc_id <> keep").select("class", "doc_id").distinct()
+    sets = sets.join(scratch.table(gone, "gone"), ["class", "doc_id"], "left_anti")
+    if twice.join(names.groupBy("class", "doc_id").count().filter("count > 1"), "class").isEmpty():
+        return sets
+    return sets.groupBy("class").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
 def _sketch(spark: SparkSession, sets: DataFrame, bits: int) -> np.ndarray:
@@ -242,7 +256,7 @@ def compare_block(outliers: list[tuple[int, np.ndarray]], members: list[tuple[in
     return out
 
 
-def _compare(groups: DataFrame, sets: DataFrame, cells, percent: int) -> DataFrame:
+def _compare(groups: DataFrame, sets: DataFrame, cells, percent: int, scratch: Scratch) -> DataFrame:
     """Links between the outliers of groups (g, class, n, outlier) and everything of the same group.
 
     Outliers and members are cut into blocks by hash, and every pair of blocks is a task's group.
@@ -250,16 +264,20 @@ def _compare(groups: DataFrame, sets: DataFrame, cells, percent: int) -> DataFra
     sizes = groups.groupBy("g").agg(F.ceil(F.sum(F.when(F.col("outlier"), F.col("n")).otherwise(0)) / OUTLIERS).alias("n_out"), F.ceil(F.sum("n") / MEMBERS).alias("n_in"))
     d = groups.drop("n").join(sizes, "g")
     block_in, block_out = F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_in")), F.pmod(F.xxhash64("class", F.lit(2)), F.col("n_out"))
-    as_member = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1), lambda o: F.struct(o.alias("o"), block_in.alias("i"), F.lit(False).alias("out")))
-    as_outlier = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_in") - 1), lambda i: F.struct(block_out.alias("o"), i.alias("i"), F.lit(True).alias("out")))
+    place = lambda o, i, out, member: F.struct(o.alias("o"), i.alias("i"), out.alias("out"), member.alias("member"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_member = F.transform(upto("n_out"), lambda o: place(o, block_in, F.col("outlier") & (o == block_out), F.lit(True)))
+    as_outlier = F.transform(F.filter(upto("n_in"), lambda i: i != block_in), lambda i: place(block_out, i, F.lit(True), F.lit(False)))
     every = F.when(F.col("outlier"), F.concat(as_member, as_outlier)).otherwise(as_member)
     d = d.filter("n_out > 0").select("g", "class", F.explode(every).alias("at")).select("g", "class", "at.*")
-    d = d.join(sets.select("class", "tokens"), "class")
+    d = d.join(maybe_in(sets.select("class", "tokens"), "class", groups, scratch), "class")
 
     def run(t: pa.Table) -> pa.Table:
         out, members = [], []
-        for name, is_out, tokens in zip(t["class"].to_pylist(), t["out"].to_pylist(), t["tokens"].to_pylist(), strict=True):
-            (out if is_out else members).append((name, np.frombuffer(tokens, np.uint64)))
+        for name, is_out, is_member, tokens in zip(*(t[c].to_pylist() for c in ("class", "out", "member", "tokens")), strict=True):
+            one = (name, np.frombuffer(tokens, np.uint64))
+            out += [one] * is_out
+            members += [one] * is_member
         found = compare_block(sorted(out, key=lambda x: x[0]), sorted(members, key=lambda x: x[0]), cells.value, percent)
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -284,9 +302,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = SHIN
     enough = counted.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("doc_id")
     wanted = meta.filter("n > 0").join(enough, "doc_id").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = scratch.table(wanted, "wanted")
-    sets = scratch.table(_sets(known, wanted, shingle), "sets")
-    if sets.groupBy("class").count().filter("count > 1").limit(1).count():  # repeated rows
-        sets = scratch.table(sets.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    sets = scratch.table(_sets(maybe_in(known, "doc_id", wanted, scratch), shingle), "sets")
+    sets = _one_each(sets, scratch).select("class", "n", "tokens")
     cells = spark.sparkContext.broadcast(_sketch(spark, sets, SKETCH_BITS))
     postings = scratch.table(_postings(sets, cells, percent), "postings")
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "class")).alias("first")).filter("k > 1")
@@ -294,13 +311,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = SHIN
     members = scratch.table(postings.join(lists, "token").select("token", "class", "n", "hub", "hub_n"), "members")
     stars = members.filter(f"class <> hub and 100 * hub_n >= {percent} * n").select(F.col("hub").alias("g"), "class", "n", "hub_n").distinct()
     stars = scratch.table(stars.drop("hub_n").withColumn("outlier", F.lit(False)).union(stars.select("g", F.col("g").alias("class"), "hub_n", F.lit(True)).distinct()), "stars")
-    links = scratch.table(_compare(stars, sets, cells, percent), "links")
+    links = scratch.table(_compare(stars, sets, cells, percent, scratch), "links")
     parts = connected_components(links, scratch)
     parts_of = lambda d, at, to: d.join(parts.select(F.col("node").alias(at), F.col("component").alias(f"{to}_")), at, "left").withColumn(to, F.coalesce(f"{to}_", at)).drop(f"{to}_")
     placed = scratch.table(parts_of(parts_of(members, "class", "part"), "hub", "g"), "placed")
     split = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
     groups = placed.join(split, "token").select("g", "class", "n", (F.col("part") != F.col("g")).alias("outlier")).distinct()
-    more = scratch.table(_compare(scratch.table(groups, "groups"), sets, cells, percent), "more")
+    more = scratch.table(_compare(scratch.table(groups, "groups"), sets, cells, percent, scratch), "more")
     parts = connected_components(links.union(more), scratch)
     nodes = meta.filter("n > 0").join(parts, meta["class"] == parts["node"], "left").select("doc_id", "class", F.coalesce("component", "class").alias("root"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("root", "least")
@@ -324,4 +341,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, perce
     scratch = Scratch(spark, "keep")
     found = jaccard_components(spark, docs, shingle, percent)
     gone = scratch.table(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return not_in(docs, "doc_id", gone, scratch)
