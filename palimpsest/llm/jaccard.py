@@ -284,6 +284,43 @@ def _compare(groups: DataFrame, sets: DataFrame, cells, percent: int, scratch: S
     return d.groupBy("g", "o", "i").applyInArrow(run, "a long, b long")
 
 
+def _members(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """list, class, n, hub, hub_n: the members of posting lists of two or more, and the smallest of each.
+
+    Tokens with the same members are one list, told by two xors of hashes of the members: copies share
+    most of their tokens.
+    """
+    marks = [F.bit_xor(F.xxhash64("class", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "class")).alias("first"), *marks).filter("k > 1")
+    lists = lists.groupBy("k", "first", "x1", "x2").agg(F.min("token").alias("token"))
+    lists = scratch.table(lists.select("token", F.col("first.class").alias("hub"), F.col("first.n").alias("hub_n")), "lists")
+    found = maybe_in(postings, "token", lists, scratch).join(lists, "token")
+    return scratch.table(found.select(F.col("token").alias("list"), "class", "n", "hub", "hub_n"), "members")
+
+
+def _open_groups(members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """g, class, n, outlier: what is still to be compared once the components ``parts`` are known.
+
+    Only lists with several components have open pairs. Components that such lists bring together form
+    one group, in which all but the largest component are outliers; every class is in one group. Where
+    that would be larger than a block, the lists are grouped by the component of their hub instead, and
+    its outliers are those outside of that component.
+    """
+    part_of = lambda d, at, to: d.join(parts.select(F.col("node").alias(at), F.col("component").alias("c_")), at, "left").withColumn(to, F.coalesce("c_", at)).drop("c_")
+    placed = scratch.table(part_of(part_of(members.select("list", "class", "n", "hub"), "class", "part"), "hub", "hub_part"), "placed")
+    split = placed.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("list")
+    placed = scratch.table(placed.join(split, "list").select("hub_part", "part", "class", "n").distinct(), "split")
+    together = connected_components(placed.select(F.col("hub_part").alias("a"), F.col("part").alias("b")).distinct(), scratch)
+    one = placed.select("part", "class", "n").distinct().join(together.withColumnRenamed("node", "part"), "part")
+    sizes = one.groupBy("component", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens"))
+    sizes = scratch.table(sizes.groupBy("component").agg(F.max(F.struct("k", "part")).getField("part").alias("largest"), F.sum("tokens").alias("tokens")), "sizes")
+    small = one.join(sizes.filter(F.col("tokens") <= MEMBERS), "component").select(F.col("component").alias("g"), "class", "n", (F.col("part") != F.col("largest")).alias("outlier"))
+    large = sizes.filter(F.col("tokens") > MEMBERS).select("component").join(together, "component").select(F.col("node").alias("part"))
+    large = placed.join(large, "part").select(F.col("hub_part").alias("g"), "class", "n", (F.col("part") != F.col("hub_part")).alias("outlier")).distinct()
+    # a group of either kind may bear the same number; the kinds must not mix
+    return scratch.table(small.withColumn("kind", F.lit(0)).unionByName(large.withColumn("kind", F.lit(1))).withColumn("g", F.xxhash64("g", "kind")).drop("kind"), "groups")
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -306,18 +343,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = SHIN
     sets = _one_each(sets, scratch).select("class", "n", "tokens")
     cells = spark.sparkContext.broadcast(_sketch(spark, sets, SKETCH_BITS))
     postings = scratch.table(_postings(sets, cells, percent), "postings")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "class")).alias("first")).filter("k > 1")
-    lists = scratch.table(lists.select("token", F.col("first.class").alias("hub"), F.col("first.n").alias("hub_n")), "lists")
-    members = scratch.table(postings.join(lists, "token").select("token", "class", "n", "hub", "hub_n"), "members")
+    members = _members(postings, scratch)
     stars = members.filter(f"class <> hub and 100 * hub_n >= {percent} * n").select(F.col("hub").alias("g"), "class", "n", "hub_n").distinct()
     stars = scratch.table(stars.drop("hub_n").withColumn("outlier", F.lit(False)).union(stars.select("g", F.col("g").alias("class"), "hub_n", F.lit(True)).distinct()), "stars")
     links = scratch.table(_compare(stars, sets, cells, percent, scratch), "links")
-    parts = connected_components(links, scratch)
-    parts_of = lambda d, at, to: d.join(parts.select(F.col("node").alias(at), F.col("component").alias(f"{to}_")), at, "left").withColumn(to, F.coalesce(f"{to}_", at)).drop(f"{to}_")
-    placed = scratch.table(parts_of(parts_of(members, "class", "part"), "hub", "g"), "placed")
-    split = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
-    groups = placed.join(split, "token").select("g", "class", "n", (F.col("part") != F.col("g")).alias("outlier")).distinct()
-    more = scratch.table(_compare(scratch.table(groups, "groups"), sets, cells, percent, scratch), "more")
+    groups = _open_groups(members, connected_components(links, scratch), scratch)
+    more = scratch.table(_compare(groups, sets, cells, percent, scratch), "more")
     parts = connected_components(links.union(more), scratch)
     nodes = meta.filter("n > 0").join(parts, meta["class"] == parts["node"], "left").select("doc_id", "class", F.coalesce("component", "class").alias("root"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("root", "least")
