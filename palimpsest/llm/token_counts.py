@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe
-from palimpsest.llm.common import only
+from palimpsest.llm.common import Scratch, only
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -72,7 +72,9 @@ def answers(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return answers(length_histogram(encoded_lengths(docs, vocabulary)))
+    """``answers`` for all of ``docs``. The histogram is written first, so texts are encoded once."""
+    histogram = length_histogram(encoded_lengths(docs, vocabulary))
+    return answers(Scratch(docs.sparkSession, "lengths").table(histogram, "histogram"))
 
 
 def quantile(histogram: DataFrame, q: float) -> int | None:
