@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.session import importable
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -58,6 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns with the types the operator works with, so that columns that the
     caller added cannot clash with the operator's own."""
+    importable(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
@@ -65,6 +68,15 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of up to five numbers, 20 MB, that may be broadcast.
+SMALL_ROWS = 500_000
+
+
+def small(written: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of numbers, to be broadcast if its counted rows are few; else Spark shuffles."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 SLOTS, SLOT_BITS = 512, 32768
 
 

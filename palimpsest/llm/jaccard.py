@@ -28,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, maybe_in, not_in, only, width
+from palimpsest.llm.common import Scratch, maybe_in, not_in, only, small, width
 from palimpsest.llm.graph import connected_components
-from palimpsest.llm.words import mix, shingle_sets, slices
+from palimpsest.llm.words import give_back, mix, shingle_sets, slices
 
 SHINGLE, PERCENT = 5, 80
 ORDERS = (1, 2, 3)
 SKETCH_BITS, SLICES = 20, 64
 #: Tokens of the outliers and of the members of a block, on average, and matches looked at together.
-OUTLIERS, MEMBERS, MATCHES = 800_000, 1_600_000, 1_000_000
+OUTLIERS, MEMBERS, MATCHES = 400_000, 800_000, 500_000
 
 
 def allowance(n, percent: int = PERCENT):
@@ -113,6 +113,7 @@ def _count(scanned: DataFrame) -> DataFrame:
         doc, n = np.unique(docs[hit], return_counts=True)
         metas = [np.frombuffer(x, np.int64).reshape(5, -1) for x in t["meta"].to_pylist() if x]
         meta = np.concatenate(metas, axis=1) if metas else np.zeros((5, 0), np.int64)
+        give_back()
         none = pa.nulls(len(doc), pa.int64())
         cols = [pa.chunked_array([pa.array(meta[i]), none]) for i in (1, 2, 3)]
         return pa.table([pa.array(np.concatenate([meta[0], doc])), *cols, pa.array(np.concatenate([meta[4], n]))], names=["doc_id", "n", "class", "need", "shared"])
@@ -270,7 +271,7 @@ def _compare(groups: DataFrame, sets: DataFrame, cells, percent: int, scratch: S
     as_outlier = F.transform(F.filter(upto("n_in"), lambda i: i != block_in), lambda i: place(block_out, i, F.lit(True), F.lit(False)))
     every = F.when(F.col("outlier"), F.concat(as_member, as_outlier)).otherwise(as_member)
     d = d.filter("n_out > 0").select("g", "class", F.explode(every).alias("at")).select("g", "class", "at.*")
-    d = d.join(maybe_in(sets.select("class", "tokens"), "class", groups, scratch), "class")
+    d = small(scratch.table(d, "placed")).join(maybe_in(sets.select("class", "tokens"), "class", groups, scratch), "class")
 
     def run(t: pa.Table) -> pa.Table:
         out, members = [], []
@@ -279,6 +280,8 @@ def _compare(groups: DataFrame, sets: DataFrame, cells, percent: int, scratch: S
             out += [one] * is_out
             members += [one] * is_member
         found = compare_block(sorted(out, key=lambda x: x[0]), sorted(members, key=lambda x: x[0]), cells.value, percent)
+        if sum(len(s) for _, s in members) > MEMBERS // 4:
+            give_back()
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return d.groupBy("g", "o", "i").applyInArrow(run, "a long, b long")
@@ -301,24 +304,25 @@ def _members(postings: DataFrame, scratch: Scratch) -> DataFrame:
 def _open_groups(members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
     """g, class, n, outlier: what is still to be compared once the components ``parts`` are known.
 
-    Only lists with several components have open pairs. Components that such lists bring together form
-    one group, in which all but the largest component are outliers; every class is in one group. Where
-    that would be larger than a block, the lists are grouped by the component of their hub instead, and
-    its outliers are those outside of that component.
+    The stars settled every pair of a list with its hub. A list is open only if its other members are
+    in several components. Components that such lists bring together form one group, in which all but the
+    largest component are outliers; every class is in one group. Where that would be larger than a
+    block, lists are grouped by their smallest component instead, and its outliers are those outside.
     """
-    part_of = lambda d, at, to: d.join(parts.select(F.col("node").alias(at), F.col("component").alias("c_")), at, "left").withColumn(to, F.coalesce("c_", at)).drop("c_")
-    placed = scratch.table(part_of(part_of(members.select("list", "class", "n", "hub"), "class", "part"), "hub", "hub_part"), "placed")
-    split = placed.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("list")
-    placed = scratch.table(placed.join(split, "list").select("hub_part", "part", "class", "n").distinct(), "split")
-    together = connected_components(placed.select(F.col("hub_part").alias("a"), F.col("part").alias("b")).distinct(), scratch)
-    one = placed.select("part", "class", "n").distinct().join(together.withColumnRenamed("node", "part"), "part")
+    other = members.filter("class <> hub").select("list", "class", "n")
+    placed = other.join(small(parts).withColumnRenamed("node", "class"), "class", "left").select("list", "class", "n", F.coalesce("component", "class").alias("part"))
+    placed = scratch.table(placed, "placed")
+    split = placed.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("list", "low")
+    placed = scratch.table(placed.join(split, "list").select("low", "part", "class", "n").distinct(), "split")
+    together = connected_components(placed.select(F.col("low").alias("a"), F.col("part").alias("b")).distinct(), scratch)
+    one = placed.select("part", "class", "n").distinct().join(small(together).withColumnRenamed("node", "part"), "part")
     sizes = one.groupBy("component", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens"))
     sizes = scratch.table(sizes.groupBy("component").agg(F.max(F.struct("k", "part")).getField("part").alias("largest"), F.sum("tokens").alias("tokens")), "sizes")
-    small = one.join(sizes.filter(F.col("tokens") <= MEMBERS), "component").select(F.col("component").alias("g"), "class", "n", (F.col("part") != F.col("largest")).alias("outlier"))
+    whole = one.join(sizes.filter(F.col("tokens") <= MEMBERS), "component").select(F.col("component").alias("g"), "class", "n", (F.col("part") != F.col("largest")).alias("outlier"))
     large = sizes.filter(F.col("tokens") > MEMBERS).select("component").join(together, "component").select(F.col("node").alias("part"))
-    large = placed.join(large, "part").select(F.col("hub_part").alias("g"), "class", "n", (F.col("part") != F.col("hub_part")).alias("outlier")).distinct()
+    large = placed.join(large, "part").select(F.col("low").alias("g"), "class", "n", (F.col("part") != F.col("low")).alias("outlier")).distinct()
     # a group of either kind may bear the same number; the kinds must not mix
-    return scratch.table(small.withColumn("kind", F.lit(0)).unionByName(large.withColumn("kind", F.lit(1))).withColumn("g", F.xxhash64("g", "kind")).drop("kind"), "groups")
+    return scratch.table(whole.withColumn("kind", F.lit(0)).unionByName(large.withColumn("kind", F.lit(1))).withColumn("g", F.xxhash64("g", "kind")).drop("kind"), "groups")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -350,9 +354,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = SHIN
     groups = _open_groups(members, connected_components(links, scratch), scratch)
     more = scratch.table(_compare(groups, sets, cells, percent, scratch), "more")
     parts = connected_components(links.union(more), scratch)
-    nodes = meta.filter("n > 0").join(parts, meta["class"] == parts["node"], "left").select("doc_id", "class", F.coalesce("component", "class").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("root", "least")
-    found = nodes.join(least, "root").select("class", "least").distinct()
+    classes = meta.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    classes = classes.join(small(parts).withColumnRenamed("node", "class"), "class", "left").select("class", "low", "high", F.coalesce("component", "class").alias("root"))
+    least = classes.groupBy("root").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least <> most").select("root", "least")
+    found = classes.join(least, "root").select("class", "least")
     out = meta.join(found, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least")), F.col("doc_id")).alias("component_id"))
     return out.unionByName(_nameless(docs, shingle))
 

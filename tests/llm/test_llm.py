@@ -52,14 +52,15 @@ def union_find(nodes, links):
 # --- shared ---------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, one_task):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(300, i) for i in range(301, 340)] + [(400 + i, 401 + i) for i in range(40)]
     d = spark.createDataFrame(edges, "a long, b long")
     find = union_find({x for e in edges for x in e}, edges)
-    got = {r.node: r.component for r in connected_components(d, Scratch(spark, "t")).collect()}
+    got = {r.node: r.component for r in connected_components(d, Scratch(spark, "t"), one_task).collect()}
     assert got == {x: find(x) for e in edges for x in e}
-    assert connected_components(d.limit(0), Scratch(spark, "t")).count() == 0
+    assert connected_components(d.limit(0), Scratch(spark, "t"), one_task).count() == 0
 
 
 def test_bitmap(spark):
