@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import only
-from palimpsest.llm.words import mix, slices, words
+from palimpsest.llm.words import give_back, mix, slices, words
 
 #: The model is fitted on at most so many labelled rows of each label, chosen by a hash of doc_id.
 FIT_ROWS = 4000
@@ -169,8 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     got.sort(key=lambda r: (r["doc_id"], r["feature"]))
     y = np.array([r["toxic"] for r in got], int)
     weight = {k: n / max(1, min(n, rows)) for k, n in total.items()}
-    bags = [(np.frombuffer(r["sentence"], "<i4").astype(int), np.frombuffer(r["feature"], "<i4").astype(int).reshape(-1, 3)) for r in got]
-    return fit(bags, y, np.array([weight[k] for k in y.tolist()], float))
+    bags = [(np.frombuffer(r["sentence"], "<i4"), np.frombuffer(r["feature"], "<i4").reshape(-1, 3)) for r in got]
+    model = fit(bags, y, np.array([weight[k] for k in y.tolist()], float))
+    del got, bags
+    give_back()  # the driver lives on
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
