@@ -44,6 +44,22 @@ def allowance(n, percent: int = PERCENT):
     return n * (100 - percent) // 100
 
 
+def first_tokens(n):
+    """How many of a set's ``n`` tokens the first pass looks at, in the hashed order."""
+    return np.minimum(n, n // 4 + 2)
+
+
+def needed(n, percent: int = PERCENT):
+    """How many of the first tokens of a set of ``n`` are among those of any set that it links with.
+
+    The first tokens of A hold the first ``first_tokens(|A|) - |A - B|`` common ones at least, those of B
+    the first ``first_tokens(|B|) - |B - A|``. The one is least if B is the smallest subset of A that
+    links, the other if B is the largest superset; 0 or less asks for nothing.
+    """
+    more = n * (100 - percent) // percent
+    return np.minimum(first_tokens(n) - allowance(n, percent), first_tokens(n + more) - more)
+
+
 def linked(both, a, b, percent: int = PERCENT):
     return 100 * both >= percent * (a + b - both)
 
@@ -67,8 +83,7 @@ def _scan(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFram
                 classes = np.array([_class(s) for s in sets], np.int64)
                 _, first = np.unique(classes, return_index=True)
                 first = first[sizes[first] > 0]
-                lack = allowance(sizes, percent)
-                take = np.minimum(sizes, sizes // 4 + 2)
+                take = first_tokens(sizes)
                 tokens = [np.zeros(0, np.uint64)]
                 for i in first.tolist():
                     h = mix(sets[i], 99)
@@ -90,7 +105,7 @@ def _scan(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFram
                 at, token, doc = at[order], token[order], doc[order]
                 cuts = np.flatnonzero(np.diff(at, prepend=-1)).tolist() + [len(at)]
                 rows = [(int(at[x]), token[x:y].tobytes(), doc[x:y].tobytes(), None) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                meta = np.stack([ids, sizes, classes, take - lack, [same.get(c, 0) for c in classes.tolist()]]).astype(np.int64)
+                meta = np.stack([ids, sizes, classes, needed(sizes, percent), [same.get(c, 0) for c in classes.tolist()]]).astype(np.int64)
                 rows.append((int(abs(classes[0]) % buckets), None, None, meta.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "tokens", "docs", "meta"])
 

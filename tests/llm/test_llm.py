@@ -325,6 +325,29 @@ def test_prefixes_meet(a, b, order):
         assert set(jaccard.prefix(x, cells, order).tolist()) & set(jaccard.prefix(y, cells, order).tolist())
 
 
+def test_needed():
+    for percent in (50, 80, 90):
+        for n in range(1, 81):
+            least = min(
+                min(jaccard.first_tokens(n) - x, jaccard.first_tokens(n - x + y) - y)
+                for x in range(n)
+                for y in range(2 * n)
+                if jaccard.linked(n - x, n, n - x + y, percent)
+            )
+            assert jaccard.needed(n, percent) == least
+
+
+def test_short_texts_link(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for short, long in ((8, 9), (12, 14), (13, 15)):
+        for _ in range(60):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 40, long)]
+            rows += [(len(rows), " ".join(words[:short]), "a"), (len(rows) + 1, " ".join(words), "a")]
+    out = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark, docs_of(spark, rows)).collect()}
+    assert out == {i: i // 2 * 2 for i in range(len(rows))}
+
+
 # --- 8: mixing --------------------------------------------------------------------------------------
 
 
