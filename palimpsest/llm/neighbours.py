@@ -3,10 +3,14 @@
 Every vector keeps a list of its nearest neighbours so far. A round sends each vector to the vectors in
 whose lists it is, compares the neighbours of each vector with each other there (neighbours of neighbours),
 and keeps the nearest. A vector whose whole list is at or above the threshold has a longer list in the next
-round. Rounds end when few lists change; then the recall is audited against brute force on a fixed number
-of vectors, and rounds with longer lists follow while it is too low. Edges at or above the threshold give
-components; inside a component, links are counted by blocks of exact products, so that lists need not be
-as long as the largest group.
+round. Rounds end when few lists change. Every pair at or above the threshold that was met joins components,
+whether a list has room for it or not; inside a component, links are counted by blocks of exact products, so
+that lists need not be as long as the largest group.
+
+Lists full of a vector's own component hide what is near it outside. So turns follow in which only vectors
+of other components are listed, compared and met, along new projections, with a few of the vector's own
+component to hear from. They end when nothing more joins and the recall, audited against brute force on a
+fixed number of vectors, is high enough.
 
 Equal vectors are one node. Lists begin from neighbours along sorted random projections, which have windows
 of a fixed width whatever the data.
@@ -29,6 +33,10 @@ LIST, LONGEST, SORTS, WINDOW = 8, 64, 6, 4
 ROUNDS, CHANGED = 6, 0.01
 AUDIT, RECALL = 64, 0.98
 BLOCK = 512
+#: Neighbours of the own component that a vector hears from, and turns at most; the recall is reported as it is.
+KIN, TURNS = 4, 20
+#: Products of vectors in single precision, added in double, are off by less.
+SLACK = 1e-5
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -49,10 +57,11 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _initial(spark: SparkSession, nodes: DataFrame, dim: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, s) near each other along random projections: each projection sorts the vectors by
-    the signs of some directions and by one more, and pairs those within ``WINDOW`` places."""
-    rng = np.random.default_rng(7)
+def _initial(spark: SparkSession, nodes: DataFrame, dim: int, turn: int = 0) -> DataFrame:
+    """Pairs (a, b, s) of different components near each other along random projections: each projection
+    sorts the vectors by the signs of some directions and by one more, and pairs those within ``WINDOW``
+    places. Every turn has projections of its own."""
+    rng = np.random.default_rng(7 + turn)
     planes = [rng.normal(size=(dim, 17)) for _ in range(SORTS)]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,27 +71,28 @@ def _initial(spark: SparkSession, nodes: DataFrame, dim: int, scratch: Scratch)
                 y = x @ p if len(x) else np.zeros((0, 17))
                 sign = (y[:, :16] > 0) @ (1 << np.arange(16))
                 key = k * 65536.0 + sign + 0.5 + np.arctan(y[:, 16]) / np.pi
-                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["key", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], b["part"], pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["key", "id", "part", "v"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last_x = np.zeros(0, np.int64), None
+        last_id, last_part, last_x = np.zeros(0, np.int64), None, None
         for b in batches:
-            ids, x = b["id"].to_numpy(), matrix(b["v"])
+            ids, part, x = b["id"].to_numpy(), b["part"].to_numpy(), matrix(b["v"]).astype(np.float64)
             if not len(ids):
                 continue
             fresh = len(last_id)
             if fresh:
-                ids, x = np.concatenate([last_id, ids]), np.concatenate([last_x, x])
+                ids, part, x = np.concatenate([last_id, ids]), np.concatenate([last_part, part]), np.concatenate([last_x, x])
             out = []
             for d in range(1, WINDOW + 1):
                 lo = max(0, fresh - d)
                 a, c = np.arange(lo, len(ids) - d), np.arange(lo + d, len(ids))
-                out.append((ids[a], ids[c], np.einsum("ij,ij->i", x[a], x[c]).astype(np.float64)))
+                a, c = a[part[a] != part[c]], c[part[a] != part[c]]
+                out.append((ids[a], ids[c], np.einsum("ij,ij->i", x[a], x[c])))
             a, c, s = (np.concatenate([o[i] for o in out]) for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], names=["a", "b", "s"])
-            last_id, last_x = ids[-WINDOW:], x[-WINDOW:]
+            last_id, last_part, last_x = ids[-WINDOW:], part[-WINDOW:], x[-WINDOW:]
 
-    keyed = nodes.mapInArrow(project, "key double, id long, v array<float>")
+    keyed = nodes.mapInArrow(project, "key double, id long, part long, v array<float>")
     return keyed.repartitionByRange(width(spark), "key").sortWithinPartitions("key").mapInArrow(windows, "a long, b long, s double").filter("a <> b")
 
 
@@ -95,7 +105,7 @@ def _nearest(pairs: DataFrame, lists: DataFrame | None, longest: int) -> DataFra
     both = pairs.select(F.col("a").alias("id"), F.struct(F.col("s"), F.col("b")).alias("e")).union(pairs.select("b", F.struct("s", F.col("a").alias("b"))))
     if lists is not None:
         both = both.union(lists.select("id", F.explode("nb")))
-    both = both.distinct()
+    both = both.groupBy("id", F.col("e.b").alias("b")).agg(F.max("e.s").alias("s")).select("id", F.struct("s", "b").alias("e"))
     best = Window.partitionBy("id").orderBy(F.desc("e.s"), "e.b")
     top = both.withColumn("r", F.row_number().over(best)).filter(f"r <= {longest}").groupBy("id").agg(F.sort_array(F.collect_list("e"), asc=False).alias("nb"))
     if lists is None:
@@ -107,35 +117,56 @@ def _nearest(pairs: DataFrame, lists: DataFrame | None, longest: int) -> DataFra
     return top.select("id", "k", F.slice("nb", 1, F.col("k")).alias("nb"))
 
 
-def _round(nodes: DataFrame, lists: DataFrame, longest: int) -> DataFrame:
-    """Pairs (a, b, s) of neighbours of a common vector that may enter a list of either."""
+def forest(hit: np.ndarray) -> np.ndarray:
+    """Of a symmetric matrix of links: the upper half of a mask of links that join what all of them join."""
+    out = np.zeros(hit.shape, bool)
+    new = hit.any(axis=1)
+    while new.any():
+        front = [int(np.argmax(new))]
+        new[front[0]] = False
+        while front:
+            x = front.pop()
+            y = np.flatnonzero(hit[x] & new)
+            new[y] = False
+            out[np.minimum(x, y), np.maximum(x, y)] = True
+            front.extend(y.tolist())
+    return out
+
+
+def _round(nodes: DataFrame, lists: DataFrame, longest: int, kin: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, s, link) of neighbours of a common vector, of different components, that may enter a
+    list of either, or join components (link). Neighbours are those of the lists and of ``kin`` (id, to)."""
     worst = F.when(F.size("nb") < F.col("k"), F.lit(-2.0)).otherwise(F.element_at("nb", -1)["s"])
-    sent = lists.select("id", worst.alias("worst"), F.explode("nb.b").alias("to")).select("id", "worst", "to")
+    sent = lists.select("id", F.explode("nb.b").alias("to"))
+    sent = sent if kin is None else sent.union(kin)
     # both directions: a vector goes to those in its list, and to those in whose list it is
     reach = sent.select("to", F.col("id").alias("of")).union(sent.select(F.col("id").alias("to"), F.col("to").alias("of"))).distinct()
     # a vector in very many lists is met in parts of a bounded size, dealt by a hash
     sizes = reach.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / (4 * longest)).alias("parts"))
     reach = reach.join(sizes, "to").withColumn("part", F.pmod(F.xxhash64("of"), F.col("parts")))
-    lone = nodes.select(F.col("id").alias("of"), F.transform("v", lambda c: c.cast("float")).alias("v"))
+    lone = nodes.select(F.col("id").alias("of"), "part", F.transform("v", lambda c: c.cast("float")).alias("v")).withColumnRenamed("part", "own")
     worsts = lists.select(F.col("id").alias("of"), worst.alias("worst"))
-    met = reach.join(lone, "of").join(worsts, "of", "left").select("to", "part", "of", "v", "worst")
+    met = reach.join(lone, "of").join(worsts, "of", "left").select("to", "part", "of", "v", "worst", "own")
     spark = nodes.sparkSession
     met = met.repartition(width(spark), "to", "part").sortWithinPartitions("to", "part", "of")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
 
-        def join(ids: np.ndarray, x: np.ndarray, worst: np.ndarray) -> tuple:
+        def join(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, own: np.ndarray) -> tuple:
+            x = x.astype(np.float64)
             s = x @ x.T
-            i, j = np.nonzero(np.triu(s > np.minimum(worst[:, None], worst[None, :]), 1))
-            return ids[i], ids[j], s[i, j]
+            apart = own[:, None] != own[None, :]
+            link = forest(apart & (s >= COSINE + SLACK)) | np.triu(apart & (np.abs(s - COSINE) < SLACK), 1)
+            i, j = np.nonzero(np.triu(apart & (s > np.minimum(worst[:, None], worst[None, :])), 1) | link)
+            return ids[i], ids[j], s[i, j], link[i, j]
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            a, b, s = (np.concatenate([r[i] for r in rows]) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
+            a, b, s, link = (np.concatenate([r[i] for r in rows]) for i in range(4))
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float64)), pa.array(link)], names=["a", "b", "s", "link"])
 
         for b in batches:
-            now = (b["to"].to_numpy(), b["part"].to_numpy(), b["of"].to_numpy(), matrix(b["v"]), np.nan_to_num(b["worst"].to_numpy(zero_copy_only=False), nan=-2.0))
+            now = (b["to"].to_numpy(), b["part"].to_numpy(), b["of"].to_numpy(), matrix(b["v"]), np.nan_to_num(b["worst"].to_numpy(zero_copy_only=False), nan=-2.0), b["own"].to_numpy())
             if held is not None and len(held[0]):
                 now = tuple(np.concatenate([h, n]) for h, n in zip(held, now, strict=True))
             cuts = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
@@ -147,8 +178,8 @@ def _round(nodes: DataFrame, lists: DataFrame, longest: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield flush([join(*held[2:])])
 
-    found = met.mapInArrow(local, "a long, b long, s double")
-    return found.groupBy("a", "b").agg(F.max("s").alias("s"))
+    found = met.mapInArrow(local, "a long, b long, s double, link boolean")
+    return found.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("link").alias("link"))
 
 
 def _counts(nodes: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -199,6 +230,27 @@ def audit(spark: SparkSession, nodes: DataFrame, parts: DataFrame, n: int = AUDI
     return got["hit"] / got["n"] if got["n"] else 1.0
 
 
+def _descend(placed: DataFrame, pairs: DataFrame, kin: DataFrame | None, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The lists that rounds from ``pairs`` end with, and links (a, b) that join what all met pairs join."""
+    longest, links = LIST, [pairs.filter(F.col("s") >= COSINE - SLACK)]
+    lists = scratch.table(_nearest(pairs, None, LIST), "lists")
+    for _ in range(ROUNDS):
+        met = scratch.table(_round(placed, lists, longest, kin), "met")
+        longest = min(LONGEST, longest * 2)
+        new = scratch.table(_nearest(met.select("a", "b", "s"), lists, longest), "lists")
+        links.append(scratch.table(met.filter("link").select("a", "b", "s"), "links"))
+        near = lambda d: d.select("id", F.explode("nb").alias("e")).filter(F.col("e.s") >= COSINE - 0.02).select("id", "e.b")
+        fresh = near(new).join(near(lists), ["id", "b"], "left_anti").count()
+        scratch.drop(lists, met)
+        lists = new
+        if fresh <= CHANGED * n / 10:
+            break
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    return lists, scratch.table(_exact(found, placed), "edges")
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept, recall of every row of ``vectors`` (vec_id, embedding).
 
@@ -220,27 +272,25 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     if first is None:
         parts = spark.createDataFrame([], "node long, component long")
     else:
-        dim, longest = len(first["v"]), LIST
+        dim = len(first["v"])
         nodes = nodes.filter(F.size("v") == dim)
-        lists = scratch.table(_nearest(_initial(spark, nodes, dim, scratch), None, LIST), "lists")
         n = nodes.count()
-        while True:
-            for _ in range(ROUNDS):
-                new = scratch.table(_nearest(_round(nodes, lists, longest), lists, min(LONGEST, longest * 2)), "lists")
-                longest = min(LONGEST, longest * 2)
-                near = lambda d: d.select("id", F.explode("nb").alias("e")).filter(F.col("e.s") >= COSINE - 0.02).select("id", "e.b")
-                fresh = near(new).join(near(lists), ["id", "b"], "left_anti").count()
-                scratch.drop(lists)
-                lists = new
-                if fresh <= CHANGED * n / 10:
-                    break
-            edges = lists.select(F.col("id").alias("a"), F.explode("nb").alias("e")).filter(F.col("e.s") >= COSINE - 1e-4).select("a", F.col("e.b").alias("b"))
-            edges = _exact(edges, nodes)
-            parts = connected_components(edges, scratch)
+        placed, parts, kin, links = nodes.withColumn("part", F.col("id")), None, None, None
+        for turn in range(TURNS):
+            pairs = scratch.table(_initial(spark, placed, dim, turn), "pairs")
+            lists, more = _descend(placed, pairs, kin, n, scratch)
+            links = more if links is None else scratch.table(links.union(more), "links")
+            joined = more.count()
+            parts = connected_components(links, scratch) if joined or parts is None else parts
             recall = audit(spark, nodes, parts)
-            if recall >= RECALL or longest >= 2 * LONGEST:
+            full = F.element_at("nb", -1)["s"] >= COSINE  # what is near may be hidden
+            if recall >= RECALL and (not joined if turn else lists.filter((F.size("nb") >= LONGEST) & full).isEmpty()):
                 break
-            longest = 2 * LONGEST
+            at = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"{k}_"))
+            if kin is None:
+                near = lists.select("id", F.explode(F.slice("nb", 1, KIN)).alias("e")).filter(F.col("e.s") >= COSINE).select("id", F.col("e.b").alias("to"))
+                kin = scratch.table(near.join(at("id"), "id").join(at("to"), "to").filter("id_ = to_").select("id", "to"), "kin")
+            placed = scratch.table(nodes.join(at("id"), "id", "left").select("id", "v", F.coalesce("id_", "id").alias("part")), "placed")
     counted = _counts(nodes, parts, sizes)
     found = ones.join(groups.select("v", F.col("id"), "size"), "v").select("vec_id", "id", "size")
     found = found.join(parts.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")
@@ -249,9 +299,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("recall", F.lit(float(recall)))
 
 
-def _exact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) whose cosine in double precision reaches the threshold."""
+def _exact(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) of pairs (a, b, s) whose cosine in double precision reaches the threshold."""
     one = lambda k: nodes.select(F.col("id").alias(k), F.col("v").alias(f"v_{k}"))
     dot = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda s, c: s + c)
-    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return e.join(one("a"), "a").join(one("b"), "b").filter(dot >= COSINE).select("a", "b")
+    e = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("s").alias("s"))
+    sure = e.filter(F.col("s") >= COSINE + SLACK).select("a", "b")
+    return sure.union(e.filter(F.abs(F.col("s") - COSINE) < SLACK).join(one("a"), "a").join(one("b"), "b").filter(dot >= COSINE).select("a", "b"))

@@ -124,6 +124,36 @@ def test_near_duplicates(spark):
     assert neighbours.near_duplicates(spark, vectors(spark, []).limit(0)).count() == 0
 
 
+def test_groups_larger_than_a_list_join(spark):
+    rng = np.random.default_rng(11)
+    ones = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    centres = [ones[0], 0.955 * ones[0] + math.sqrt(1 - 0.955**2) * ones[1]]
+    noise = rng.normal(size=(2, 150, 62)) @ ones[2:]
+    noise *= math.sqrt(1 / 0.965 - 1) / np.linalg.norm(noise, axis=2, keepdims=True)
+    tight = np.concatenate([centres[g] + noise[g] for g in (0, 1)])
+    x = np.concatenate([tight, rng.normal(size=(1500, 64))])
+    x = x.astype(np.float32).astype(float)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    inner = (s[:150, :150].sum() - 150) / (150 * 149)
+    assert inner > 0.955 and 0.9 < s[:150, 150:300].max() < 0.95
+    out = {r.vec_id: r for r in neighbours.near_duplicates(spark, vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    for i in range(300):
+        assert (out[i].component_id, out[i].n_links) == (0, int((s[i] >= 0.9).sum()) - 1)
+
+
+def test_forest():
+    rng = np.random.default_rng(12)
+    for share in (0.0, 0.02, 0.1, 1.0):
+        hit = np.triu(rng.random((40, 40)) < share, 1)
+        hit |= hit.T
+        tree = neighbours.forest(hit)
+        pairs = lambda m: list(zip(*np.nonzero(np.triu(m, 1)), strict=True))
+        one, other = union_find(range(40), pairs(hit)), union_find(range(40), pairs(tree))
+        assert [one(i) for i in range(40)] == [other(i) for i in range(40)]
+        assert tree.sum() == 40 - len({one(i) for i in range(40)}) and not (tree & ~hit).any()
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(600)] + [(1000 + i, [1.0] * 16) for i in range(10)] + [(2000, None), (2050, [0.0] * 16), (None, [1.0] * 16), (3, None)]
