@@ -9,15 +9,18 @@ that lists need not be as long as the largest group.
 
 Lists full of a vector's own component hide what is near it outside. So turns follow in which only vectors
 of other components are listed, compared and met, along new projections, with a few of the vector's own
-component to hear from. They end when nothing more joins and the recall, audited against brute force on a
-fixed number of vectors, is high enough.
+component to hear from. They end when nothing more joins and the recall is high enough. It is audited against
+brute force on vectors chosen by hash before anything is found: on more of them, up to ``AUDIT_MOST``, until
+``AUDIT_LINKS`` links are among theirs.
 
 Equal vectors are one node. Lists begin from neighbours along sorted random projections, which have windows
-of a fixed width whatever the data.
+of a fixed width whatever the data. There are as many projections as it takes to put a lone pair at the
+threshold, in a table without other structure, into one of the windows with a probability of ``RECALL``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from palimpsest.llm.graph import connected_components
 COSINE = 0.9
 LIST, LONGEST, SORTS, WINDOW = 8, 64, 6, 4
 ROUNDS, CHANGED = 6, 0.01
-AUDIT, RECALL = 64, 0.98
+AUDIT, AUDIT_MOST, AUDIT_LINKS, RECALL = 64, 4096, 200, 0.98
 BLOCK = 512
 #: Neighbours of the own component that a vector hears from, and turns at most; the recall is reported as it is.
 KIN, TURNS = 4, 20
@@ -57,20 +60,31 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _initial(spark: SparkSession, nodes: DataFrame, dim: int, turn: int = 0) -> DataFrame:
+def projections(n: int) -> int:
+    """How many projections of ``n`` vectors find a pair at the threshold with a probability of ``RECALL``.
+
+    Two vectors are on one side of a random plane with a probability of 1 - angle / pi, and some
+    log2(n / WINDOW) planes cut the table down to a window.
+    """
+    one = (1 - math.acos(COSINE) / math.pi) ** math.log2(max(2.0, n / WINDOW))
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - one))
+
+
+def _initial(spark: SparkSession, nodes: DataFrame, dim: int, n: int, turn: int = 0) -> DataFrame:
     """Pairs (a, b, s) of different components near each other along random projections: each projection
     sorts the vectors by the signs of some directions and by one more, and pairs those within ``WINDOW``
     places. Every turn has projections of its own."""
     rng = np.random.default_rng(7 + turn)
-    planes = [rng.normal(size=(dim, 17)) for _ in range(SORTS)]
+    bits = max(16, math.ceil(math.log2(max(2, n))))
+    planes = [rng.normal(size=(dim, bits + 1)) for _ in range(SORTS)]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b["v"])
             for k, p in enumerate(planes):
-                y = x @ p if len(x) else np.zeros((0, 17))
-                sign = (y[:, :16] > 0) @ (1 << np.arange(16))
-                key = k * 65536.0 + sign + 0.5 + np.arctan(y[:, 16]) / np.pi
+                y = x @ p if len(x) else np.zeros((0, bits + 1))
+                sign = (y[:, :bits] > 0) @ (1 << np.arange(bits))
+                key = k * 2.0**bits + sign + 0.5 + np.arctan(y[:, bits]) / np.pi
                 yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], b["part"], pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["key", "id", "part", "v"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,31 +222,42 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def audit(spark: SparkSession, nodes: DataFrame, parts: DataFrame, n: int = AUDIT) -> float:
-    """Recall of links, on at most ``n`` vectors chosen by hash, half of them from components, against
-    brute force over all vectors in batches. 1.0 where there is nothing to find."""
-    inside = nodes.join(parts, nodes["id"] == parts["node"]).select("id", "v").orderBy(F.xxhash64("id", F.lit("audit"))).limit(n // 2).collect()
-    chosen = inside + nodes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(n // 2).collect()
-    if not chosen:
-        return 1.0
-    asked = spark.sparkContext.broadcast((np.array([r["id"] for r in chosen]), np.array([r["v"] for r in chosen])))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = asked.value
-        for b in batches:
-            i, j = np.nonzero(q @ matrix(b["v"]).T >= COSINE) if b.num_rows else (np.zeros(0, int), np.zeros(0, int))
-            a, c = ids[i], b["id"].to_numpy()[j]
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c])], names=["a", "b"])
-
-    true = nodes.mapInArrow(search, "a long, b long")
+def truth(spark: SparkSession, nodes: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of vectors a chosen by hash, by brute force over all ``n`` vectors in batches. As many
+    are chosen, from ``AUDIT`` to ``AUDIT_MOST``, as it takes to have ``AUDIT_LINKS`` links."""
+    most = AUDIT
+    while True:
+        chosen = nodes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(most).collect()
+        asked = spark.sparkContext.broadcast((np.array([r["id"] for r in chosen]), np.array([r["v"] for r in chosen])))
+
+        def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            ids, q = asked.value
+            for b in batches:
+                x, found = matrix(b["v"]), b["id"].to_numpy()
+                for k in range(0, len(found), BLOCK):
+                    i, j = np.nonzero(q @ x[k : k + BLOCK].T >= COSINE)
+                    a, c = ids[i], found[k : k + BLOCK][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c])], names=["a", "b"])
+
+        true = scratch.table(nodes.mapInArrow(search, "a long, b long"), "truth")
+        if most >= min(n, AUDIT_MOST) or true.count() >= AUDIT_LINKS:
+            return true
+        most *= 4
+
+
+def audit(true: DataFrame, parts: DataFrame) -> float:
+    """The share of the links (a, b) of ``true`` that are inside of components; the least of it and of
+    its mean over vectors a, so that a large group does not speak for lone pairs. 1.0 without links."""
     at = lambda d, k: d.join(parts.select(F.col("node").alias(k), F.col("component").alias(f"{k}_")), k, "left")
-    got = at(at(true, "a"), "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a_") == F.col("b_")).alias("hit")).first()
-    return got["hit"] / got["n"] if got["n"] else 1.0
+    hit = F.coalesce((F.col("a_") == F.col("b_")).cast("int"), F.lit(0))
+    each = at(at(true, "a"), "b").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hit"))
+    got = each.agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.avg(F.col("hit") / F.col("n")).alias("mean")).first()
+    return min(got["hit"] / got["n"], got["mean"]) if got["n"] else 1.0
 
 
-def _descend(placed: DataFrame, pairs: DataFrame, kin: DataFrame | None, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _descend(placed: DataFrame, pairs: DataFrame, kin: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The lists that rounds from ``pairs`` end with, and links (a, b) that join what all met pairs join."""
-    longest, links = LIST, [pairs.filter(F.col("s") >= COSINE - SLACK)]
+    longest, links = LIST, [pairs.filter(F.col("s") >= COSINE - SLACK).select("a", "b", "s")]
     lists = scratch.table(_nearest(pairs, None, LIST), "lists")
     for _ in range(ROUNDS):
         met = scratch.table(_round(placed, lists, longest, kin), "met")
@@ -243,7 +268,7 @@ def _descend(placed: DataFrame, pairs: DataFrame, kin: DataFrame | None, n: int,
         fresh = near(new).join(near(lists), ["id", "b"], "left_anti").count()
         scratch.drop(lists, met)
         lists = new
-        if fresh <= CHANGED * n / 10:
+        if fresh <= CHANGED * near(new).count():
             break
     found = links[0]
     for more in links[1:]:
@@ -275,14 +300,18 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
         dim = len(first["v"])
         nodes = nodes.filter(F.size("v") == dim)
         n = nodes.count()
+        true = truth(spark, nodes, n, scratch)
         placed, parts, kin, links = nodes.withColumn("part", F.col("id")), None, None, None
+        ahead = math.ceil(projections(n) / SORTS) - 1
         for turn in range(TURNS):
-            pairs = scratch.table(_initial(spark, placed, dim, turn), "pairs")
-            lists, more = _descend(placed, pairs, kin, n, scratch)
+            pairs = scratch.table(_initial(spark, placed, dim, n, turn), "pairs")
+            for extra in range(ahead if not turn else 0):  # of the others, only near pairs
+                pairs = pairs.union(scratch.table(_initial(spark, placed, dim, n, TURNS + extra).filter(F.col("s") >= COSINE - 0.1), "pairs"))
+            lists, more = _descend(placed, pairs, kin, scratch)
             links = more if links is None else scratch.table(links.union(more), "links")
             joined = more.count()
             parts = connected_components(links, scratch) if joined or parts is None else parts
-            recall = audit(spark, nodes, parts)
+            recall = audit(true, parts)
             full = F.element_at("nb", -1)["s"] >= COSINE  # what is near may be hidden
             if recall >= RECALL and (not joined if turn else lists.filter((F.size("nb") >= LONGEST) & full).isEmpty()):
                 break

@@ -142,6 +142,19 @@ def test_groups_larger_than_a_list_join(spark):
         assert (out[i].component_id, out[i].n_links) == (0, int((s[i] >= 0.9).sum()) - 1)
 
 
+def test_rare_pairs_are_found(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(100, 64))
+    y -= (y * x[:100]).sum(axis=1, keepdims=True) * x[:100]
+    y = 0.92 * x[:100] + math.sqrt(1 - 0.92**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    out = {r.vec_id: r for r in neighbours.near_duplicates(spark, vectors(spark, rows)).collect()}
+    assert sum(out[8000 + i].component_id == i for i in range(100)) >= 97
+    assert all(out[i].recall >= 0.98 for i in out)
+
+
 def test_forest():
     rng = np.random.default_rng(12)
     for share in (0.0, 0.02, 0.1, 1.0):
