@@ -3,8 +3,9 @@
 Each document becomes its BPE ids and an end id. What fills whole windows on its own is cut off
 first; the rests, shorter than a window, are collected in groups of ``GROUP`` documents as they
 come, and each group is divided by multiway differencing into windows of near-equal sums. A window
-that ends above the capacity is cut there and the piece goes to windows with room; when the
-group's tokens exceed what its windows hold, the count of windows rises. What is left of a group's
+that ends above the capacity is cut there and the piece goes to windows with room. The count of
+windows is fixed by the group's tokens and does not rise, which would leave windows unfilled (only
+``windows_for``, for whole items, raises it). What is left of a group's
 tokens beyond whole windows goes to sequences whose lengths are powers of two, which need no padding.
 
 Groups never leave the task that encoded them, so nothing is shuffled and memory is bounded by one
