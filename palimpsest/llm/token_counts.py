@@ -17,9 +17,9 @@ def encoded_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
     vocabulary = vocabulary or bpe.default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoding(vocabulary)
+        enc = bpe.encoder(vocabulary)
         for b in batches:
-            n = [len(enc.encode_ordinary(t)) if (t := x.as_py()) else 0 for x in b.column("text")]
+            n = [sum(map(len, enc.parts(t))) if (t := x.as_py()) else 0 for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(count, "doc_id long, n_tokens long")
