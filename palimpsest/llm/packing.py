@@ -1,12 +1,11 @@
 """Packing documents into token sequences by Karmarkar-Karp multiway differencing.
 
 Each document becomes its BPE ids and an end id. What fills whole windows on its own is cut off
-first; the rests, shorter than a window, are collected in groups of ``GROUP`` documents as they
-come, and each group is divided by multiway differencing into windows of near-equal sums. A window
-that ends above the capacity is cut there and the piece goes to windows with room. The count of
-windows is fixed by the group's tokens and does not rise, which would leave windows unfilled (only
-``windows_for``, for whole items, raises it). What is left of a group's
-tokens beyond whole windows goes to sequences whose lengths are powers of two, which need no padding.
+first. The rests, shorter than a window, are collected in groups of ``GROUP`` documents as they come;
+a rest above half a window is cut in two, as windows of whole rests would hold one each and padding.
+Each group is divided by multiway differencing into windows of near-equal sums. Their count begins at
+the group's tokens over the capacity and rises by one whenever a window exceeds the capacity, so
+nothing else is cut, and windows end up alike and almost full.
 
 Groups never leave the task that encoded them, so nothing is shuffled and memory is bounded by one
 batch and one group, whatever the skew of keys.
@@ -26,49 +25,69 @@ from pyspark.sql import DataFrame
 from palimpsest.llm import bpe
 from palimpsest.llm.common import only
 
-CAPACITY, GROUP, END = 1024, 128, 0
+CAPACITY, GROUP, END = 1024, 512, 0
+#: A rest above a window's this part is cut.
+PIECES = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _merge(a: tuple, b: tuple, k: int) -> tuple[np.ndarray, list]:
+    """Two partial partitions (sums above 0 in ascending order, members) as one: the largest part of the
+    one meets the smallest of the other. Where the parts fit side by side, each meets an empty one."""
+    (x, s), (y, t) = a, b
+    if len(x) + len(y) <= k:
+        if len(y) == 1:  # one number: put in its place
+            at = int(np.searchsorted(x, y[0], side="right"))
+            return np.insert(x, at, y[0]), s[:at] + t + s[at:]
+        sums, members = np.concatenate([x, y]), s + t
+    else:
+        shared = len(x) + len(y) - k
+        joined = [(p, q) for p, q in zip(s[:shared], reversed(t[:shared]), strict=True)]
+        sums, members = np.concatenate([x[:shared] + y[:shared][::-1], x[shared:], y[shared:]]), joined + s[shared:] + t[shared:]
+    order = np.argsort(sums, kind="stable")
+    return sums[order], [members[i] for i in order.tolist()]
+
+
 def multiway_difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Indices of ``sizes`` in ``k`` parts of near-equal sums (largest differencing).
+    """Indices of ``sizes`` (above 0) in ``k`` parts of near-equal sums (largest differencing).
 
     Every number starts as a partition of itself and k - 1 empty parts; the two partitions with the
-    largest spread merge, the largest part of one with the smallest of the other, until one is
-    left. Ties go to the earlier partition, so reruns agree.
+    largest spread merge, until one is left. Ties go to the earlier partition, so reruns agree.
     """
     if k <= 1:
         return [list(range(len(sizes)))] * max(0, k)
-    heap = [(-s, i, [(0, ())] * (k - 1) + [(s, (i,))]) for i, s in enumerate(sizes)]
+    heap = [(-s, i, np.array([s], np.int64), [i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     n = len(sizes)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        merged = sorted(((x + y, (p, q) if p and q else p or q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda t: t[0])
-        heapq.heappush(heap, (merged[0][0] - merged[-1][0], n, merged))
+        _, _, *a = heapq.heappop(heap)
+        _, _, *b = heapq.heappop(heap)
+        a, b = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+        sums, members = _merge(a, b, k)
+        least = int(sums[0]) if len(sums) == k else 0
+        heapq.heappush(heap, (least - int(sums[-1]), n, sums, members))
         n += 1
     parts: list[list[int]] = []
-    for _, tree in heap[0][2] if heap else [(0, ())] * k:
+    for tree in heap[0][3] if heap else []:
         out, stack = [], [tree]
         while stack:
             t = stack.pop()
-            if len(t) == 2 and isinstance(t[0], tuple):
+            if isinstance(t, tuple):
                 stack += t
             else:
-                out += t
+                out.append(t)
         parts.append(out)
-    return parts
+    return parts + [[] for _ in range(k - len(parts))]
 
 
-def windows_for(sizes: list[int], capacity: int, k: int | None = None) -> list[list[int]]:
+def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
     """Whole items in near-equal windows: the window count rises whenever capacity is exceeded.
 
     An item above the capacity has no window: ValueError.
     """
     if sizes and max(sizes) > capacity:
         raise ValueError("an item exceeds the capacity")
-    k = k or max(1, -(-sum(sizes) // capacity))
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
         parts = multiway_difference(sizes, k)
         if max((sum(sizes[i] for i in p) for p in parts), default=0) <= capacity:
@@ -76,46 +95,15 @@ def windows_for(sizes: list[int], capacity: int, k: int | None = None) -> list[l
         k += 1
 
 
-def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (item, start, length) of items below ``capacity`` that may be cut freely.
-
-    All sequences are full but those of power-of-two lengths that hold the remainder.
-    """
-    total = sum(sizes)
-    k, rest = divmod(total, capacity)
-    tail = [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if rest >> b & 1]
-    parts = multiway_difference(sizes, k + bool(rest)) if total else []
-    wanted = [capacity] * k
-    sequences: list[list[tuple[int, int, int]]] = []
-    spare: list[tuple[int, int, int]] = []
-    room: list[tuple[int, int]] = []
-    parts.sort(key=lambda p: -sum(sizes[i] for i in p))
-    for number, part in enumerate(parts):
-        out, left = [], wanted[number] if number < len(wanted) else 0
-        for i in part:
-            take = min(left, sizes[i])
-            if take:
-                out.append((i, 0, take))
-                left -= take
-            if take < sizes[i]:
-                spare.append((i, take, sizes[i] - take))
-        if number < len(wanted):
-            sequences.append(out)
-            if left:
-                room.append((number, left))
-    for length in tail:
-        room.append((len(sequences), length))
-        sequences.append([])
-    spare.reverse()
-    for number, left in room:
-        while left:
-            i, start, n = spare.pop()
-            take = min(left, n)
-            sequences[number].append((i, start, take))
-            left -= take
-            if take < n:
-                spare.append((i, start + take, n - take))
-    return sequences
+def pack_group(sizes: list[int], capacity: int, pieces: int = PIECES) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (item, start, length) of items of 1 to ``capacity`` tokens. Items above
+    ``capacity`` // ``pieces`` are cut into pieces of that size and a smaller one."""
+    bound = max(1, capacity // pieces)
+    cut = []
+    for i, size in enumerate(sizes):
+        cut += [(i, a, min(bound, size - a)) for a in range(0, size, bound)]
+    windows = windows_for([n for _, _, n in cut], capacity)
+    return [[cut[i] for i in sorted(w)] for w in windows]
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, group: int = GROUP, end: int = END) -> DataFrame:
@@ -128,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = (TaskContext.get().partitionId() << 40) - 1
-        enc = bpe.encoding(vocabulary)
+        enc = bpe.encoder(vocabulary)
         rows: list[tuple] = []
         waiting: list[tuple] = []
 
@@ -150,9 +138,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = enc.encode_ordinary(text.as_py() or "")
-                ids.append(end)
-                ids = np.array(ids, "<u4")
+                ids = np.append(enc(text.as_py()), np.uint32(end)).astype("<u4", copy=False)
                 total = len(ids)
                 cut = total - total % capacity
                 for start in range(0, cut, capacity):

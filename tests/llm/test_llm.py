@@ -422,21 +422,34 @@ def test_mix(spark):
 # --- 9 and 10: tokens -------------------------------------------------------------------------------
 
 
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([*" \n\ta'é1.日😀\x1c\u200bBs", "<|endoftext|>", "word"]), max_size=30).map("".join))
+@given(st.lists(st.sampled_from([*" \n\ta'é1.日😀\x1c\u200bBs", "<|endoftext|>", "word", " " * bpe.RUN, "\u3000\n" * bpe.RUN]), max_size=30).map("".join))
 def test_ids_are_those_of_tokenizers(text):
-    import public_tokenizers
-    from tokenizers import Tokenizer
+    test_ids_are_those_of_tokenizers.t = t = getattr(test_ids_are_those_of_tokenizers, "t", None) or tokenizer()
+    assert bpe.encoder(bpe.default_vocabulary())(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 10**6, "\n" * 10**6 + "a", "a" * 10**6, "x" + " " * 10**6 + "<|endoftext|>" + " " * 5000 + "y", "one two\n" * 200_000], ids=lambda t: repr(t[:9]))
+def test_very_long_texts_encode(text):
+    assert bpe.encoder(bpe.default_vocabulary())(text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
 
-    t = test_ids_are_those_of_tokenizers.__dict__.setdefault("t", None) or Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    test_ids_are_those_of_tokenizers.t = t
-    assert bpe.encode(text, bpe.default_vocabulary()).tolist() == t.encode(text, add_special_tokens=False).ids
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sampled_from(["word", " ", "\n", " " * bpe.RUN, "\u3000"]), max_size=12).map("".join))
+def test_spans_tile_a_text(text):
+    found = list(bpe.spans(text))
+    assert "".join(text[a:b] for a, b, _ in found) == text and all(text[a:b].isspace() for a, b, run in found if run)
 
 
 def test_token_counts(spark):
     out = {r.n_tokens: r for r in token_counts.token_counts(docs_of(spark, ODD)).collect()}
-    n = sorted(len(bpe.encode(t, bpe.default_vocabulary())) for _, t, _ in ODD)
+    n = sorted(len(bpe.encoder(bpe.default_vocabulary())(t)) for _, t, _ in ODD)
     for length, r in out.items():
         assert (r.n_docs, r.docs_upto, r.docs_longer) == (n.count(length), sum(x <= length for x in n), sum(x > length for x in n))
         assert (r.tokens_upto, r.tokens_longer, r.truncated_total) == (sum(x for x in n if x <= length), sum(x for x in n if x > length), sum(min(x, length) for x in n))
@@ -448,11 +461,9 @@ def test_token_counts(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 1023), max_size=60))
 def test_pack_group(sizes):
-    sequences = packing.pack_group(sizes, 1024)
     seen = defaultdict(list)
-    for s in sequences:
-        n = sum(x for *_, x in s)
-        assert n == 1024 or n & (n - 1) == 0
+    for s in packing.pack_group(sizes, 1024):
+        assert 0 < sum(x for *_, x in s) <= 1024
         for i, start, length in s:
             seen[i].append((start, length))
     for i, n in enumerate(sizes):
@@ -463,6 +474,24 @@ def test_pack_group(sizes):
         assert at == n
 
 
+def test_windows_are_near_equal_by_differencing(monkeypatch):
+    """Full groups: little padding, few cuts; runs of rests in place of differencing need more windows."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 1024, packing.GROUP).tolist()
+
+    def measured():
+        found = packing.pack_group(sizes, 1024)
+        sums = [sum(n for *_, n in s) for s in found]
+        assert sum(sums) == sum(sizes)
+        return len(sums) * 1024 / sum(sizes) - 1, max(sums) - min(sums), sum(map(len, found)) - len(sizes)
+
+    padding, spread, cuts = measured()
+    assert padding < 0.02 and spread < 64 and cuts <= sum(n > 512 for n in sizes)
+    monkeypatch.setattr(packing, "multiway_difference", lambda sizes, k: [list(map(int, x)) for x in np.array_split(np.arange(len(sizes)), k)])
+    plain = measured()
+    assert plain[0] > 3 * padding and plain[1] > 3 * spread
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=30))
 def test_windows(sizes):
@@ -472,6 +501,8 @@ def test_windows(sizes):
 
 def test_differencing():
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in packing.multiway_difference([8, 7, 6, 5, 4], 2)) == [14, 16]
+    assert sorted(sum([3, 3, 2, 2, 2][i] for i in p) for p in packing.multiway_difference([3, 3, 2, 2, 2], 3)) == [3, 4, 5]
+    assert len(packing.windows_for([60, 60, 60], 100)) == 3  # two windows would do for the sum
     with pytest.raises(ValueError):
         packing.windows_for([101], 100)
 
@@ -489,7 +520,7 @@ def test_pack(spark):
             at += n
         assert at <= 1024
     for i, t, _ in ODD:
-        ids = np.append(bpe.encode(t, bpe.default_vocabulary()), 0).astype("<u4")
+        ids = np.append(bpe.encoder(bpe.default_vocabulary())(t), 0).astype("<u4")
         copies = sum(i == k for k, _, _ in ODD)
         assert sum(r.length for r in pieces[i]) == copies * len(ids)
         for r in pieces[i]:
