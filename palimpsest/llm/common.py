@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def prepared(spark: SparkSession) -> None:
+    """Workers find the package, and batches of long texts are small: the session's setting is lowered
+    to ``BATCH_BYTES`` where it is larger."""
+    importable(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 class Scratch:
     """Tables written to the shared folder in place of recomputed lineage.
 
@@ -57,10 +67,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of the batches that go to Python workers, for the session. A batch is held by the executor and by its worker at once.
+BATCH_BYTES = 4 << 20
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns with the types the operator works with, so that columns that the
     caller added cannot clash with the operator's own."""
-    importable(df.sparkSession)
+    prepared(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 

@@ -3,7 +3,8 @@
 Two sets of Jaccard similarity t share more than a share t of the larger one, so under any order of
 all tokens they share one of the first n - ceil(t n) + 1 tokens of either. Candidates must do so under
 several orders at once. Each order puts tokens by how frequent they are, rare ones first, as a sketch of
-all counts tells, and differs from the others in how it breaks ties.
+all counts tells, and differs from the others in how fine it tells frequencies apart and in how it
+breaks ties.
 
 Steps, each over whole tables:
 
@@ -28,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, maybe_in, not_in, only, small, width
+from palimpsest.llm.common import Scratch, maybe_in, not_in, only, prepared, small, width
 from palimpsest.llm.graph import connected_components
 from palimpsest.llm.words import give_back, mix, shingle_sets, slices
 
 SHINGLE, PERCENT = 5, 80
-ORDERS = (1, 2, 3)
+#: Of each order, how many quarters of a logarithm of a frequency count as equal.
+ORDERS = {1: 1, 2: 6, 3: 24}
 SKETCH_BITS, SLICES = 20, 64
 #: Tokens of the outliers and of the members of a block, on average, and matches looked at together.
 OUTLIERS, MEMBERS, MATCHES = 400_000, 800_000, 500_000
@@ -196,7 +198,7 @@ def prefix(tokens: np.ndarray, cells: np.ndarray, order: int, percent: int = PER
     if k >= len(tokens):
         return tokens
     bits = len(cells).bit_length() - 1
-    often = cells[(tokens >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+    often = (cells[(tokens >> np.uint64(64 - bits)).astype(np.int64)] // ORDERS[order]).astype(np.uint64)
     key = often << np.uint64(56) | mix(tokens, order) >> np.uint64(8)
     return tokens[np.argpartition(key, k - 1)[:k]]
 
@@ -204,7 +206,7 @@ def prefix(tokens: np.ndarray, cells: np.ndarray, order: int, percent: int = PER
 def _postings(sets: DataFrame, cells, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [prefix(np.frombuffer(x.as_buffer(), np.uint64), cells.value, ORDERS[0], percent) for x in b.column("tokens")]
+            found = [prefix(np.frombuffer(x.as_buffer(), np.uint64), cells.value, min(ORDERS), percent) for x in b.column("tokens")]
             k = [len(f) for f in found]
             token = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(b.column("class").to_numpy(), k)), pa.array(np.repeat(b.column("n").to_numpy(), k))], names=["token", "class", "n"])
@@ -387,9 +389,34 @@ def _nameless(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.filter("doc_id is null").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
+#: Numbers from here on stand for rows that their doc_id does not tell apart.
+STAND_IN = 1 << 62
+
+
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, text, row (all columns): rows equal in doc_id and text once. The key is the doc_id, or where
+    that is null or has several rows, a number from ``STAND_IN`` on by hash of doc_id and text."""
+    prepared(scratch.spark)
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    odd = scratch.table(d.groupBy("key").count().filter("count > 1 or key is null").select("key"), "odd")
+    if odd.isEmpty():
+        return d
+    named = d.filter("key is not null")
+    several = named.join(small(odd), "key", "left_semi").unionByName(d.filter("key is null"))
+    stand_in = F.xxhash64(F.coalesce("key", F.lit(0)), F.col("key").isNull(), "text").bitwiseAND(F.lit(STAND_IN - 1)) + F.lit(STAND_IN)
+    several = several.withColumn("key", stand_in).groupBy("key").agg(F.first("text").alias("text"), F.first("row").alias("row"))
+    return not_in(named, "key", odd.filter("key is not null"), scratch).unionByName(scratch.table(several, "several"), allowMissingColumns=False)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, with all their columns."""
+    """One row of each component of ``docs``, with all its columns: the one of the smallest doc_id.
+
+    Rows equal in doc_id and text are one row. Rows with a null doc_id, or with a doc_id that other texts
+    have too, take part like others, and stay only where their component has no row with a doc_id of its
+    own. Null and empty texts and those without words link with nothing and stay. An empty table gives no rows.
+    """
     scratch = Scratch(spark, "keep")
-    found = jaccard_components(spark, docs, shingle, percent)
-    gone = scratch.table(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return not_in(docs, "doc_id", gone, scratch)
+    keyed = _keyed(docs, scratch)
+    found = jaccard_components(spark, keyed.select(F.col("key").alias("doc_id"), "text"), shingle, percent)
+    gone = scratch.table(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return not_in(keyed, "key", gone, scratch).select("row.*")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import only
+from palimpsest.llm.common import only, prepared
 from palimpsest.llm.words import give_back, mix, slices, words
 
 #: The model is fitted on at most so many labelled rows of each label, chosen by a hash of doc_id.
@@ -226,6 +226,7 @@ def locate(spark: SparkSession, docs: DataFrame, model: Model, threshold: float
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns."""
+    prepared(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels))
     schema = docs.schema
 

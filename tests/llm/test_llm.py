@@ -355,10 +355,20 @@ def test_jaccard(spark):
     kept = jaccard.keep_one(spark, docs_of(spark, rows))
     gone = {i for i, _, c in jaccard_truth(rows) if i != c}
     assert kept.columns == docs_of(spark, rows).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _, _ in rows if i is not None and i not in gone)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({i for i, _, _ in rows if i is not None and i not in gone})
     assert jaccard.jaccard_components(spark, docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    t, u = "one two three four five six", "seven eight nine"
+    rows = [(1, t, "a"), (1, t, "a"), (None, t, "a"), (2, t, "b"), (1, u, "a"), (4, u, "a"), (None, "", "a"), (None, "", "a"), (5, None, None), (6, "", None), (None, "alone here", "c"), (None, "alone here", "c")]
+    kept = jaccard.keep_one(spark, docs_of(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(2, t), (4, u), (None, ""), (5, None), (6, ""), (None, "alone here")]))
+    same = [(1, t, "a"), (1, t, "a"), (1, u, "a")]
+    assert sorted(map(tuple, jaccard.keep_one(spark, docs_of(spark, same)).select("doc_id", "text").collect())) == [(1, t), (1, u)]
+    assert jaccard.keep_one(spark, docs_of(spark, rows).limit(0)).count() == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1), st.integers(1, 3))
 def test_prefixes_meet(a, b, order):
