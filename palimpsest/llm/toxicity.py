@@ -3,6 +3,10 @@
 A document is a bag of sentences. Each sentence gets a probability from its words; noisy-or combines
 them: a document is toxic unless every sentence is clean, p = 1 - prod(1 - p_s). The sentence model is
 trained through the noisy-or from document labels alone, and then points at the sentences.
+
+A sentence counts only for what its words say beyond a sentence without evidence: 1 - p_s is divided by
+that of the bias alone, and is 1 at most. Sentences below ``DOUBT`` do not add up: of them the worst alone
+counts. So clean sentences, however many, do not make a document toxic.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import only, prepared
+from palimpsest.llm.common import Scratch, only, prepared
 from palimpsest.llm.words import give_back, mix, slices, words
 
 #: The model is fitted on at most so many labelled rows of each label, chosen by a hash of doc_id.
@@ -27,7 +31,7 @@ BITS = 18
 MIN_DOCS, LIFT = 3, 3.0
 #: LASSO: a feature needs the evidence of about so many documents to get a weight.
 STEPS, RATE, LASSO = 200, 0.1, 1.5
-THRESHOLD = 0.3
+THRESHOLD, DOUBT = 0.3, 0.2
 EDGE = "\x1e"
 PUNCTUATION = ".,;:!?|\"'()[]"
 
@@ -64,6 +68,11 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc, sentence, codes, features_of(names)
 
 
+def log_clean(z: np.ndarray, bias: float) -> np.ndarray:
+    """The logarithms of 1 - p_s of sentences with logits ``z``, against a sentence of the bias alone."""
+    return np.minimum(0, np.logaddexp(0, bias) - np.logaddexp(0, z))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -77,40 +86,37 @@ class Model:
             z = np.bincount(sentence, self.weights[table].sum(axis=1)[codes]) + self.bias
             first = np.flatnonzero(np.diff(sentence, prepend=-1))
             of = doc[first]
-            p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            clean = np.bincount(of, -np.logaddexp(0, z), len(texts))
+            p = -np.expm1(log_clean(z, self.bias))
+            clean = np.bincount(of, np.where(p >= DOUBT, log_clean(z, self.bias), 0), len(texts))
             np.maximum.at(worst, of, p)
             number = np.arange(len(of)) - np.searchsorted(of, of)
             hit = np.flatnonzero(p >= worst[of])[::-1]
             at[of[hit]] = number[hit]
-        return -np.expm1(clean), at, worst
+        return np.maximum(-np.expm1(clean), worst), at, worst
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> Model:
+def candidates(counts: list[tuple[int, float, float]], n_clean: float, n_toxic: float) -> np.ndarray:
+    """The features that may get weights (see ``MIN_DOCS``), of (feature, clean, toxic documents)."""
+    return np.array(sorted(f for f, clean, toxic in counts if toxic >= MIN_DOCS and toxic / max(1e-9, n_toxic) >= LIFT * clean / max(1e-9, n_clean)), np.int64)
+
+
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, used: np.ndarray) -> Model:
     """Proximal gradient descent (Adam steps, soft thresholds) on the weighted log loss of the
-    noisy-or of bags (sentence, features).
+    noisy-or of bags (number of sentences, and sentence and feature of each occurrence of the ``used``
+    features, which alone get weights).
 
-    Only candidates (see ``MIN_DOCS``) get weights. The soft thresholds choose among them in the
-    first half of the steps; the second half fits the chosen ones without shrinking them.
+    The soft thresholds choose among them in the first half of the steps; the second half fits the
+    chosen ones without shrinking them.
     """
     y = labels.astype(bool)
-    seen = np.zeros((2, 1 << BITS))
-    for (_, f), toxic, weight in zip(bags, y, weights, strict=True):
-        seen[int(toxic), np.unique(f)] += weight
-    n_clean, n_toxic = max(1e-9, weights[~y].sum()), max(1e-9, weights[y].sum())
-    used = np.flatnonzero((seen[1] >= MIN_DOCS) & (seen[1] / n_toxic >= LIFT * seen[0] / n_clean))
     index = np.full(1 << BITS, -1)
     index[used] = np.arange(len(used))
-    base, sent, feat, doc_of = 0, [], [], []
-    for i, (s, f) in enumerate(bags):
-        n = int(s[-1]) + 1 if len(s) else 0
-        doc_of.append(np.full(n, i))
-        keep = index[f] >= 0
-        sent.append(np.repeat(s, 3)[keep.ravel()] + base)
-        feat.append(index[f][keep])
-        base += n
-    sent, feat = np.concatenate([*sent, np.zeros(0, int)]), np.concatenate([*feat, np.zeros(0, int)])
-    doc_of = np.concatenate([*doc_of, np.zeros(0, int)])
+    counts = np.array([n for n, _, _ in bags], np.int64)
+    starts = np.cumsum(counts) - counts
+    base = int(counts.sum())
+    sent = np.concatenate([*(s + at for (_, s, _), at in zip(bags, starts.tolist(), strict=True)), np.zeros(0, int)]).astype(np.int64)
+    feat = index[np.concatenate([*(f for _, _, f in bags), np.zeros(0, int)]).astype(np.int64)]
+    doc_of = np.repeat(np.arange(len(bags)), counts)
     w, b = np.full(len(used) + 1, 2.0), -7.0  # from zero no sentence would have enough gradient to begin
     lasso = LASSO / max(1.0, weights.sum())
     weights = weights / max(1e-9, weights.sum())
@@ -144,33 +150,59 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from the labelled documents that are not held out.
 
-    Null labels and ids count as no label; of repeated labels the largest holds. Without any
-    positive row the model calls nothing toxic.
+    Fitted are at most ``rows`` documents of each label; to the driver come the numbers of their sentences and
+    the occurrences of features that are candidates, not their texts. Null labels and ids count as no label; of
+    repeated labels the largest holds; repeated documents count as often as they occur. Without any positive row
+    the model calls nothing toxic.
     """
     labels = only(labels, doc_id="long", toxic="int").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.withColumn("order", F.xxhash64("doc_id", F.lit("fit")))
     total = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [labels.filter(F.col("toxic") == y).orderBy("order", "doc_id").limit(rows) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic").collect()
-    picked = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int")
+    spark = docs.sparkSession
+    picked = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int")
+    picked = Scratch(spark, "toxicity").table(only(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id"), "picked")
+    weight = {k: n / max(1, min(n, rows)) for k, n in total.items()}
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The features of each document, once."""
+        for batch in batches:
+            for b in slices(batch):
+                doc, _, codes, table = sentences(b.column("text"))
+                cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                found = [np.unique(table[codes[a:z]]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                n = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(b.column("toxic").to_numpy(), n))], names=["feature", "toxic"])
+
+    per = picked.mapInArrow(seen, "feature long, toxic int").groupBy("feature").agg(*(F.sum((F.col("toxic") == y).cast("double") * weight.get(y, 0.0)).alias(f"n{y}") for y in (0, 1)))
+    n = {r["toxic"]: r["n"] * weight[r["toxic"]] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    used = candidates([tuple(r) for r in per.filter(F.col("n1") >= MIN_DOCS).collect()], n.get(0, 0.0), n.get(1, 0.0))
+    mask = np.zeros(1 << BITS, bool)
+    mask[used] = True
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each document the number of its sentences, and where the candidates are."""
         for batch in batches:
             for b in slices(batch):
                 doc, sentence, codes, table = sentences(b.column("text"))
                 cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                bags = [(sentence[a:z] - (sentence[a] if z > a else 0), table[codes[a:z]]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("toxic"), pa.array([s.astype("<i4").tobytes() for s, _ in bags]), pa.array([f.astype("<i4").tobytes() for _, f in bags])],
-                    names=["doc_id", "toxic", "sentence", "feature"],
-                )
-
-    got = only(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id").mapInArrow(features, "doc_id long, toxic int, sentence binary, feature binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["feature"]))
+                names = ["doc_id", "toxic", "n", "sentence", "feature"]
+                columns: list[list] = [[], [], []]
+                for a, z in zip(cut[:-1], cut[1:], strict=True):
+                    f = table[codes[a:z]]
+                    at, which = np.nonzero(mask[f])
+                    first = sentence[a] if z > a else 0
+                    columns[0].append(int(sentence[z - 1] - first) + 1 if z > a else 0)
+                    columns[1].append((sentence[a:z][at] - first).astype("<i4").tobytes())
+                    columns[2].append(f[at, which].astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])], names=names)
+
+    got = picked.mapInArrow(features, "doc_id long, toxic int, n long, sentence binary, feature binary").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["n"], r["feature"], r["sentence"]))
     y = np.array([r["toxic"] for r in got], int)
-    weight = {k: n / max(1, min(n, rows)) for k, n in total.items()}
-    bags = [(np.frombuffer(r["sentence"], "<i4"), np.frombuffer(r["feature"], "<i4").reshape(-1, 3)) for r in got]
-    model = fit(bags, y, np.array([weight[k] for k in y.tolist()], float))
+    bags = [(r["n"], np.frombuffer(r["sentence"], "<i4"), np.frombuffer(r["feature"], "<i4")) for r in got]
+    model = fit(bags, y, np.array([weight[k] for k in y.tolist()], float), used)
     del got, bags
     give_back()  # the driver lives on
     return model
@@ -194,7 +226,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
 
 
 def locate(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, sentence_no, sentence, score of each sentence at or above ``threshold``."""
+    """doc_id, sentence_no, sentence, score of each sentence at or above ``threshold``, of every row: repeated
+    rows repeat their sentences, a null doc_id stays null, texts without words have none."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +236,7 @@ def locate(spark: SparkSession, docs: DataFrame, model: Model, threshold: float
                 doc, sentence, codes, table = sentences(b.column("text"))
                 if not len(doc):
                     continue
-                p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, shared.value.weights[table].sum(axis=1)[codes]) + shared.value.bias, -60, 60)))
+                p = -np.expm1(log_clean(np.bincount(sentence, shared.value.weights[table].sum(axis=1)[codes]) + shared.value.bias, shared.value.bias))
                 of = doc[np.flatnonzero(np.diff(sentence, prepend=-1))]
                 number = np.arange(len(of)) - np.searchsorted(of, of)
                 rows: list[tuple] = []
@@ -225,7 +258,8 @@ def locate(spark: SparkSession, docs: DataFrame, model: Model, threshold: float
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns. Null and empty texts
+    stay, repeated rows share their fate, an empty table gives no rows."""
     prepared(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels))
     schema = docs.schema

@@ -221,6 +221,16 @@ def test_toxicity(spark):
     assert spots and all(re.search("nasty|vile", r.sentence) for r in spots if r.doc_id < 800)
     kept = toxicity.drop_toxic(spark, d, labels)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.predicted}
+    clean = [t for i, t, _ in rows if i % 5]
+    long = docs_of(spark, [(k, ". ".join((clean * 2)[:k]), "a") for k in (50, 400, 1200)] + [(7, ". ".join(clean) + ". so nasty.", "a")])
+    found = {r.doc_id: r.score for r in toxicity.score(spark, long, model).collect()}
+    assert found.pop(7) >= 0.3 and max(found.values()) < 0.3  # clean sentences add up to nothing
+    idf = lambda w: sum(model.weights[i] for i in toxicity.features_of(pa.array([w]))[0])
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for i, t, _ in rows[:40]:
+        p = [max(0.0, 1 - (1 - sigmoid(sum(map(idf, x.lower().split())) + model.bias)) / (1 - sigmoid(model.bias))) for x in re.split(r"(?<=[.!?])\s+", t)]
+        assert abs(out[i].score - max(*p, 1 - math.prod(1 - x for x in p if x >= toxicity.DOUBT))) < 1e-9 and abs(out[i].worst_score - max(p)) < 1e-9
+        assert p[out[i].worst_sentence] >= max(p) - 1e-12
     assert toxicity.score(spark, d, toxicity.train(d.limit(0), labels.limit(0))).agg(F.max("score")).first()[0] < 0.3
 
 
