@@ -5,8 +5,8 @@ them: a document is toxic unless every sentence is clean, p = 1 - prod(1 - p_s).
 trained through the noisy-or from document labels alone, and then points at the sentences.
 
 A sentence counts only for what its words say beyond a sentence without evidence: 1 - p_s is divided by
-that of the bias alone, and is 1 at most. Sentences below ``DOUBT`` do not add up: of them the worst alone
-counts. So clean sentences, however many, do not make a document toxic.
+that of the bias alone, and is 1 at most. A document is scored by the noisy-or of its worst ``SPAN``
+sentences in a row, so that weak evidence counts where it is dense, and does not add up over a long text.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ BITS = 18
 MIN_DOCS, LIFT = 3, 3.0
 #: LASSO: a feature needs the evidence of about so many documents to get a weight.
 STEPS, RATE, LASSO = 200, 0.1, 1.5
-THRESHOLD, DOUBT = 0.3, 0.2
+THRESHOLD, SPAN = 0.3, 12
 EDGE = "\x1e"
 PUNCTUATION = ".,;:!?|\"'()[]"
 
@@ -87,12 +87,14 @@ class Model:
             first = np.flatnonzero(np.diff(sentence, prepend=-1))
             of = doc[first]
             p = -np.expm1(log_clean(z, self.bias))
-            clean = np.bincount(of, np.where(p >= DOUBT, log_clean(z, self.bias), 0), len(texts))
+            upto = np.concatenate([[0], np.cumsum(log_clean(z, self.bias))])
+            begin = np.maximum(np.searchsorted(of, of), np.arange(len(of)) - SPAN + 1)
+            np.minimum.at(clean, of, upto[1:] - upto[begin])
             np.maximum.at(worst, of, p)
             number = np.arange(len(of)) - np.searchsorted(of, of)
             hit = np.flatnonzero(p >= worst[of])[::-1]
             at[of[hit]] = number[hit]
-        return np.maximum(-np.expm1(clean), worst), at, worst
+        return np.clip(np.maximum(-np.expm1(clean), worst), 0, 1), at, worst
 
 
 def candidates(counts: list[tuple[int, float, float]], n_clean: float, n_toxic: float) -> np.ndarray:
