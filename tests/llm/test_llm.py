@@ -246,30 +246,61 @@ def test_extract(spark):
         (4, "http://g/4", page.format("<p>alpha beta gamma</p><p>we use cookies on this site please agree</p>")),
         (5, "http://g/5", page.format("<p>delta epsilon</p><p>we use cookies on this site please agree</p>")),
         (5, "http://g/5", page.format("<p>delta epsilon</p><p>we use cookies on this site please agree</p>")),
+        (8, "http://g/8", page.format("<p>zeta</p><p>we use cookies on this site please agree</p>")),
         (6, "http://g/6", "<p>" + "long word " * 50_000),
         (7, "http://g/7", page.format("<header>site</header><main><p>x < y</p><aside>ad</aside></main>")),
     ]
     d = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html.extract(d).collect())
-    texts = {1: "T & u\none two three x\nfour", 2: "", 3: "", 4: "alpha beta gamma", 5: "delta epsilon", 6: ("long word " * 50_000).strip(), 7: "x < y"}
+    texts = {1: "T & u\none two three x\nfour", 2: "", 3: "", 4: "alpha beta gamma", 5: "delta epsilon", 8: "zeta", 6: ("long word " * 50_000).strip(), 7: "x < y"}
     assert got == sorted((r[0], texts[r[0]], len(texts[r[0]])) for r in rows)
     assert html.extract(d.limit(0)).count() == 0
 
 
-def test_covered():
+def test_classes_do_not_empty_articles():
+    texts = lambda h: [t for k, t in html.blocks(h) if k == html.ARTICLE]
+    assert texts("<article class='post comments-open'><p>one</p><div class='search-results'>two</div><label>three</label> <svg><title>x</title><text>four</text></svg></article>") == ["one", "two", "three four"]
+    assert texts("<main id='search-form'>a<div class='post comments'>c</div><div class='ad'>d</div></main>") == ["a"]
+
+
+def test_large_host_and_near_copies(spark):
+    """Boilerplate on few pages of a large host goes; what near copies share, and words inside of blocks, stay."""
+    words_of = lambda *seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 12))
+    rows, want = [], {}
+    for i in range(1000):
+        text = f"Unique opening words of page number {i}. The committee met again in the autumn to talk it over"
+        rows.append((i, f"http://Big/{i}", f"<div>Home</div><p>{text}</p>" + "<p>A rare note on few pages, please read it with care.</p>" * (i % 200 == 7)))
+        want[i] = text
+    for i in range(2000, 2004):  # near copies: one paragraph differs
+        rows.append((i, f"http://copies{i // 2}/{i}", f"<p>{words_of(1)}</p><p>{words_of(2, i)}</p>"))
+        want[i] = f"{words_of(1)}\n{words_of(2, i)}"
+    rows += [(i, f"http://same/{i}", f"<p>{words_of(3)}</p>") for i in range(3000, 3009)]
+    want |= {i: words_of(3) for i in range(3000, 3009)}
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    assert {r.page_id: r.text for r in html.extract(d).collect()} == want
+
+
+def test_repeats():
     rng = np.random.default_rng(7)
-    streams = [rng.integers(0, 6, n) for n in (40, 0, 3, 60, 25)]
+    streams = [rng.integers(0, 6, n).astype(np.uint64) for n in (40, 0, 3, 60, 25)]
     k = 4
-    pages = defaultdict(set)
+    found = defaultdict(set)
+    for p, i, run in zip(*(x.tolist() for x in html.repeats(streams, k)), strict=True):
+        found[run].add((p, i))
+    want = defaultdict(set)
     for p, s in enumerate(streams):
         for i in range(len(s) - k + 1):
-            pages[tuple(s[i : i + k])].add(p)
-    for p, (s, hit) in enumerate(zip(streams, html.covered(streams, k), strict=True)):
-        want = np.zeros(len(s), bool)
-        for i in range(len(s) - k + 1):
-            if len(pages[tuple(s[i : i + k])]) > 1:
-                want[i : i + k] = True
-        assert hit.tolist() == want.tolist()
+            want[tuple(s[i : i + k].tolist())].add((p, i))
+            assert html.grams(s, k)[i] == html.grams(s[i : i + k], k)[0]
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def test_unique_blocks():
+    texts = ["a b c", "d e f g h i", "j"]
+    assert html.unique_blocks(texts, [True] * 3, [4], 8) == ["a b c", "j"]
+    assert html.unique_blocks(texts, [True] * 3, [6], 4) == texts  # a part of a block is no block
+    assert html.unique_blocks(texts, [True, False, True], [0, 4], 8) == ["j"]
+    assert html.unique_blocks(["a b"], [True], [0], 4) == ["a b"]
 
 
 # --- 4: warc ----------------------------------------------------------------------------------------
