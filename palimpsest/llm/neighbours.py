@@ -4,12 +4,13 @@ Every vector keeps a list of its nearest neighbours so far. A round sends each v
 whose lists it is, compares the neighbours of each vector with each other there (neighbours of neighbours),
 and keeps the nearest. A vector whose whole list is at or above the threshold has a longer list in the next
 round. Rounds end when few lists change. Every pair at or above the threshold that was met joins components,
-whether a list has room for it or not; inside a component, links are counted by blocks of exact products, so
-that lists need not be as long as the largest group.
+whether a list has room for it or not; links inside a component are counted exactly, so that lists need not
+be as long as the largest group.
 
 Lists full of a vector's own component hide what is near it outside. So turns follow in which only vectors
 of other components are listed, compared and met, along new projections, with a few of the vector's own
-component to hear from. They end when nothing more joins and the recall is high enough. It is audited against
+component to hear from. They end when nothing more joins and the recall is high enough; if ``TURNS`` turns do
+not reach that, products of all pairs of blocks do. The recall is audited against
 brute force on vectors chosen by hash before anything is found: on more of them, up to ``AUDIT_MOST``, until
 ``AUDIT_LINKS`` links are among theirs.
 
@@ -36,8 +37,8 @@ LIST, LONGEST, SORTS, WINDOW = 8, 64, 6, 4
 ROUNDS, CHANGED = 6, 0.01
 AUDIT, AUDIT_MOST, AUDIT_LINKS, RECALL = 64, 4096, 200, 0.98
 BLOCK = 512
-#: Neighbours of the own component that a vector hears from, and turns at most; the recall is reported as it is.
-KIN, TURNS = 4, 20
+#: Neighbours of the own component that a vector hears from, and turns at most; then all pairs are compared.
+KIN, TURNS = 4, 10
 #: Products of vectors in single precision, added in double, are off by less.
 SLACK = 1e-5
 
@@ -196,21 +197,53 @@ def _round(nodes: DataFrame, lists: DataFrame, longest: int, kin: DataFrame | No
     return found.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("link").alias("link"))
 
 
-def _counts(nodes: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """id, links: how many rows each node of a component links with, by exact products of blocks."""
-    blocks = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    d = parts.join(blocks, "component").join(nodes, parts["node"] == nodes["id"]).join(sizes, "id").select("component", "id", "v", "size", "n", F.pmod(F.xxhash64("id"), F.col("n")).alias("mine"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
-    every = F.concat(F.transform(others, lambda o: F.struct(F.col("mine").alias("i"), o.alias("j"), F.lit(True).alias("row"))), F.transform(others, lambda o: F.struct(o.alias("i"), F.col("mine").alias("j"), F.lit(False).alias("row"))))
-    d = d.select("component", "id", "v", "size", F.explode(every).alias("at")).select("component", "id", "v", "size", "at.*")
+def _counts(nodes: DataFrame, parts: DataFrame, sizes: DataFrame, dim: int) -> DataFrame:
+    """id, links: how many rows each node of a component links with, itself included.
+
+    Vectors within half the threshold's angle of their component's mean direction, its core, all link with
+    each other and are counted by sums. Only vectors outside of it meet their whole component, by exact
+    products of blocks.
+    """
+    d = parts.join(nodes, parts["node"] == nodes["id"]).join(sizes, "id").select("component", "id", "v", "size")
+    means = d.groupBy("component").agg(F.array(*[F.avg(F.col("v")[k]) for k in range(dim)]).cast("array<double>").alias("mean"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, c: s + c)
+    core = dot("v", "mean") >= F.lit(math.cos(math.acos(COSINE) / 2 - 1e-7)) * F.sqrt(dot("mean", "mean"))
+    d = d.join(means, "component").withColumn("core", core & (dot("mean", "mean") > 1e-6)).drop("mean")
+    blocks = d.groupBy("component").agg(
+        F.ceil(F.sum((~F.col("core")).cast("int")) / BLOCK).alias("n_rim"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"), F.sum(F.when(F.col("core"), F.col("size")).otherwise(0)).alias("of_core")
+    )
+    d = d.join(blocks, "component")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at = lambda i, j, row: F.struct(i.alias("i"), j.alias("j"), F.lit(row).alias("row"))
+    as_rim = F.transform(upto("n"), lambda j: at(F.pmod(F.xxhash64("id", F.lit("rim")), F.col("n_rim")), j, True))
+    as_member = F.transform(upto("n_rim"), lambda i: at(i, F.pmod(F.xxhash64("id"), F.col("n")), False))
+    every = F.when(F.col("core"), as_member).otherwise(F.concat(as_rim, as_member))
+    met = d.filter("n_rim > 0").select("component", "id", "v", "size", "core", F.explode(every).alias("at")).select("component", "id", "v", "size", "core", "at.*")
 
     def product(t: pa.Table) -> pa.Table:
-        row = t["row"].to_numpy()
-        ids, x, size = t["id"].to_numpy(), matrix(t["v"]), t["size"].to_numpy()
+        row, ids, x, size = t["row"].to_numpy(), t["id"].to_numpy(), matrix(t["v"]), t["size"].to_numpy()
+        core = t["core"].to_numpy()[~row]
         hit = cosines(x[row], x[~row]) >= COSINE
-        return pa.table({"id": pa.array(ids[row]), "links": pa.array((hit @ size[~row]).astype(np.int64))})
+        links = np.concatenate([hit @ size[~row], size[row] @ hit[:, core]])
+        return pa.table({"id": pa.array(np.concatenate([ids[row], ids[~row][core]])), "links": pa.array(links.astype(np.int64))})
+
+    outside = met.groupBy("component", "i", "j").applyInArrow(product, "id long, links long")
+    return d.filter("core").select("id", F.col("of_core").alias("links")).unionByName(outside).groupBy("id").agg(F.sum("links").alias("links"))
+
 
-    return d.groupBy("component", "i", "j").applyInArrow(product, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+def _all_pairs(nodes: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) that join what all links of ``n`` nodes join, by products of all pairs of blocks."""
+    upto, mine = F.sequence(F.lit(0).cast("long"), F.lit(-(-n // BLOCK) - 1).cast("long")), F.pmod(F.xxhash64("id"), F.lit(-(-n // BLOCK)))
+    d = nodes.select("id", "v", F.explode(F.transform(upto, lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))).alias("at")).select("id", "v", "at.*")
+
+    def product(t: pa.Table) -> pa.Table:
+        ids, x = t["id"].to_numpy(), matrix(t["v"])
+        hit = cosines(x, x) >= COSINE
+        np.fill_diagonal(hit, False)
+        a, b = np.nonzero(forest(hit))
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    return d.groupBy("i", "j").applyInArrow(product, "a long, b long")
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -281,7 +314,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 
     Two vectors link at a cosine of 0.9 or more, in double precision. Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing, and are components of their own. A row with
-    a null vec_id has a null component and kept = null. Rows that repeat a vec_id with an equal vector
+    a null vec_id has a null component and kept = null. Vectors of another length than most link with nothing
+    (of lengths that are as frequent, the smallest counts). Rows that repeat a vec_id with an equal vector
     are one vector; with different vectors, each is compared and the row's figures are those of its
     vec_id's smallest vector. An empty table gives no rows. Other columns, labels among them, are ignored.
     """
@@ -291,13 +325,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     same = ones.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))
     nodes = scratch.table(same, "nodes")
     sizes = nodes.select("id", "size")
-    first = nodes.select("v").first()
+    first = nodes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     groups, recall = nodes, 1.0
     nodes = nodes.select("id", "v")
     if first is None:
         parts = spark.createDataFrame([], "node long, component long")
     else:
-        dim = len(first["v"])
+        dim = first["dim"]
         nodes = nodes.filter(F.size("v") == dim)
         n = nodes.count()
         true = truth(spark, nodes, n, scratch)
@@ -320,7 +354,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
                 near = lists.select("id", F.explode(F.slice("nb", 1, KIN)).alias("e")).filter(F.col("e.s") >= COSINE).select("id", F.col("e.b").alias("to"))
                 kin = scratch.table(near.join(at("id"), "id").join(at("to"), "to").filter("id_ = to_").select("id", "to"), "kin")
             placed = scratch.table(nodes.join(at("id"), "id", "left").select("id", "v", F.coalesce("id_", "id").alias("part")), "placed")
-    counted = _counts(nodes, parts, sizes)
+        else:
+            parts = connected_components(scratch.table(_all_pairs(nodes, n), "pairs"), scratch)
+            recall = audit(true, parts)
+    counted = _counts(nodes, parts, sizes, 0 if first is None else dim)
     found = ones.join(groups.select("v", F.col("id"), "size"), "v").select("vec_id", "id", "size")
     found = found.join(parts.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")
     found = found.select("vec_id", (F.coalesce("links", F.col("size")) - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -142,6 +142,22 @@ def test_groups_larger_than_a_list_join(spark):
         assert (out[i].component_id, out[i].n_links) == (0, int((s[i] >= 0.9).sum()) - 1)
 
 
+def test_all_pairs_where_the_audit_fails(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TURNS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(neighbours, "audit", lambda true, parts: 0.5)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 8)), 4, axis=0) + rng.normal(size=(160, 8)) * 0.25
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))] + [(500, [1.0, 2.0])]
+    y = np.array([v / np.linalg.norm(v) for v in (np.array(r[1]) for r in rows[:160])])
+    s = y @ y.T
+    find = union_find(range(160), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(s >= 0.9, 1)), strict=True)])
+    out = {r.vec_id: r for r in neighbours.near_duplicates(spark, vectors(spark, rows)).collect()}
+    for i in range(160):
+        assert (out[i].component_id, out[i].n_links) == (find(i), int((s[i] >= 0.9).sum()) - 1)
+    assert (out[500].component_id, out[500].n_links, out[500].recall) == (500, 0, 0.5)
+
+
 def test_rare_pairs_are_found(spark):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(8000, 64))
