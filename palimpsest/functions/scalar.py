@@ -63,9 +63,11 @@ def identity_of(checksums: Column) -> Column:
     return F.when(F.size(checksums) > 0, F.substring(F.sha2(F.array_join(F.array_sort(checksums), ":"), 256), 1, 32))
 
 
-def content_hash(*columns: Column | str) -> Column:
-    """16 hexadecimal digits over named values in the order of their names."""
-    return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 16)
+def content_hash(*columns: str, **named: Column) -> Column:
+    """16 hexadecimal digits over named values in the order of their names, however they are given. Values that
+    are null do not count."""
+    values = {c: F.col(c) for c in columns} | named
+    return F.substring(F.sha2(F.to_json(F.struct(*[values[n].alias(n) for n in sorted(values)])), 256), 1, 16)
 
 
 def author_color(name: Column) -> Column:
@@ -133,4 +135,8 @@ def register(spark: SparkSession) -> None:
 
     spark.udf.register("sanitize_html", text.sanitize_html)
     spark.udf.register("render_note", text.render_note)
+    normal = "html"
+    for tag, before, after in text.REWRITES:
+        normal = f"regexp_replace({normal}, r'(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', '{before}$1{after}')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_html(html STRING) RETURNS STRING RETURN {normal}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION item_identity(c ARRAY<STRING>) RETURNS STRING RETURN CASE WHEN size(c) > 0 THEN substr(sha2(array_join(array_sort(c), ':'), 256), 1, 32) END")

@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import written
 
-def depths(nodes: DataFrame, most: int = 64) -> DataFrame:
+#: Up to so many levels the steps are one plan; beyond, each is written and looked at.
+CUT = 8
+
+def depths(nodes: DataFrame) -> DataFrame:
     """Adds depth: 0 for a node whose parent is null or not in the set; members of a cycle without root,
     and what hangs below them, come last with the depth -1.
 
     Parents are followed in doubling steps (each node points ever farther up), so a chain of n nodes
-    takes log2(n) joins.
+    takes log2(n) joins. Steps end once every pointer has reached a root, or has gone as many levels as there
+    are nodes, which only cycles do.
     """
+    total = nodes.count()
     up = nodes.alias("c").join(nodes.select(F.col("uuid").alias("p")), F.col("parent") == F.col("p"), "left").select(F.col("uuid").alias("node"), F.col("p").alias("up"), F.when(F.col("p").isNotNull(), 1).otherwise(0).alias("depth"))
     step = 1
-    while step < most:
+    while step <= total:
         far = up.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         up = up.join(far, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         step *= 2
+        if step >= CUT:  # from here on each step would repeat all of the steps before
+            up = written(up, "depths")
+            if up.filter("up is not null").isEmpty():
+                break
     out = nodes.join(up, nodes["uuid"] == up["node"]).drop("node")
     return out.withColumn("depth", F.when(F.col("up").isNull(), F.col("depth")).otherwise(-1)).drop("up")
 

@@ -22,6 +22,12 @@ def removals(state: DataFrame, keys: DataFrame, author: str, clock: int, at: int
     return d.select(*KEY, F.lit(author).alias("author"), F.lit(clock).cast("long").alias("clock"), "value", F.lit(True).alias("deleted"), F.lit(at).cast("long").alias("at"))
 
 
+def tombstones(keys: DataFrame, author: str, clock: int, at: int) -> DataFrame:
+    """Tombstones of keys whether they are there or not, without a value: templates and lists are removed so."""
+    d = keys.select(*KEY).distinct()
+    return d.select(*KEY, F.lit(author).alias("author"), F.lit(clock).cast("long").alias("clock"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted"), F.lit(at).cast("long").alias("at"))
+
+
 def hard_delete(state: DataFrame, keys: DataFrame) -> DataFrame:
     """The state without the keys, which leave no tombstone."""
     return state.join(keys.select(*KEY).distinct(), KEY, "left_anti")

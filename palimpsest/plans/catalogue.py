@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar, text
 from palimpsest.operators import hierarchy, items, maintain, match, reconcile, report, state, writes
+from palimpsest.plans.registry import QUERIES, SQL, query
+from palimpsest.session import written
 from palimpsest.sources import projections as P
 
 ME = "u0"
 #: Tombstones before this time (ms) are old: the middle of the event table's span.
 CUTOFF_SHARE = 2
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 # --- CTEs of the oracles -------------------------------------------------------------------------
 
@@ -80,16 +78,6 @@ def _normalize_sql(s: str) -> str:
     return s
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.merge(P.ops(spark, sf_dir))
 
@@ -225,15 +213,16 @@ def syncable_items(spark, sf_dir):
     return P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("local_id")).join(known, "local_id", "left_semi")
 
 
-def _matching(spark, sf_dir):
+def _matching(spark, sf_dir, keep=lambda d, _: d):
+    """``keep`` may write what several parts of a plan read."""
     local_photos, remote_photos = P.photos(spark, sf_dir), P.remote_photos(spark, sf_dir)
-    local = match.index(match.identities(local_photos, "local_id"))
-    now = match.identities(remote_photos, "remote_id")
+    local = keep(match.index(match.identities(local_photos, "local_id")), "local")
+    now = keep(match.identities(remote_photos, "remote_id"), "remote")
     old = F.col("remote_id") % 3 == 2
     remote = now.withColumn("identity", F.when(old, F.concat(F.lit("old"), "identity")).otherwise(F.col("identity")))
     aliases = now.filter(old).groupBy("identity").agg(F.min("remote_id").alias("ordinal")).select(F.concat(F.lit("old"), "identity").alias("old_identity"), "ordinal", F.col("identity").alias("target"))
-    exact = match.exact(remote, local)
-    return exact, match.alias(remote, local, exact, aliases), local_photos, remote_photos
+    exact = keep(match.exact(remote, local), "exact")
+    return exact, keep(match.alias(remote, local, exact, aliases), "alias"), local_photos, remote_photos
 
 
 @query(f"WITH {_MATCH} SELECT remote_id, local_id FROM exact")
@@ -257,8 +246,8 @@ def match_fuzzy(spark, sf_dir):
   f1 AS (SELECT min(remote_id) AS remote_id, local_id, 'fuzzy' AS kind FROM fuzzy WHERE remote_id NOT IN (SELECT remote_id FROM taken) AND local_id NOT IN (SELECT local_id FROM taken) GROUP BY local_id)
   SELECT * FROM taken UNION ALL SELECT * FROM f1""")
 def match_resolved(spark, sf_dir):
-    exact, alias, local_photos, remote_photos = _matching(spark, sf_dir)
-    return match.resolve(exact, alias, match.similar(remote_photos, local_photos))
+    exact, alias, local_photos, remote_photos = _matching(spark, sf_dir, written)
+    return match.resolve(exact, alias, written(match.similar(remote_photos, local_photos), "similar"))
 
 
 # --- items ---------------------------------------------------------------------------------------
@@ -489,7 +478,7 @@ def changed_items(spark, sf_dir):
 @query()
 def backup_snapshot(spark, sf_dir):
     d = state.snapshot(_state(spark, sf_dir))
-    return d.select("identity", "section", F.to_json("entries").alias("entries"), scalar.content_hash("identity", "section", F.to_json("entries").alias("entries")).alias("hash"))
+    return d.select("identity", "section", F.to_json("entries").alias("entries"), scalar.content_hash("identity", "section", entries=F.to_json("entries")).alias("hash"))
 
 
 @query("SELECT 's_' || l_orderkey || '_' || l_linenumber AS uuid, l_partkey FROM lineitem WHERE isfinite(l_quantity) AND l_discount * 100 > 0 AND l_tax * 100 > 0")
@@ -501,10 +490,10 @@ def valid_rects(spark, sf_dir):
 _RECT = "photo || ':' || CAST(floor(x + 0.5) AS BIGINT) || ':' || CAST(floor(y + 0.5) AS BIGINT) || ':' || CAST(floor(w + 0.5) AS BIGINT) || ':' || CAST(floor(h + 0.5) AS BIGINT)"
 
 
-@query(f"WITH {_SEL}, r AS (SELECT DISTINCT 'selfp:' || {_RECT} AS s FROM sel WHERE photo LIKE 'cs1%') SELECT s, {_fnv_hex('s')} AS fingerprint FROM r")
+@query(f"WITH {_SEL}, r AS (SELECT DISTINCT 'selfp:' || {_RECT} AS s FROM sel) SELECT s, {_fnv_hex('s')} AS fingerprint FROM r")
 def selection_fp(spark, sf_dir):
     rect = [scalar.round_half_up(F.col(c)).cast("string") for c in "xywh"]
-    d = P.selections(spark, sf_dir).filter("photo like 'cs1%'").select("photo", *[F.col(c) for c in "xywh"], F.concat_ws(":", F.lit("selfp"), "photo", *rect).alias("s"))
+    d = P.selections(spark, sf_dir).select("photo", *[F.col(c) for c in "xywh"], F.concat_ws(":", F.lit("selfp"), "photo", *rect).alias("s"))
     return d.dropDuplicates(["s"]).select("s", scalar.selection_fingerprint(F.col("photo"), *[F.col(c) for c in "xywh"]).alias("fingerprint"))
 
 
@@ -538,8 +527,9 @@ def apply_transcriptions(spark, sf_dir):
 @query(f"""WITH {_STATE}, l AS (SELECT identity, 'NAME' || substr(key, 2) AS name, deleted FROM state WHERE section = 'lists' AND author IS DISTINCT FROM 'u0')
   SELECT identity, name, CASE WHEN deleted THEN 'remove' ELSE 'add' END AS action FROM l WHERE CAST(substr(name, 5) AS INT) % 2 = 1""")
 def apply_lists(spark, sf_dir):
-    here = spark.range(1, 2000, 2).select(F.concat(F.lit("NAME"), "id").alias("name"))
-    d = state.foreign(_state(spark, sf_dir).filter("section = 'lists'"), ME).select("identity", F.concat(F.lit("NAME"), F.substring("key", 2, 20)).alias("name"), "deleted")
+    number = F.substring("key", 2, 20)
+    here = P.ops(spark, sf_dir).filter("section = 'lists'").filter(number.cast("long") % 2 == 1).select(F.concat(F.lit("NAME"), number).alias("name")).distinct()
+    d = state.foreign(_state(spark, sf_dir).filter("section = 'lists'"), ME).select("identity", F.concat(F.lit("NAME"), number).alias("name"), "deleted")
     return d.join(here, "name", "left_semi").select("identity", "name", F.when(F.col("deleted"), "remove").otherwise("add").alias("action"))
 
 
@@ -816,3 +806,7 @@ def stream_state(spark, sf_dir):
     from palimpsest.streaming.oplog import replay
 
     return replay(spark, P.ops(spark, sf_dir))
+
+
+# the queries of all sections are in a module of their own, which uses the oracles' parts above
+from palimpsest.plans import sections  # noqa: E402, F401

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.operators.state import KEY
+from palimpsest.operators.state import KEY, merge
+from palimpsest.session import shared_dir
 from palimpsest.sources import readers
 
 ENTRY = "identity string, section string, key string, clock long, author string, value string, deleted boolean, deleted_at long"
@@ -65,10 +66,56 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy(*KEY).agg(F.max(F.struct("batch", *columns)).alias("m")).select(*KEY, *[f"m.{c}" for c in columns])
 
 
+def fold(path: str):
+    """A foreachBatch sink that keeps the whole state: version n is version n - 1 merged with the batch.
+
+    A batch is reduced to its winners first, so hot keys combine before the shuffle, and merging is idempotent: a
+    batch that runs again writes the same version. Older versions but the last are removed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        ops = batch.select(*KEY, *COLUMNS)
+        if number:
+            before = spark.read.schema(ENTRY).parquet(f"{path}/v{number - 1}")
+            ops = ops.unionByName(before.withColumnRenamed("deleted_at", "at").select(*KEY, *COLUMNS))
+        merge(ops).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            drop(spark, f"{path}/v{number - 2}")
+
+    return write
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version behind ``fold``; no entries before the first batch."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.schema(ENTRY).parquet(f"{path}/v{max(numbers)}") if numbers else spark.createDataFrame([], ENTRY)
+
+
 def replay(spark: SparkSession, ops: DataFrame, files: int = 3) -> DataFrame:
     """Writes an op-log in parts by clock and streams it; the state after the last part."""
-    at = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/palimpsest-stream").rstrip("/") + f"/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ops.withColumn("file", F.col("clock") % files).repartition(files, "file").drop("file").write.parquet(f"{at}/log")
-    stream = merged(readers.op_stream(spark, f"{at}/log"))
-    stream.writeStream.outputMode("update").foreachBatch(upsert(f"{at}/state")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return latest(spark, f"{at}/state")
+    stream = readers.op_stream(spark, f"{at}/log")
+    stream.writeStream.foreachBatch(fold(f"{at}/state")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return newest(spark, f"{at}/state")
+
+
+def safety_poll(ops: DataFrame, applied: DataFrame) -> DataFrame:
+    """The identities whose merged state holds an entry newer than what was applied (identity, clock): what a full
+    poll finds when changes were missed."""
+    now = merge(ops).groupBy("identity").agg(F.max("clock").alias("now"))
+    return now.join(applied, "identity", "left").filter(F.col("clock").isNull() | (F.col("now") > F.col("clock"))).select("identity")
+
+
+def activity(history: DataFrame, live: DataFrame) -> DataFrame:
+    """History, then what is live: each event once, by its number (seq)."""
+    return history.unionByName(live).dropDuplicates(["seq"])
