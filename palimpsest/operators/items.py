@@ -17,6 +17,33 @@ def enrich(items: DataFrame, photos: DataFrame, metadata: DataFrame) -> DataFram
     return items.join(nested, "local_id", "left").withColumn("photo", F.coalesce("photo", F.array().cast("array<struct<ordinal:int,checksum:string,brand:string,size:int>>")))
 
 
+def _nested(child: DataFrame, by: str, name: str, columns: list[str]) -> DataFrame:
+    return child.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def tree(items: DataFrame, photos: DataFrame, tags: DataFrame, notes: DataFrame, selections: DataFrame, transcriptions: DataFrame) -> DataFrame:
+    """Whole items: their tags, and photos with notes, transcriptions and selections, which have notes of their own.
+
+    photos: local_id, ordinal, checksum; tags: local_id, name; notes: parent (a checksum or a selection's uuid), uuid,
+    text; selections: checksum, uuid; transcriptions: checksum, uuid, text. What an item or photo lacks is an
+    empty array. Photos of the same checksum have the same notes.
+    """
+    note = _nested(notes, "parent", "note", ["uuid", "text"])
+    s = selections.join(note.withColumnRenamed("parent", "uuid"), "uuid", "left").withColumn("note", F.coalesce("note", F.array().cast(note.schema["note"].dataType)))
+    parts = [
+        (note.withColumnRenamed("parent", "checksum"), "note"),
+        (_nested(s, "checksum", "selection", ["uuid", "note"]), "selection"),
+        (_nested(transcriptions, "checksum", "transcription", ["uuid", "text"]), "transcription"),
+    ]
+    p = photos
+    for d, name in parts:
+        p = p.join(d, "checksum", "left").withColumn(name, F.coalesce(name, F.array().cast(d.schema[name].dataType)))
+    nested = _nested(p, "local_id", "photo", ["ordinal", "checksum", "note", "selection", "transcription"])
+    named = tags.groupBy("local_id").agg(F.array_sort(F.collect_set("name")).alias("tag"))
+    out = items.join(nested, "local_id", "left").join(named, "local_id", "left")
+    return out.withColumn("photo", F.coalesce("photo", F.array().cast(nested.schema["photo"].dataType))).withColumn("tag", F.coalesce("tag", F.array().cast("array<string>")))
+
+
 def is_property(key: Column) -> Column:
     """Whether a key of an item is metadata: a compact or full URI, and nothing of the structure."""
     return ~key.rlike("^[@_]") & ~key.isin(*STRUCTURAL) & key.rlike("[:/]")

@@ -40,6 +40,31 @@ def validate(sizes: DataFrame, floods: DataFrame, limit: int) -> DataFrame:
     return d.withColumn("valid", (F.col("n_oversize") == 0) & ~F.col("flood"))
 
 
+#: How warnings name an entry of a section.
+NAMED = {"notes": "Note", "selectionNotes": "Selection note", "transcriptions": "Transcription", "metadata": "Metadata"}
+
+
+def warnings(entries: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """identity, warnings, valid of entries (identity, section, key, size, deleted): one warning for each live entry
+    above its section's limit. Tombstones, however many, do not make an item invalid."""
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("section")]
+    name = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])[F.col("section")]
+    text = F.concat(name, F.lit(" "), "key", F.lit(" exceeds max size ("), F.col("size").cast("string"), F.lit(" > "), limit.cast("string"), F.lit(")"))
+    found = F.when(~F.coalesce("deleted", F.lit(False)) & (F.col("size") > limit), text)
+    d = entries.groupBy("identity").agg(F.array_sort(F.collect_list(found)).alias("warnings"))
+    return d.withColumn("valid", F.size("warnings") == 0)
+
+
+def credits(state: DataFrame, users: DataFrame, me: str) -> DataFrame:
+    """identity, author, name, tag, color of those who contributed to an item: the display name of ``users``
+    (author, display_name), or the author where it has none."""
+    from palimpsest.functions.scalar import author_color
+
+    d = foreign(live(state), me).filter(F.col("section").isin(*CREDITED)).select("identity", "author").distinct()
+    d = d.join(users.select("author", "display_name"), "author", "left").withColumn("name", F.coalesce("display_name", "author"))
+    return d.select("identity", "author", "name", F.concat(F.lit("@"), "name").alias("tag"), author_color(F.col("author")).alias("color"))
+
+
 def room_stats(events: DataFrame) -> DataFrame:
     """From room, client, kind, at: connections, syncs, first and last activity."""
     return events.groupBy("room").agg(F.countDistinct("client").alias("clients"), F.count_if(F.col("kind") == "sync").alias("total_syncs"), F.min("at").alias("created"), F.max("at").alias("last_activity"))

@@ -7,10 +7,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar, text
-from palimpsest.operators import maintain, reconcile, sections, state, writes
-from palimpsest.plans.catalogue import _CUT, _LISTS, _OPS, _PHOTOS, _STATE, ME, _cutoff, _fnv_hex
+from palimpsest.operators import items, maintain, reconcile, report, sections, state, writes
+from palimpsest.plans.catalogue import _CUT, _UNITS, _WRAP, _LISTS, _OPS, _PHOTOS, _STATE, ME, _cutoff, _fnv_hex
 from palimpsest.plans.registry import query
 from palimpsest.sources import projections as P
+from palimpsest.sources import readers
 from palimpsest.streaming import oplog
 
 # --- notes ---------------------------------------------------------------------------------------
@@ -374,3 +375,82 @@ def activity_feed(spark, sf_dir):
 def snapshot_pull(spark, sf_dir):
     ops = P.ops(spark, sf_dir)
     return state.merge(sections.snapshot_ops(state.merge(ops.filter("clock % 2 = 0")), ops.filter("clock % 2 = 1")))
+
+
+# --- whole items, vaults, connections, warnings --------------------------------------------------
+
+
+def _tree(spark, sf_dir):
+    orders = P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("local_id"), F.col("o_orderpriority").alias("title"))
+    tags = P.ops(spark, sf_dir).filter("section = 'tags' and not deleted").select(F.substring("identity", 5, 20).cast("long").alias("local_id"), F.col("key").alias("name"))
+    docs = P.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("n_"), "doc_id").alias("uuid"), F.col("lang").alias("text"))
+    notes = docs.select(F.concat(F.lit("cs"), F.col("doc_id") % 300).alias("parent"), "uuid", "text").union(docs.filter("doc_id % 2 = 0").select(F.concat(F.lit("s_"), "doc_id"), F.concat(F.lit("m_"), "doc_id"), "text"))
+    selections = docs.select(F.concat(F.lit("cs"), F.col("doc_id") % 200).alias("checksum"), F.concat(F.lit("s_"), "doc_id").alias("uuid"))
+    tx = P.transcriptions(spark, sf_dir).select(F.concat(F.lit("cs"), F.col("conv_id") % 250).alias("checksum"), "uuid", "text")
+    return items.tree(orders, P.photos(spark, sf_dir), tags, notes, selections, tx)
+
+
+@query(f"""WITH {_OPS}, {_PHOTOS}, tg AS (SELECT CAST(substr(identity, 5) AS BIGINT) AS local_id, string_agg(DISTINCT key, ',' ORDER BY key) AS tags FROM ops WHERE section = 'tags' AND NOT deleted GROUP BY 1),
+  nt AS (SELECT 'cs' || (doc_id % 300) AS checksum, string_agg('n_' || doc_id || lang, ',' ORDER BY 'n_' || doc_id) AS notes FROM documents GROUP BY 1),
+  sl AS (SELECT 'cs' || (doc_id % 200) AS checksum, string_agg('s_' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ':m_' || doc_id ELSE ':' END, ',' ORDER BY 's_' || doc_id) AS selections FROM documents GROUP BY 1),
+  tr AS (SELECT 'cs' || (conv_id % 250) AS checksum, count(*) AS n_tx FROM conversations GROUP BY 1)
+  SELECT o_orderkey AS local_id, o_orderpriority AS title, coalesce(tags, '') AS tags, ordinal, checksum, coalesce(notes, '') AS notes, coalesce(selections, '') AS selections, coalesce(n_tx, 0) AS n_tx
+  FROM orders LEFT JOIN tg ON o_orderkey = tg.local_id JOIN photos ON o_orderkey = photos.local_id LEFT JOIN nt USING (checksum) LEFT JOIN sl USING (checksum) LEFT JOIN tr USING (checksum)""")
+def item_tree(spark, sf_dir):
+    d = _tree(spark, sf_dir).select("local_id", "title", F.array_join("tag", ",").alias("tags"), F.inline("photo"))
+    notes = F.array_join(F.transform("note", lambda n: F.concat(n["uuid"], n["text"])), ",")
+    marks = F.transform("selection", lambda s: F.concat(s["uuid"], F.lit(":"), F.array_join(F.transform(s["note"], lambda n: n["uuid"]), ";")))
+    return d.select("local_id", "title", "tags", "ordinal", "checksum", notes.alias("notes"), F.array_join(marks, ",").alias("selections"), F.size("transcription").cast("long").alias("n_tx"))
+
+
+@query(f"""WITH {_OPS} SELECT author, count(DISTINCT key) FILTER (WHERE section = 'notes') AS applied, count(DISTINCT key) FILTER (WHERE section = 'notes' AND deleted) * 3 AS failures, max(clock) AS push_seq, count(DISTINCT key) FILTER (WHERE section = 'lists') AS mapped FROM ops GROUP BY 1""")
+def vault_load(spark, sf_dir):
+    ops = P.ops(spark, sf_dir)
+    keys = lambda c: F.array_sort(F.collect_set(F.when(F.expr(c), F.col("key"))))
+    d = ops.groupBy("author").agg(keys("section = 'notes'").alias("a"), keys("section = 'notes' and deleted").alias("f"), F.max("clock").alias("pushSeq"), keys("section = 'lists'").alias("l"))
+    text = F.to_json(F.struct((F.substring("author", 2, 1).cast("int") % 4 + 1).alias("version"), "pushSeq", F.col("a").alias("appliedNoteKeys"), F.col("f").alias("failedNoteKeys"), F.transform("l", lambda k: F.array(k, F.concat(F.lit("id"), k))).alias("listMappings")))
+    first = d.select("author", readers.parse_vault(text).alias("v")).select("author", "v.*")
+    again = first.select("author", F.struct(*[c for c in first.columns if c != "author"]).alias("v"))
+    stored = readers.vault_text(first.withColumn("failedNoteKeys", F.col("failedNoteKeys"))).select(readers.parse_vault(F.col("value")).alias("v"))
+    d = again.select("author", "v.pushSeq", "v.appliedNoteKeys", "v.failedNoteKeys", "v.listMappings").join(stored.select("v.pushSeq", F.col("v.failedNoteKeys").alias("again")), "pushSeq")
+    failures = F.aggregate("again", F.lit(0).cast("long"), lambda s, e: s + e["n"])
+    return d.select("author", F.size("appliedNoteKeys").cast("long").alias("applied"), failures.alias("failures"), F.col("pushSeq").alias("push_seq"), F.size("listMappings").cast("long").alias("mapped"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'ws' WHEN 1 THEN 'file' ELSE 'snapshot' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS room, CASE c_custkey % 3 WHEN 1 THEN '/h' || c_nationkey WHEN 2 THEN 'h' || c_nationkey END AS path,
+  CASE WHEN c_custkey % 3 <> 1 AND c_custkey % 2 = 0 THEN 't&k ' || c_custkey END AS token FROM customer""")
+def connection_parameters(spark, sf_dir):
+    n = F.col("c_custkey")
+    kind = F.when(n % 3 == 0, "ws").when(n % 3 == 1, "file").otherwise("snapshot")
+    s = readers.connection_string(kind, F.concat(F.lit("h"), "c_nationkey"), F.col("c_name"), F.when(n % 2 == 0, F.concat(F.lit("t&k "), n)))
+    s = F.when(n % 5 == 0, F.concat(F.upper(F.substring(s, 1, 10)), F.substring(s, 11, 1000))).otherwise(s)
+    return P.read(spark, sf_dir, "customer").select(n.alias("id"), readers.connection(s).alias("c")).select("id", "c.kind", "c.room", "c.path", "c.token")
+
+
+@query(f"""WITH {_OPS}, e AS (SELECT identity, section, key, max(strlen(value) * clock) AS size, bool_or(deleted) AS deleted FROM ops WHERE section IN ('notes', 'transcriptions') GROUP BY 1, 2, 3)
+  SELECT identity, coalesce(string_agg(w, '; ' ORDER BY w), '') AS warnings, count(w) = 0 AS valid FROM (SELECT identity, CASE WHEN NOT deleted AND size > CASE section WHEN 'notes' THEN 20000 ELSE 30000 END
+  THEN CASE section WHEN 'notes' THEN 'Note ' ELSE 'Transcription ' END || key || ' exceeds max size (' || size || ' > ' || CASE section WHEN 'notes' THEN 20000 ELSE 30000 END || ')' END AS w FROM e) GROUP BY 1""")
+def validate_warnings(spark, sf_dir):
+    ops = P.ops(spark, sf_dir).filter("section in ('notes', 'transcriptions')")
+    entries = ops.groupBy("identity", "section", "key").agg(F.max(F.octet_length("value") * F.col("clock")).alias("size"), F.bool_or("deleted").alias("deleted"))
+    d = report.warnings(entries, {"notes": 20_000, "transcriptions": 30_000})
+    return d.withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query(f"""WITH {_STATE}, u AS (SELECT author, arg_max(value, clock) AS display_name FROM ops WHERE author <> 'u3' GROUP BY 1), c AS (SELECT DISTINCT identity, author FROM state WHERE NOT deleted AND author <> 'u0' AND section IN ({", ".join(f"'{s}'" for s in report.CREDITED)}))
+  SELECT identity, author, coalesce(display_name, author) AS name, '@' || coalesce(display_name, author) AS tag, ['{"', '".join(scalar.PALETTE)}'][1 + abs(list_reduce(list_prepend(CAST(0 AS BIGINT), {_UNITS.format('author')}), lambda h, c: {_WRAP})) % 15] AS color FROM c LEFT JOIN u USING (author)""")
+def contributor_credits(spark, sf_dir):
+    ops = P.ops(spark, sf_dir)
+    users = ops.filter("author <> 'u3'").groupBy("author").agg(F.max(F.struct("clock", "value"))["value"].alias("display_name"))
+    return report.credits(state.merge(ops), users, ME)
+
+
+@query(f"WITH {_STATE} SELECT identity, key, CAST(substr(identity, 5) AS BIGINT) % 3 <> 1 AS pushes, CAST(substr(identity, 5) AS BIGINT) % 3 = 0 AS applies FROM state WHERE section = 'tags'")
+def mode_gate(spark, sf_dir):
+    from palimpsest.config import SyncConfig
+
+    modes = [SyncConfig.from_options({"mode": m}) for m in ("auto", "pull", "push")]
+    gates = spark.createDataFrame([(m.mode, m.pushes, m.applies) for m in modes], "mode string, pushes boolean, applies boolean")
+    mode = F.element_at(F.array(*map(F.lit, ("auto", "pull", "push"))), (F.col("number") % 3 + 1).cast("int"))
+    d = state.merge(P.ops(spark, sf_dir)).filter("section = 'tags'").withColumn("number", F.substring("identity", 5, 20).cast("long"))
+    return d.withColumn("mode", mode).join(F.broadcast(gates), "mode").select("identity", "key", "pushes", "applies")
