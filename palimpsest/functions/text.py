@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from string import hexdigits
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -12,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # fixed values
-SAFE_TAGS = frozenset("p br em i strong b a ul ol li blockquote hr sup sub span".split())
-DROPPED_TAGS = frozenset(
-    "script style iframe object embed form input textarea select button link meta base applet math svg template noscript xmp listing plaintext noembed noframes".split()
-)
+SAFE_TAGS = {"p", "br", "em", "i", "strong", "b", "a", "ul", "ol", "li", "blockquote", "hr", "sup", "sub", "span"}
+DROPPED_TAGS = {
+    "script", "style", "iframe", "object", "embed", "form", "input", "textarea", "select", "button", "link", "meta", "base", "applet", "math", "svg", "template", "noscript", "xmp", "listing", "plaintext",
+    "noembed", "noframes",
+}
 LINK_ATTRIBUTES, COMMON_ATTRIBUTES = frozenset({"href", "title"}), frozenset({"class", "style"})
 SAFE_STYLES = {
     "text-decoration": frozenset({"underline", "overline", "line-through", "none"}),
@@ -72,11 +75,24 @@ def without_footer(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, rf"<p><sub>\[{MARK}:[^\]]*\]</sub></p>\s*$", ""))
 
 
+def _marks(word: str) -> dict[str, tuple[str, ...]]:
+    """The forms that markers have had in a note's text and in its HTML, as patterns at its begin or end."""
+    # fixed values
+    return {
+        "text": (rf"^{word}:\s*[^\n]*\n?", rf"^\[(?:{word}:)?[^\]]{{1,80}}\]\s*", rf"\n?\[{word}:[^\]]*\]\s*$"),
+        "html": (rf"^<blockquote><p><em>{word}:[^<]*</em></p></blockquote>", r"^<p><strong>\[[^\]]*\]</strong></p>", rf"<p><sub>\[{word}:[^\]]*\]</sub></p>\s*$"),
+    }
+
+
+def without_marks(note: Column, form: str) -> Column:
+    """A note's ``text`` or ``html`` without the markers of older and newer forms."""
+    for pattern in _marks(MARK)[form]:
+        note = F.regexp_replace(note, pattern, "")
+    return F.trim(note)
+
+
 def without_text_marks(text: Column) -> Column:
-    """A note's text without the markers of older and newer forms."""
-    for pattern in (rf"^{MARK}:\s*[^\n]*\n?", rf"^\[(?:{MARK}:)?[^\]]{{1,80}}\]\s*", rf"\n?\[{MARK}:[^\]]*\]\s*$"):
-        text = F.regexp_replace(text, pattern, "")
-    return F.trim(text)
+    return without_marks(text, "text")
 
 
 def is_synchronised(text: Column, html: Column) -> Column:
@@ -86,19 +102,32 @@ def is_synchronised(text: Column, html: Column) -> Column:
     return found[0] | found[1] | found[2] | found[3]
 
 
-_ENTITY = re.compile(r"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|(lt|gt|amp|quot|apos));")
+#: No character has a number of more digits, leading zeros aside.
+DIGITS = 7
 
 
-def decode_entities(s: str) -> str:
-    """References of one pass; code points out of range vanish."""
+def _referred(name: str) -> str | None:
+    """What stands between ``&`` and ``;`` as a character; '' for a number out of range, None if it is none."""
+    if name in ENTITIES:
+        return ENTITIES[name]
+    base = 16 if name[:2] == "#x" else 10
+    digits = name[2:] if base == 16 else name[1:]
+    if name[:1] != "#" or not digits or not set(digits) <= set(hexdigits if base == 16 else "0123456789"):
+        return None
+    digits = digits.lstrip("0")
+    number = int(digits, base) if 0 < len(digits) <= DIGITS else 0
+    return chr(number) if 0 < number < sys.maxunicode else ""
 
-    def one(m: re.Match) -> str:
-        if m[3]:
-            return ENTITIES[m[3]]
-        code = int(m[1], 16) if m[1] else int(m[2])
-        return chr(code) if 0 < code < 0x10FFFF else ""
 
-    return _ENTITY.sub(one, s)
+def decode_entities(s: str) -> str:
+    """References of one pass; code points out of range vanish."""
+    first, *rest = s.split("&")
+    out = [first]
+    for part in rest:
+        name, end, after = part.partition(";")
+        found = _referred(name) if end else None
+        out.append("&" + part if found is None else found + after)
+    return "".join(out)
 
 
 def _attribute(s: str) -> str:
@@ -114,20 +143,21 @@ def safe_style(style: str) -> str:
 
 
 def safe_url(url: str) -> str:
-    """The URL if it is relative or of a safe scheme, else ''. What looks like a scheme is one."""
-    url = re.sub(r"[\x00-\x1f\x7f\s]+", "", url.strip())
-    if url.startswith("//"):
-        return ""
-    if url[:1] in ("/", "#", "?"):
-        return url
-    m = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):", url)
-    if not m:
-        return url
+    """The URL without white space and control characters, if it is relative to the page's host or of a safe scheme,
+    else ''. What looks like a scheme is one."""
+    plain = "".join(c for c in url if c > " " and c != "\x7f" and not c.isspace())
+    scheme, colon, _ = re.split("[/?#]", plain, maxsplit=1)[0].partition(":")
+    if colon and re.fullmatch(r"[a-zA-Z][a-zA-Z0-9+.-]*", scheme):
+        return plain if scheme.lower() in SAFE_SCHEMES and _parses(plain) else ""
+    return "" if plain.startswith("//") else plain
+
+
+def _parses(url: str) -> bool:
     try:
         urlsplit(url)
     except ValueError:
-        return ""
-    return url if m[1].lower() in SAFE_SCHEMES else ""
+        return False
+    return True
 
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")

@@ -58,7 +58,7 @@ def apply_fields(remote: DataFrame, parents: DataFrame, local: DataFrame, pushed
 
 def known_forms(notes: DataFrame) -> DataFrame:
     """form: every form that a local note (text, html) has: text and html, as they are and without our markers."""
-    forms = F.array(F.trim("text"), T.without_text_marks(F.col("text")), F.trim("html"), T.without_footer(F.col("html")))
+    forms = F.array(F.trim("text"), T.without_text_marks(F.col("text")), F.trim("html"), T.without_marks(F.col("html"), "html"))
     return notes.select(F.explode(forms).alias("form")).filter("form is not null and form <> ''").distinct()
 
 
