@@ -8,12 +8,14 @@ from palimpsest.llm.common import table
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``embeddings`` with its links and component (see ``near_duplicates``)."""
     from palimpsest.llm.neighbours import near_duplicates
 
     return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` scored by a model of ``labels`` that are not held out (see ``score``)."""
     from palimpsest.llm.toxicity import score, train
 
     docs = table(spark, sf_dir, "documents")
@@ -21,18 +23,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages`` (see ``extract``)."""
     from palimpsest.llm.html import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of every row of ``pages``, as read back from the archives (see ``archive_pages``)."""
     from palimpsest.llm.warc import archive_pages
 
     return archive_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of ``conversations`` with their results (see ``link``)."""
     from palimpsest.llm.tool_calls import REPLY, from_conversations, link
 
     calls, results = from_conversations(table(spark, sf_dir, "conversations"))
@@ -40,30 +45,35 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of every row of ``embeddings`` whose vec_id is divisible by 50 (see ``nearest``)."""
     from palimpsest.llm.hamming import nearest
 
     return nearest(spark, table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its component (see ``jaccard_components``)."""
     from palimpsest.llm.jaccard import jaccard_components
 
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the words that the mix takes (see ``mix``)."""
     from palimpsest.llm.mixing import mix
 
     return mix(spark, table(spark, sf_dir, "documents")).drop("source")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every length of ``documents`` in tokens what its suffix sums answer (see ``token_counts``)."""
     from palimpsest.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every row of ``documents`` in its sequence (see ``pack``)."""
     from palimpsest.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
