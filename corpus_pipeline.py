@@ -16,18 +16,22 @@ from palimpsest.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of ``labels`` rejects go; null and empty texts stay (see ``drop_toxic``)."""
     return drop_toxic(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, and one of rows that repeat (see ``keep_one``)."""
     return keep_one(spark, docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them, none or up to three times (see ``repeat_documents``)."""
     return repeat_documents(spark, docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences (see ``pack``)."""
     return pack(docs)
 
 
