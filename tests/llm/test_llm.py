@@ -618,7 +618,7 @@ def test_pipeline(spark):
     assert set(tokens) == set(counts)
     for r in unique.collect():
         if r.doc_id in counts:
-            assert tokens[r.doc_id] == counts[r.doc_id] * (len(bpe.encode(r.text, bpe.default_vocabulary())) + 1)
+            assert tokens[r.doc_id] == counts[r.doc_id] * (len(bpe.encoder(bpe.default_vocabulary())(r.text)) + 1)
 
 
 def test_oracles(spark):
