@@ -14,9 +14,13 @@ not reach that, products of all pairs of blocks do. The recall is audited agains
 brute force on vectors chosen by hash before anything is found: on more of them, up to ``AUDIT_MOST``, until
 ``AUDIT_LINKS`` links are among theirs.
 
-Equal vectors are one node. Lists begin from neighbours along sorted random projections, which have windows
+Equal vectors are one node. Lists hold no vectors farther than ``FLOOR``, twice the threshold's angle: those that link with
+a common vector are within it. Lists begin from neighbours along sorted random projections, which have windows
 of a fixed width whatever the data. There are as many projections as it takes to put a lone pair at the
 threshold, in a table without other structure, into one of the windows with a probability of ``RECALL``.
+
+Vectors travel as bytes: as halves while neighbours are searched, and as doubles where a product is so near
+the threshold that halves cannot tell, and where links are counted.
 """
 
 from __future__ import annotations
@@ -33,25 +37,35 @@ from palimpsest.llm.common import Scratch, only, width
 from palimpsest.llm.graph import connected_components
 
 COSINE = 0.9
+FLOOR = 2 * COSINE**2 - 1
 LIST, LONGEST, SORTS, WINDOW = 8, 64, 6, 4
 ROUNDS, CHANGED = 6, 0.01
 AUDIT, AUDIT_MOST, AUDIT_LINKS, RECALL = 64, 4096, 200, 0.98
 BLOCK = 512
 #: Neighbours of the own component that a vector hears from, and turns at most; then all pairs are compared.
 KIN, TURNS = 4, 10
-#: Products of vectors in single precision, added in double, are off by less.
-SLACK = 1e-5
+#: Products of unit vectors rounded to halves (a part of 2**-11 each at most) are off by less.
+SLACK = 2**-9
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (unit length, doubles) of the usable vectors: not null or zero, all components finite."""
-    x = F.col("embedding")
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    top = F.array_max(F.transform(x, F.abs))
-    scaled = F.transform(x, lambda c: c / F.col("top"))  # no overflow of squares
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, c: s + c * c))
-    d = only(vectors, vec_id="long", embedding="array<double>").filter("vec_id is not null").filter(fine).withColumn("top", top).filter("top > 0")
-    return d.withColumn("scaled", scaled).select("vec_id", F.transform("scaled", lambda c: c / norm).alias("v"))
+    """vec_id, v (unit length, the bytes of doubles) of the usable vectors: not null or zero, all components finite."""
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column, ids = b["embedding"], b["vec_id"].to_numpy()
+            size = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            first, flat = np.cumsum(size) - size, column.flatten().to_numpy(zero_copy_only=False)
+            for n in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == n)
+                x = flat[first[rows][:, None] + np.arange(n)]
+                top = np.abs(x).max(axis=1)
+                fine = np.isfinite(x).all(axis=1) & (top > 0)
+                x = x[fine] / top[fine, None]  # no overflow of squares
+                x = x / np.sqrt(np.sum(x * x, axis=1, keepdims=True)) + 0.0  # no negative zeros
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][fine]), packed(x)], names=["vec_id", "v"])
+
+    return only(vectors, vec_id="long", embedding="array<double>").filter("vec_id is not null").mapInArrow(scale, "vec_id long, v binary")
 
 
 def matrix(column) -> np.ndarray:
@@ -61,6 +75,54 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a column of bytes."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def dense(column, kind: type = np.float64) -> np.ndarray:
+    """A column of ``packed`` rows, all of the same length, as a matrix; halves as single precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    x = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+    return x.astype(np.float32) if kind is np.float16 else x
+
+
+def with_halves(nodes: DataFrame) -> DataFrame:
+    """id, size, v and x, the vector as the bytes of halves."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            half = pa.array([np.frombuffer(v.as_buffer(), np.float64).astype(np.float16).tobytes() for v in b["v"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["id"], b["size"], b["v"], half], names=["id", "size", "v", "x"])
+
+    return nodes.select("id", "size", "v").mapInArrow(add, "id long, size long, v binary, x binary")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int, column: str, kind: type) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Of batches sorted by their first ``keys`` columns: the columns, ``column`` as a matrix, and where
+    whole runs of equal keys begin and end."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        now = [dense(b[c], kind) if c == column else b[c].to_numpy(zero_copy_only=False) for c in b.schema.names]
+        if held is not None:
+            now = [np.concatenate([h, n]) for h, n in zip(held, now, strict=True)]
+        differs = np.zeros(len(now[0]) - 1, bool)
+        for k in range(keys):
+            differs |= now[k][1:] != now[k][:-1]
+        edges = [0, *(np.flatnonzero(differs) + 1).tolist()]
+        held = [c[edges[-1] :] for c in now]
+        if len(edges) > 1:
+            yield now, edges
+    if held is not None:
+        yield held, [0, len(held[0])]
+
+
 def projections(n: int) -> int:
     """How many projections of ``n`` vectors find a pair at the threshold with a probability of ``RECALL``.
 
@@ -71,8 +133,8 @@ def projections(n: int) -> int:
     return math.ceil(math.log(1 - RECALL) / math.log(1 - one))
 
 
-def _initial(spark: SparkSession, nodes: DataFrame, dim: int, n: int, turn: int = 0) -> DataFrame:
-    """Pairs (a, b, s) of different components near each other along random projections: each projection
+def _initial(spark: SparkSession, nodes: DataFrame, dim: int, n: int, turn: int = 0, floor: float = FLOOR) -> DataFrame:
+    """Pairs (a, b, s) of different components, with s of at least ``floor``, near each other along random projections: each projection
     sorts the vectors by the signs of some directions and by one more, and pairs those within ``WINDOW``
     places. Every turn has projections of its own."""
     rng = np.random.default_rng(7 + turn)
@@ -81,17 +143,17 @@ def _initial(spark: SparkSession, nodes: DataFrame, dim: int, n: int, turn: int
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b["v"])
+            x = dense(b["x"], np.float16).astype(np.float64)
             for k, p in enumerate(planes):
                 y = x @ p if len(x) else np.zeros((0, bits + 1))
                 sign = (y[:, :bits] > 0) @ (1 << np.arange(bits))
                 key = k * 2.0**bits + sign + 0.5 + np.arctan(y[:, bits]) / np.pi
-                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], b["part"], pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["key", "id", "part", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b["id"], b["part"], b["x"]], names=["key", "id", "part", "x"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last_part, last_x = np.zeros(0, np.int64), None, None
         for b in batches:
-            ids, part, x = b["id"].to_numpy(), b["part"].to_numpy(), matrix(b["v"]).astype(np.float64)
+            ids, part, x = b["id"].to_numpy(), b["part"].to_numpy(), dense(b["x"], np.float16)
             if not len(ids):
                 continue
             fresh = len(last_id)
@@ -102,12 +164,13 @@ def _initial(spark: SparkSession, nodes: DataFrame, dim: int, n: int, turn: int
                 lo = max(0, fresh - d)
                 a, c = np.arange(lo, len(ids) - d), np.arange(lo + d, len(ids))
                 a, c = a[part[a] != part[c]], c[part[a] != part[c]]
-                out.append((ids[a], ids[c], np.einsum("ij,ij->i", x[a], x[c])))
+                s = np.einsum("ij,ij->i", x[a], x[c]).astype(np.float64)
+                out.append((ids[a][s >= floor], ids[c][s >= floor], s[s >= floor]))
             a, c, s = (np.concatenate([o[i] for o in out]) for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], names=["a", "b", "s"])
             last_id, last_part, last_x = ids[-WINDOW:], part[-WINDOW:], x[-WINDOW:]
 
-    keyed = nodes.mapInArrow(project, "key double, id long, part long, v array<float>")
+    keyed = nodes.select("id", "part", "x").mapInArrow(project, "key double, id long, part long, x binary")
     return keyed.repartitionByRange(width(spark), "key").sortWithinPartitions("key").mapInArrow(windows, "a long, b long, s double").filter("a <> b")
 
 
@@ -132,20 +195,27 @@ def _nearest(pairs: DataFrame, lists: DataFrame | None, longest: int) -> DataFra
     return top.select("id", "k", F.slice("nb", 1, F.col("k")).alias("nb"))
 
 
-def forest(hit: np.ndarray) -> np.ndarray:
-    """Of a symmetric matrix of links: the upper half of a mask of links that join what all of them join."""
-    out = np.zeros(hit.shape, bool)
+def trees(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links: the upper half of a mask of links that join what all of them join,
+    and of each row a row that stands for what it is joined with."""
+    out, root = np.zeros(hit.shape, bool), np.arange(len(hit))
     new = hit.any(axis=1)
     while new.any():
         front = [int(np.argmax(new))]
         new[front[0]] = False
+        top = front[0]
         while front:
             x = front.pop()
+            root[x] = top
             y = np.flatnonzero(hit[x] & new)
             new[y] = False
             out[np.minimum(x, y), np.maximum(x, y)] = True
             front.extend(y.tolist())
-    return out
+    return out, root
+
+
+def forest(hit: np.ndarray) -> np.ndarray:
+    return trees(hit)[0]
 
 
 def _round(nodes: DataFrame, lists: DataFrame, longest: int, kin: DataFrame | None = None) -> DataFrame:
@@ -159,76 +229,89 @@ def _round(nodes: DataFrame, lists: DataFrame, longest: int, kin: DataFrame | No
     # a vector in very many lists is met in parts of a bounded size, dealt by a hash
     sizes = reach.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / (4 * longest)).alias("parts"))
     reach = reach.join(sizes, "to").withColumn("part", F.pmod(F.xxhash64("of"), F.col("parts")))
-    lone = nodes.select(F.col("id").alias("of"), "part", F.transform("v", lambda c: c.cast("float")).alias("v")).withColumnRenamed("part", "own")
+    lone = nodes.select(F.col("id").alias("of"), F.col("part").alias("own"), "x")
     worsts = lists.select(F.col("id").alias("of"), worst.alias("worst"))
-    met = reach.join(lone, "of").join(worsts, "of", "left").select("to", "part", "of", "v", "worst", "own")
+    met = reach.join(lone, "of").join(worsts, "of", "left").select("to", "part", "of", "x", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "own")
     spark = nodes.sparkSession
     met = met.repartition(width(spark), "to", "part").sortWithinPartitions("to", "part", "of")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-
-        def join(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, own: np.ndarray) -> tuple:
-            x = x.astype(np.float64)
-            s = x @ x.T
-            apart = own[:, None] != own[None, :]
-            link = forest(apart & (s >= COSINE + SLACK)) | np.triu(apart & (np.abs(s - COSINE) < SLACK), 1)
-            i, j = np.nonzero(np.triu(apart & (s > np.minimum(worst[:, None], worst[None, :])), 1) | link)
-            return ids[i], ids[j], s[i, j], link[i, j]
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            a, b, s, link = (np.concatenate([r[i] for r in rows]) for i in range(4))
-            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float64)), pa.array(link)], names=["a", "b", "s", "link"])
+    def join(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, own: np.ndarray) -> tuple:
+        s = (x @ x.T).astype(np.float64)
+        apart = own[:, None] != own[None, :]
+        sure, root = trees(apart & (s >= COSINE + SLACK))
+        # what halves cannot tell matters only between vectors that nothing sure joins here
+        link = sure | np.triu(apart & (np.abs(s - COSINE) < SLACK) & (root[:, None] != root[None, :]), 1)
+        i, j = np.nonzero(np.triu(apart & (s >= FLOOR) & (s > np.minimum(worst[:, None], worst[None, :])), 1) | link)
+        return ids[i], ids[j], s[i, j], link[i, j]
 
-        for b in batches:
-            now = (b["to"].to_numpy(), b["part"].to_numpy(), b["of"].to_numpy(), matrix(b["v"]), np.nan_to_num(b["worst"].to_numpy(zero_copy_only=False), nan=-2.0), b["own"].to_numpy())
-            if held is not None and len(held[0]):
-                now = tuple(np.concatenate([h, n]) for h, n in zip(held, now, strict=True))
-            cuts = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
-            edges = [0, *cuts.tolist()]
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, edges in runs(batches, 2, "x", np.float16):
             rows = [join(*(c[p:q] for c in now[2:])) for p, q in zip(edges[:-1], edges[1:], strict=True)]
-            held = tuple(c[edges[-1] :] for c in now)
-            if rows:
-                yield flush(rows)
-        if held is not None and len(held[0]):
-            yield flush([join(*held[2:])])
+            a, b, s, link = (np.concatenate([r[i] for r in rows]) for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(link)], names=["a", "b", "s", "link"])
 
     found = met.mapInArrow(local, "a long, b long, s double, link boolean")
     return found.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("link").alias("link"))
 
 
-def _counts(nodes: DataFrame, parts: DataFrame, sizes: DataFrame, dim: int) -> DataFrame:
+def _counts(nodes: DataFrame, parts: DataFrame, dim: int) -> DataFrame:
     """id, links: how many rows each node of a component links with, itself included.
 
-    Vectors within half the threshold's angle of their component's mean direction, its core, all link with
-    each other and are counted by sums. Only vectors outside of it meet their whole component, by exact
-    products of blocks.
+    A component of at most ``BLOCK`` nodes is one exact product. Of larger ones, vectors within half the
+    threshold's angle of their component's mean direction, its core, all link with each other and are
+    counted by sums. Only vectors outside of it meet their whole component, by exact products of blocks.
     """
-    d = parts.join(nodes, parts["node"] == nodes["id"]).join(sizes, "id").select("component", "id", "v", "size")
-    means = d.groupBy("component").agg(F.array(*[F.avg(F.col("v")[k]) for k in range(dim)]).cast("array<double>").alias("mean"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, c: s + c)
-    core = dot("v", "mean") >= F.lit(math.cos(math.acos(COSINE) / 2 - 1e-7)) * F.sqrt(dot("mean", "mean"))
-    d = d.join(means, "component").withColumn("core", core & (dot("mean", "mean") > 1e-6)).drop("mean")
-    blocks = d.groupBy("component").agg(
+    spark = nodes.sparkSession
+    of = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n_all"))
+    d = parts.join(of, "component").join(nodes, F.col("node") == F.col("id")).select("component", "id", "v", "size", "n_all")
+    few = d.filter(F.col("n_all") <= BLOCK).drop("n_all").repartition(width(spark), "component").sortWithinPartitions("component")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, ids, x, size), edges in runs(batches, 1, "v", np.float64):
+            links = [(cosines(x[p:q], x[p:q]) >= COSINE) @ size[p:q] for p, q in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[edges[0] : edges[-1]]), pa.array(np.concatenate(links).astype(np.int64))], names=["id", "links"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which, at = np.unique(b["component"].to_numpy(), return_inverse=True)
+            x = dense(b["v"])
+            sums = np.zeros((len(which), dim))
+            np.add.at(sums, at, x if len(x) else np.zeros((0, dim)))
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(list(sums), pa.list_(pa.float64()))], names=["component", "s"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, mean = dense(b["v"]), matrix(b["mean"])
+            norm = np.sqrt(np.sum(mean * mean, axis=1))
+            core = (np.sum(x * mean, axis=1) >= math.cos(math.acos(COSINE) / 2 - 1e-7) * norm) & (norm > 1e-3) if len(x) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b["component"], b["id"], b["v"], b["size"], pa.array(core)], names=["component", "id", "v", "size", "core"])
+
+    many = d.filter(F.col("n_all") > BLOCK)
+    means = many.select("component", "v").mapInArrow(total, "component long, s array<double>")
+    means = means.groupBy("component").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(dim)]).alias("mean"))
+    means = means.join(of, "component").select("component", F.transform("mean", lambda c: c / F.col("n_all")).alias("mean"))
+    m = many.drop("n_all").join(means, "component").mapInArrow(place, "component long, id long, v binary, size long, core boolean")
+    blocks = m.groupBy("component").agg(
         F.ceil(F.sum((~F.col("core")).cast("int")) / BLOCK).alias("n_rim"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"), F.sum(F.when(F.col("core"), F.col("size")).otherwise(0)).alias("of_core")
     )
-    d = d.join(blocks, "component")
+    m = m.join(blocks, "component")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     at = lambda i, j, row: F.struct(i.alias("i"), j.alias("j"), F.lit(row).alias("row"))
     as_rim = F.transform(upto("n"), lambda j: at(F.pmod(F.xxhash64("id", F.lit("rim")), F.col("n_rim")), j, True))
     as_member = F.transform(upto("n_rim"), lambda i: at(i, F.pmod(F.xxhash64("id"), F.col("n")), False))
     every = F.when(F.col("core"), as_member).otherwise(F.concat(as_rim, as_member))
-    met = d.filter("n_rim > 0").select("component", "id", "v", "size", "core", F.explode(every).alias("at")).select("component", "id", "v", "size", "core", "at.*")
+    met = m.filter("n_rim > 0").select("component", "id", "v", "size", "core", F.explode(every).alias("at")).select("component", "id", "v", "size", "core", "at.*")
 
     def product(t: pa.Table) -> pa.Table:
-        row, ids, x, size = t["row"].to_numpy(), t["id"].to_numpy(), matrix(t["v"]), t["size"].to_numpy()
+        row, ids, x, size = t["row"].to_numpy(), t["id"].to_numpy(), dense(t["v"]), t["size"].to_numpy()
         core = t["core"].to_numpy()[~row]
         hit = cosines(x[row], x[~row]) >= COSINE
         links = np.concatenate([hit @ size[~row], size[row] @ hit[:, core]])
         return pa.table({"id": pa.array(np.concatenate([ids[row], ids[~row][core]])), "links": pa.array(links.astype(np.int64))})
 
     outside = met.groupBy("component", "i", "j").applyInArrow(product, "id long, links long")
-    return d.filter("core").select("id", F.col("of_core").alias("links")).unionByName(outside).groupBy("id").agg(F.sum("links").alias("links"))
+    large = m.filter("core").select("id", F.col("of_core").alias("links")).unionByName(outside).groupBy("id").agg(F.sum("links").alias("links"))
+    return few.select("component", "id", "v", "size").mapInArrow(whole, "id long, links long").unionByName(large)
 
 
 def _all_pairs(nodes: DataFrame, n: int) -> DataFrame:
@@ -237,7 +320,7 @@ def _all_pairs(nodes: DataFrame, n: int) -> DataFrame:
     d = nodes.select("id", "v", F.explode(F.transform(upto, lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))).alias("at")).select("id", "v", "at.*")
 
     def product(t: pa.Table) -> pa.Table:
-        ids, x = t["id"].to_numpy(), matrix(t["v"])
+        ids, x = t["id"].to_numpy(), dense(t["v"])
         hit = cosines(x, x) >= COSINE
         np.fill_diagonal(hit, False)
         a, b = np.nonzero(forest(hit))
@@ -260,19 +343,19 @@ def truth(spark: SparkSession, nodes: DataFrame, n: int, scratch: Scratch) -> Da
     are chosen, from ``AUDIT`` to ``AUDIT_MOST``, as it takes to have ``AUDIT_LINKS`` links."""
     most = AUDIT
     while True:
-        chosen = nodes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(most).collect()
-        asked = spark.sparkContext.broadcast((np.array([r["id"] for r in chosen]), np.array([r["v"] for r in chosen])))
+        chosen = nodes.select("id", "v").orderBy(F.xxhash64("id", F.lit("audit"))).limit(most).collect()
+        asked = spark.sparkContext.broadcast((np.array([r["id"] for r in chosen]), np.array([np.frombuffer(r["v"]) for r in chosen])))
 
         def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             ids, q = asked.value
             for b in batches:
-                x, found = matrix(b["v"]), b["id"].to_numpy()
+                x, found = dense(b["v"]), b["id"].to_numpy()
                 for k in range(0, len(found), BLOCK):
                     i, j = np.nonzero(q @ x[k : k + BLOCK].T >= COSINE)
                     a, c = ids[i], found[k : k + BLOCK][j]
                     yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c])], names=["a", "b"])
 
-        true = scratch.table(nodes.mapInArrow(search, "a long, b long"), "truth")
+        true = scratch.table(nodes.select("id", "v").mapInArrow(search, "a long, b long"), "truth")
         if most >= min(n, AUDIT_MOST) or true.count() >= AUDIT_LINKS:
             return true
         most *= 4
@@ -317,22 +400,19 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     a null vec_id has a null component and kept = null. Vectors of another length than most link with nothing
     (of lengths that are as frequent, the smallest counts). Rows that repeat a vec_id with an equal vector
     are one vector; with different vectors, each is compared and the row's figures are those of its
-    vec_id's smallest vector. An empty table gives no rows. Other columns, labels among them, are ignored.
+    vec_id's first vector by the bytes of its doubles. An empty table gives no rows. Other columns, labels among them, are ignored.
     """
     scratch = Scratch(spark, "neighbours")
     rows = only(vectors, vec_id="long", embedding="array<double>").select("vec_id")
     ones = scratch.table(unit_vectors(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    same = ones.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))
-    nodes = scratch.table(same, "nodes")
-    sizes = nodes.select("id", "size")
-    first = nodes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    nodes = scratch.table(with_halves(ones.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))), "nodes")
+    first = nodes.groupBy((F.length("v") / 8).cast("int").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     groups, recall = nodes, 1.0
-    nodes = nodes.select("id", "v")
     if first is None:
         parts = spark.createDataFrame([], "node long, component long")
     else:
         dim = first["dim"]
-        nodes = nodes.filter(F.size("v") == dim)
+        nodes = nodes.filter(F.length("v") == 8 * dim)
         n = nodes.count()
         true = truth(spark, nodes, n, scratch)
         placed, parts, kin, links = nodes.withColumn("part", F.col("id")), None, None, None
@@ -340,7 +420,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
         for turn in range(TURNS):
             pairs = scratch.table(_initial(spark, placed, dim, n, turn), "pairs")
             for extra in range(ahead if not turn else 0):  # of the others, only near pairs
-                pairs = pairs.union(scratch.table(_initial(spark, placed, dim, n, TURNS + extra).filter(F.col("s") >= COSINE - 0.1), "pairs"))
+                pairs = pairs.union(scratch.table(_initial(spark, placed, dim, n, TURNS + extra, COSINE - 0.1), "pairs"))
             lists, more = _descend(placed, pairs, kin, scratch)
             links = more if links is None else scratch.table(links.union(more), "links")
             joined = more.count()
@@ -353,12 +433,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
             if kin is None:
                 near = lists.select("id", F.explode(F.slice("nb", 1, KIN)).alias("e")).filter(F.col("e.s") >= COSINE).select("id", F.col("e.b").alias("to"))
                 kin = scratch.table(near.join(at("id"), "id").join(at("to"), "to").filter("id_ = to_").select("id", "to"), "kin")
-            placed = scratch.table(nodes.join(at("id"), "id", "left").select("id", "v", F.coalesce("id_", "id").alias("part")), "placed")
+            placed = scratch.table(nodes.join(at("id"), "id", "left").select("id", "x", "v", F.coalesce("id_", "id").alias("part")), "placed")
         else:
             parts = connected_components(scratch.table(_all_pairs(nodes, n), "pairs"), scratch)
             recall = audit(true, parts)
-    counted = _counts(nodes, parts, sizes, 0 if first is None else dim)
-    found = ones.join(groups.select("v", F.col("id"), "size"), "v").select("vec_id", "id", "size")
+    counted = _counts(nodes, parts, 0 if first is None else dim)
+    mark = lambda d: d.withColumn("one", F.xxhash64("v")).withColumn("two", F.xxhash64("v", F.lit("again")))  # noqa: E731  128 bits for equal vectors
+    found = mark(ones).select("vec_id", "one", "two").join(mark(groups).select("one", "two", "id", "size"), ["one", "two"]).select("vec_id", "id", "size")
     found = found.join(parts.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")
     found = found.select("vec_id", (F.coalesce("links", F.col("size")) - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(found, "vec_id", "left")
@@ -368,7 +449,15 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 def _exact(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) of pairs (a, b, s) whose cosine in double precision reaches the threshold."""
     one = lambda k: nodes.select(F.col("id").alias(k), F.col("v").alias(f"v_{k}"))
-    dot = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda s, c: s + c)
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, s = dense(b["v_a"]), dense(b["v_b"]), np.zeros(len(b))
+            for k in range(x.shape[1]):
+                s += x[:, k] * y[:, k]
+            yield b.select(["a", "b"]).filter(pa.array(s >= COSINE))
+
     e = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("s").alias("s"))
     sure = e.filter(F.col("s") >= COSINE + SLACK).select("a", "b")
-    return sure.union(e.filter(F.abs(F.col("s") - COSINE) < SLACK).join(one("a"), "a").join(one("b"), "b").filter(dot >= COSINE).select("a", "b"))
+    near = e.filter(F.abs(F.col("s") - COSINE) < SLACK).join(one("a"), "a").join(one("b"), "b").select("a", "b", "v_a", "v_b")
+    return sure.union(near.mapInArrow(reached, "a long, b long"))
