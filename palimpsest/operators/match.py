@@ -33,19 +33,37 @@ def alias(remote: DataFrame, local: DataFrame, matched: DataFrame, aliases: Data
     return found.groupBy("local_id").agg(F.min("remote_id").alias("remote_id")).select("remote_id", "local_id")
 
 
+def _sets(photos: DataFrame, key: str, common: DataFrame, threshold: float) -> DataFrame:
+    """key, set (rarest checksum first), head: the first of its checksums, one of which is in the head of
+    any set that is similar enough."""
+    d = photos.filter("checksum is not null").select(key, "checksum").distinct().join(common, "checksum")
+    d = d.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "checksum")))["checksum"].alias("set"))
+    return d.withColumn("head", F.slice("set", 1, (F.size("set") - F.ceil(F.size("set") * threshold - 1e-9) + 1).cast("int")))
+
+
 def similar(remote_photos: DataFrame, local_photos: DataFrame, threshold: float = 0.5) -> DataFrame:
     """remote_id, local_id, score: for each remote item the local one with the largest Jaccard similarity
-    of checksum sets, at least ``threshold``; of equal ones the first.
+    of checksum sets, at least ``threshold``; of equal ones the first. Null checksums are ignored.
 
-    An inverted index: only items that share a checksum meet, and pairs are counted before they move.
+    An inverted index of set heads: sets are sorted rarest checksum first, and of two similar sets the
+    first common checksum is in both heads, so a checksum that very many items share brings pairs only
+    where a set has little else. Items with equal sets are compared once.
     """
-    r = remote_photos.select("remote_id", "checksum").distinct()
-    m = local_photos.select("local_id", "checksum").distinct()
-    rn, ln = r.groupBy("remote_id").agg(F.count("*").alias("a")), m.groupBy("local_id").agg(F.count("*").alias("b"))
-    both = r.join(m, "checksum").groupBy("remote_id", "local_id").agg(F.count("*").alias("n"))
-    scored = both.join(rn, "remote_id").join(ln, "local_id").withColumn("score", F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).filter(F.col("score") >= threshold)
-    best = scored.groupBy("remote_id").agg(F.max(F.struct("score", (-F.col("local_id")).alias("o"))).alias("m"))
-    return best.select("remote_id", (-F.col("m.o")).alias("local_id"), F.col("m.score").alias("score"))
+    both = remote_photos.select("checksum").unionByName(local_photos.select("checksum"))
+    common = both.groupBy("checksum").agg(F.count(F.lit(1)).alias("n"))
+    r, m = _sets(remote_photos, "remote_id", common, threshold), _sets(local_photos, "local_id", common, threshold)
+    one = r.groupBy("set", "head").agg(F.min("remote_id").alias("r"))
+    of = m.groupBy("set", "head").agg(F.min("local_id").alias("local_id"))
+    # what two sets share ends with what follows a common checksum in each, itself included
+    left = lambda d, key, rest: d.select(key, F.size("set").alias(f"{rest}_all"), F.posexplode("head").alias("at", "checksum")).withColumn(rest, F.col(f"{rest}_all") - F.col("at")).drop("at")
+    enough = F.least("a", "b") >= (F.col("a_all") + F.col("b_all")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = left(one, "r", "a").join(left(of, "local_id", "b"), "checksum").filter(enough).select("r", "local_id").distinct()
+    shared = F.size(F.array_intersect("remote_set", "local_set"))
+    scored = pairs.join(one.select("r", F.col("set").alias("remote_set")), "r").join(of.select("local_id", F.col("set").alias("local_set")), "local_id")
+    scored = scored.select("r", "local_id", (shared / (F.size("remote_set") + F.size("local_set") - shared)).alias("score")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("r").agg(F.max(F.struct("score", (-F.col("local_id")).alias("o"))).alias("m"))
+    best = one.join(best, "r").select("set", "m")
+    return r.select("remote_id", "set").join(best, "set").select("remote_id", (-F.col("m.o")).alias("local_id"), F.col("m.score").alias("score"))
 
 
 def resolve(exact_matches: DataFrame, alias_matches: DataFrame, fuzzy: DataFrame) -> DataFrame:

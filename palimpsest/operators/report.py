@@ -76,9 +76,28 @@ def room_activity(events: DataFrame, kept: int = 200) -> DataFrame:
     return events.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kept)
 
 
+#: Values of one block of a rank. A block is ranked in a task; of the blocks before it only their counts are summed.
+SPAN = 4096
+
+
+def ranked(d: DataFrame, by: str, value: str, rank: str) -> DataFrame:
+    """``d`` with the place of each row among those of its ``by``, smallest whole number ``value`` first, from 1.
+
+    A key may hold any share of the rows: blocks of ``SPAN`` values are ranked apart, and a block begins
+    after the rows of the blocks before it, which are counted before they move. Rows of equal value are in no
+    particular order; null values come first.
+    """
+    d = d.withColumn("block_", F.floor(F.col(value) / SPAN))
+    before = Window.partitionBy("by_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = d.groupBy(F.col(by).alias("by_"), "block_").agg(F.count(F.lit(1)).alias("n_")).withColumnRenamed("block_", "at_")
+    first = blocks.withColumn("first_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
+    d = d.withColumn("in_", F.row_number().over(Window.partitionBy(by, "block_").orderBy(value)))
+    d = d.join(first, F.col(by).eqNullSafe(F.col("by_")) & F.col("block_").eqNullSafe(F.col("at_")))
+    return d.withColumn(rank, F.col("first_") + F.col("in_")).drop("block_", "by_", "at_", "n_", "first_", "in_")
+
+
 def evict(entries: DataFrame, cap: int, share: float = 0.2) -> DataFrame:
     """Of each map (name, key, inserted) above ``cap`` entries the oldest share goes, in pairs."""
     n = entries.groupBy("name").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("name").orderBy(F.desc("inserted"))
-    d = entries.join(n, "name").withColumn("rank", F.row_number().over(w))
-    return d.filter((F.col("n") <= cap) | (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share))).select("name", "key", "inserted")
+    d = ranked(entries, "name", "inserted", "place").join(n, "name")
+    return d.filter((F.col("n") <= cap) | (F.col("place") > F.ceil(F.col("n") * share))).select("name", "key", "inserted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar, text
@@ -664,8 +664,9 @@ def presence(spark, sf_dir):
 
 @query(f"WITH {_OPS} SELECT author, clock, dense_rank() OVER (PARTITION BY author ORDER BY clock // 100) AS push_seq FROM ops")
 def push_seq(spark, sf_dir):
-    w = Window.partitionBy("author").orderBy(F.floor(F.col("clock") / 100))
-    return P.ops(spark, sf_dir).select("author", "clock", F.dense_rank().over(w).cast("long").alias("push_seq"))
+    d = P.ops(spark, sf_dir).select("author", "clock").withColumn("push", F.floor(F.col("clock") / 100))
+    seq = report.ranked(d.select("author", "push").distinct(), "author", "push", "push_seq")
+    return d.join(seq, ["author", "push"]).select("author", "clock", "push_seq")
 
 
 # --- lists and templates -------------------------------------------------------------------------

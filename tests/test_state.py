@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.config import SyncConfig
-from palimpsest.operators import hierarchy, maintain, match, reconcile, state
+from palimpsest.operators import hierarchy, maintain, match, reconcile, report, state
 from palimpsest.sources import readers
 from palimpsest.streaming import oplog
 
@@ -100,3 +100,29 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], OPS)
     assert state.merge(none).count() == 0 and state.snapshot(state.merge(none)).count() == 0
     assert readers.slice_or_empty(spark, "file:///nowhere/at/all", "lists").count() == 0
+
+
+def test_similar_is_the_best_of_all_pairs(spark):
+    """A checksum in most items, equal sets, a repeated and a null checksum, sets of one to nine."""
+    draw = random.Random(5)
+
+    def items(first, n):
+        found = {first + i: {f"c{draw.randrange(12)}" for _ in range(draw.randrange(1, 10))} | ({"common"} if draw.random() < 0.8 else set()) for i in range(n)}
+        return found | {first + n + i: {"common", "c1", "c2"} for i in range(30)}
+
+    remote, local = items(0, 60), items(1000, 60)
+    rows = lambda d: [(k, c) for k, v in d.items() for c in (*v, min(v), None)]
+    found = match.similar(spark.createDataFrame(rows(remote), "remote_id long, checksum string"), spark.createDataFrame(rows(local), "local_id long, checksum string"))
+    want = set()
+    for k, a in remote.items():
+        score, other = max((len(a & b) / len(a | b), -j) for j, b in local.items())
+        if score >= 0.5:
+            want.add((k, -other, score))
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_ranks_go_on_from_block_to_block(spark):
+    rows = [("a", v) for v in range(0, 40000, 7)] + [("b", v) for v in (-5, 4095, 4096, 9000)] + [(None, 3), ("c", None), ("c", 1)]
+    out = report.ranked(spark.createDataFrame(rows, "k string, v long").repartition(5), "k", "v", "place").collect()
+    want = {("a", v): i + 1 for i, v in enumerate(range(0, 40000, 7))} | {("b", -5): 1, ("b", 4095): 2, ("b", 4096): 3, ("b", 9000): 4, (None, 3): 1, ("c", None): 1, ("c", 1): 2}
+    assert {(r.k, r.v): r.place for r in out} == want
