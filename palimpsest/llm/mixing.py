@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, only
+from palimpsest.llm.common import Scratch, only, small
 
 MAX_COPIES = 3
 ITERATIONS, TOLERANCE = 60, 1e-10
 BUCKETS = 1024
 FLIPS = 16
+#: Bytes of a table of sources, names included, that may be broadcast; larger ones are left to Spark's joins.
+SENT = 16 << 20
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -62,7 +64,8 @@ def dual(docs: DataFrame, goal: dict[str | None, float], sizes: dict[str | None,
         if not lam:
             break
         now = spark.createDataFrame([(s, v) for s, v in lam.items()], "source string, lambda double")
-        sums = docs.join(F.broadcast(now), docs["source"].eqNullSafe(now["source"])).groupBy(docs["source"]).agg(F.sum(F.col("size") * F.exp("lambda")).alias("taken"))
+        now = F.broadcast(now) if sum(len(s or "") * 4 + 64 for s in lam) <= SENT else now
+        sums = docs.join(now, docs["source"].eqNullSafe(now["source"])).groupBy(docs["source"]).agg(F.sum(F.col("size") * F.exp("lambda")).alias("taken"))
         worst = 0.0
         for r in sums.collect():
             s, taken = r["source"], r["taken"]
@@ -81,8 +84,14 @@ def _placed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("order", order).withColumn("class", size_class).withColumn("bucket", F.shiftright("order", 64 - BUCKETS.bit_length() + 1))
 
 
+def _sent(sources: DataFrame) -> DataFrame:
+    """A table with a column source, to be broadcast if its measured size is at most ``SENT``."""
+    n = sources.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + F.lit(64))).first()[0]
+    return F.broadcast(sources) if (n or 0) <= SENT else sources
+
+
 def _with(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(rates.withColumnRenamed("source", "r_source")), docs["source"].eqNullSafe(F.col("r_source"))).drop("r_source")
+    return docs.join(rates.withColumnRenamed("source", "r_source"), docs["source"].eqNullSafe(F.col("r_source"))).drop("r_source")
 
 
 def thresholds(docs: DataFrame, rates: DataFrame) -> DataFrame:
@@ -112,17 +121,17 @@ def thresholds(docs: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def apply_copies(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``docs`` (with source, size, doc_id, text_hash) and n_copies. No shuffle: the plan's tables
-    have a few rows for each source."""
+    """``docs`` (with source, size, doc_id, text_hash) and n_copies. The plan's tables have a few rows for
+    each source; ``docs`` is not shuffled while these are small enough to be broadcast."""
     d = _with(_placed(docs), plan.rates)
     ends = plan.ends.select(F.col("source").alias("e_source"), F.col("class").alias("e_class"), "last")
-    d = d.join(F.broadcast(ends), d["source"].eqNullSafe(F.col("e_source")) & (d["class"] == F.col("e_class")), "left")
+    d = d.join(ends, d["source"].eqNullSafe(F.col("e_source")) & (d["class"] == F.col("e_class")), "left")
     chance = (F.col("order") / F.lit(2.0**64)) + 0.5
     extra = F.when(F.col("part") <= 0, 0).when(F.col("size") > 0, (F.col("order") <= F.col("last")).cast("int")).otherwise((chance < F.col("part")).cast("int"))
     d = d.withColumn("n_copies", F.col("whole") + F.coalesce(extra, F.lit(0)))
     if plan.flips is not None:
         flips = plan.flips.select(F.col("doc_id").alias("f_doc"), F.col("text_hash").alias("f_hash"), "flip")
-        d = d.join(F.broadcast(flips), d["doc_id"].eqNullSafe(F.col("f_doc")) & d["text_hash"].eqNullSafe(F.col("f_hash")), "left")
+        d = d.join(flips, d["doc_id"].eqNullSafe(F.col("f_doc")) & d["text_hash"].eqNullSafe(F.col("f_hash")), "left")
         d = d.withColumn("n_copies", F.col("n_copies") + F.coalesce("flip", F.lit(0))).drop("f_doc", "f_hash", "flip")
     return d.drop("e_source", "e_class", "last", "order", "class", "bucket", "whole", "part", "rate")
 
@@ -151,7 +160,8 @@ def _flips(docs: DataFrame, plan: Plan) -> DataFrame:
     can = taken.groupBy("source", "class", F.pmod("bucket", F.lit(FLIPS)).alias("slot")).agg(
         F.min(F.when(F.col("n_copies") < MAX_COPIES, one)).alias("more"), F.min(F.when(F.col("n_copies") > 0, one)).alias("less")
     )
-    can = can.join(F.broadcast(gap.withColumnRenamed("source", "g_source")), can["source"].eqNullSafe(F.col("g_source"))).drop("g_source")
+    gap = gap.withColumnRenamed("source", "g_source")
+    can = can.join(gap, can["source"].eqNullSafe(gap["g_source"])).drop("g_source")
     can = can.withColumn("one", F.when(F.col("gap") > 0, F.col("more")).otherwise(F.col("less"))).filter("one is not null and gap <> 0")
     can = can.select("source", "gap", "one.*")
 
@@ -182,8 +192,9 @@ def plan_mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, weights: tu
         whole = min(MAX_COPIES, math.floor(rate + 1e-9))
         rows.append((s, n, goal[s], rate, whole, max(0.0, rate - whole)))
     rates = spark.createDataFrame(rows, "source string, source_size long, target double, rate double, whole long, part double")
-    plan = Plan(rates, scratch.table(thresholds(docs, rates), "ends"), None)
-    plan.flips = scratch.table(_flips(docs, plan), "flips")
+    rates = _sent(rates)
+    plan = Plan(rates, _sent(scratch.table(thresholds(docs, rates), "ends")), None)
+    plan.flips = small(scratch.table(_flips(docs, plan), "flips"))
     return plan
 
 

@@ -486,6 +486,25 @@ def test_mix(spark):
     assert mixing.mix(spark, d.limit(0)).count() == 0
 
 
+def test_mix_meets_targets_closely_and_without_broadcasts(spark, monkeypatch):
+    """Without very long texts the words taken are within one small document of each target, the multipliers are
+    those of the closed form, and tables too large to be broadcast change nothing."""
+    rng = np.random.default_rng(10)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), ["a", "b", "c", None][int(rng.integers(4))]) for i in range(1500)]
+    d = docs_of(spark, rows)
+    out = mixing.mix(spark, d).collect()
+    size, took, target = defaultdict(int), defaultdict(int), {}
+    for r in out:
+        size[r.source] += r["size"]
+        took[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(took[s] - target[s]) <= 10 for s in size)
+    lam = mixing.dual(mixing.sized(d), target, size)
+    assert lam == pytest.approx({s: math.log(target[s] / size[s]) for s in size}, abs=1e-6)
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert sorted(map(repr, mixing.mix(spark, d).collect())) == sorted(map(repr, out))
+
+
 # --- 9 and 10: tokens -------------------------------------------------------------------------------
 
 
