@@ -202,7 +202,9 @@ def _normalise(file: str, folder: str, attempt: int) -> pa.RecordBatch:
     with fs.open_output_stream(f"{temporary}.idx") as out:
         out.write("".join(f"{i}\t{o}\t{n}\n" for i, o, n in zip(ids, offsets, lengths, strict=True)).encode())
     _commit(fs, f"{temporary}.idx", f"{at}/{name}.idx")
-    return pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"] * len(ids), "record_id": ids, "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+    kinds = {"file": pa.string(), "record_id": pa.string(), "offset": pa.int64(), "length": pa.int64()}  # named: a file may hold no record
+    columns = ([f"{folder}/{name}"] * len(ids), ids, offsets, lengths)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
 def read_archives(index: DataFrame, payloads: bool = False) -> DataFrame:

@@ -340,6 +340,13 @@ def test_archives(spark):
     assert warc.archive_pages(spark, d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_partitions_without_pages(spark, n):
+    """Their monolithic files hold no record, whatever files the task reads besides."""
+    d = spark.range(0, n, 1, 8).selectExpr("id AS page_id", "'u' AS url", "concat('p', id) AS html")
+    assert sorted(r.page_id for r in warc.archive_pages(spark, d).collect()) == list(range(n))
+
+
 def test_normalise_round_trip(spark, tmp_path):
     records = [warc.record(i, "u", b"p" * i) for i in range(50)]
     z = zlib.compressobj(6, wbits=31)
