@@ -79,7 +79,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op5_tool_calls, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters does to every source of ``documents`` (see ``audit``)."""
+    from palimpsest.llm.filter_audit import audit
+
+    return audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op5_tool_calls, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing, op13_filter_audit)
+}
 
 ORACLE_SQL = {
     # The SHA-1 of DuckDB is hexadecimal; its bytes are written in base32 five bits at a time.
@@ -111,4 +121,29 @@ ORACLE_SQL = {
           c.text <> '' AS valid, CASE WHEN c.text = '' THEN '$.text: length' ELSE '' END AS errors,
           CASE WHEN r.n IS NULL THEN 'open' ELSE 'linked' END AS status
         FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.call_id = lv.call_id LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id""",
+    # every order from the bits of the filters that a text fails, without sets of prefixes
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+        b AS (SELECT part,
+            doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
+            map {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+              'C': 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS fails
+          FROM w),
+        g AS (SELECT part, fails['A'] AS a, fails['B'] AS b, fails['C'] AS c, fails['D'] AS d, fails['E'] AS e, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+          FROM b GROUP BY ALL),
+        f AS (SELECT part, n, good, toxic, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails FROM g),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        o AS (SELECT v.l || w.l || x.l || y.l || z.l AS filter_order FROM l v JOIN l w ON w.l <> v.l JOIN l x ON x.l NOT IN (v.l, w.l) JOIN l y ON y.l NOT IN (v.l, w.l, x.l) JOIN l z ON z.l NOT IN (v.l, w.l, x.l, y.l)),
+        s AS (SELECT filter_order, step, filter_order[step] AS x, string_split(left(filter_order, step - 1), '') AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+        r AS (SELECT part, filter_order, step, x, n, good, toxic, fails[x] AS failing, len(list_filter(before, lambda k: k <> '' AND fails[k])) = 0 AS alive,
+            len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: k <> x AND fails[k])) = 0 AS alone
+          FROM f, s),
+        t AS (SELECT part, filter_order, step, x,
+            CAST(coalesce(sum(n) FILTER (alive AND NOT failing), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (alive AND failing), 0) AS BIGINT) AS removed,
+            CAST(coalesce(sum(n) FILTER (failing AND NOT alive), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (failing AND alone), 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(sum(good) FILTER (alive AND failing), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (alive AND failing), 0) AS BIGINT) AS toxic_lost
+          FROM r GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM t""",
 }

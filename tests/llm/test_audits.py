@@ -1,0 +1,81 @@
+"""Secret scans, source divergence and filter audits against plain Python, on odd input too."""
+
+import re
+from collections import Counter, defaultdict
+from itertools import permutations
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import filter_audit
+
+DOCS = "doc_id long, text string, lang string, source string, row string, part string, n int"
+WORDS = " ".join(f"word{i}" for i in range(250))
+LONG = " ".join(f"w{i}" for i in range(30_000))
+ODD = [
+    (1, None, "en", "a"), (2, "", "en", None), (3, LONG, "en", "a"), (4, LONG, "fr", "b"), (5, "a b", "fr", "b"), (5, "a b", "fr", "b"), (None, "a b", None, "a"), (None, None, None, None),
+    (6, WORDS, "en", "a"), (7, WORDS + " A B C D E " * 20, "en", "a"), (8, WORDS + " #", "en", "b"), (9, WORDS, "en", "c"), (10, "x " * 300, "en", "c"), (11, "AB$ " * 90, "de", ""), (12, "é É " * 210, "fr", "a"),
+]
+
+
+def docs_of(spark, rows):
+    """Documents with columns that the operators use as names of their own."""
+    return spark.createDataFrame([(*r, "r", "p", 3) for r in rows], DOCS)
+
+
+# --- 13: filter audit -------------------------------------------------------------------------------
+
+
+def audited(rows, labels):
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    first, kinds = {}, defaultdict(set)
+    for i, t, *_ in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    for i, q, t in labels:
+        if i is not None:
+            kinds["good"].update([i] if q == 1 else [])
+            kinds["toxic"].update([i] if t == 1 else [])
+    found = []
+    for i, t, _, source in rows:
+        t = t or ""
+        words = word.findall(t)
+        fails = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and i > first[t]}
+        found.append((source or "", {k for k in fails if fails[k]}, i in kinds["good"], i in kinds["toxic"]))
+    out, shapley = {}, Counter()
+    for part in {f[0] for f in found}:
+        for order in permutations("ABCDE"):
+            alive = [f for f in found if f[0] == part]
+            every = alive
+            for step, x in enumerate(order, 1):
+                removed = [f for f in alive if x in f[1]]
+                alive = [f for f in alive if x not in f[1]]
+                shapley[part, x] += len(removed)
+                failing = sum(x in f[1] for f in every)
+                out[part, "".join(order), step] = (len(alive), len(removed), failing - len(removed), sum(f[1] == {x} for f in every), sum(f[2] for f in removed), sum(f[3] for f in removed))
+    return {(*k, *v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def test_filter_audit(spark):
+    labels = [(1, 1, 0), (5, 1, 1), (6, 0, 1), (7, 1, 0), (7, 0, None), (9, None, 1), (None, 1, 1), (99, 1, 1)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = filter_audit.audit(spark, docs_of(spark, ODD), marks)
+    assert out.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == audited(ODD, labels)
+
+
+def test_filter_audit_of_little(spark):
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.audit(spark, docs_of(spark, []), empty).count() == 0
+    clean = filter_audit.audit(spark, docs_of(spark, [(1, WORDS, "en", None)]), empty)
+    assert [tuple(r) for r in clean.select("part", "kept", "removed", "redundant", "unique_fails", "shapley").distinct().collect()] == [("", 1, 0, 0, 0, 0)]
+
+
+def test_filter_audit_moves_no_sets(spark):
+    """What the sets make of a row is joined where it is made: no exchange lies between."""
+    rows = spark.range(9).select(F.col("id").alias("row"))
+    failures = spark.range(9).selectExpr("id AS failed", "1 AS f")
+    plan = filter_audit.after_prefixes(rows, failures, F.sequence(F.lit(0), F.lit(31)), "left_anti")
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")] and plan.count("Exchange") == 2
