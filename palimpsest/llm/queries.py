@@ -79,6 +79,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source of ``documents`` differs from the others of its language (see ``divergence``)."""
+    from palimpsest.llm.divergence import divergence
+
+    return divergence(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every order of five filters does to every source of ``documents`` (see ``audit``)."""
     from palimpsest.llm.filter_audit import audit
@@ -88,7 +95,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op5_tool_calls, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing, op13_filter_audit)
+    for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op5_tool_calls, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing, op12_divergence, op13_filter_audit)
 }
 
 ORACLE_SQL = {
@@ -121,6 +128,23 @@ ORACLE_SQL = {
           c.text <> '' AS valid, CASE WHEN c.text = '' THEN '$.text: length' ELSE '' END AS errors,
           CASE WHEN r.n IS NULL THEN 'open' ELSE 'linked' END AS status
         FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.call_id = lv.call_id LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id""",
+    # every pair over all kept terms, absent ones too
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+        v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT d.lang, d.source, coalesce(max(s.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p, 1 + (1000000000 * (k.total + 1)) // (v.n + v.v) AS q
+          FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        x AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM x)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
     # every order from the bits of the filters that a text fails, without sets of prefixes
     "op13_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),

@@ -4,10 +4,13 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
-import pytest
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.llm import filter_audit
+from palimpsest.llm import divergence, filter_audit
 
 DOCS = "doc_id long, text string, lang string, source string, row string, part string, n int"
 WORDS = " ".join(f"word{i}" for i in range(250))
@@ -23,6 +26,76 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(*r, "r", "p", 3) for r in rows], DOCS)
 
 
+# --- 12: source divergence --------------------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+CAPITALS = {c: c + 32 for c in range(65, 91)}
+
+
+def diverged(rows):
+    docs, total, own = defaultdict(set), Counter(), defaultdict(Counter)
+    for row, (_, t, lang, source) in enumerate(rows):
+        counts = own[lang or "", source or ""]
+        for term in TERM.findall((t or "").translate(CAPITALS)):
+            docs[lang or "", term].add(row)
+            total[lang or "", term] += 1
+            counts[term] += 1
+    out = set()
+    for lang in {g[0] for g in own}:
+        kept = sorted((t for (of, t), d in docs.items() if of == lang and len(d) >= 3), key=str.encode)
+
+        def shares(counts, kept=kept):
+            n = sum(counts[t] for t in kept)
+            return [1 + 1_000_000_000 * (counts[t] + 1) // (n + len(kept)) for t in kept]
+
+        p = {s: shares(c) for (of, s), c in own.items() if of == lang}
+        q = shares({t: total[lang, t] for t in kept})
+        for s in p:
+            pairs = [(sum((a - b) ** 2 // b for a, b in zip(p[s], p[o], strict=True)), o) for o in p if o != s]
+            terms = [((a - b) ** 2 // b, t) for t, a, b in zip(kept, p[s], q, strict=True) if own[lang, s][t] and a > b]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out |= {(lang, s, part, item, value, k) for k, (value, item) in enumerate(found, 1) if part == "pair" or k <= 200}
+    return out
+
+
+def test_divergence(spark):
+    wide = ["ab" * k + "é" * j for k in (1, 3, 4, 7, 8, 9, 20, 400) for j in (0, 1)]
+    texts = [" ".join(wide[: 3 + k] * (1 + k % 3)) + " Rank-Tie #x" * (k % 2) + f" only{k} ÀÉ" for k in range(14)]
+    rows = ODD + [(100 + k, t, ("en", "fr")[k % 2], "abc"[k % 3]) for k, t in enumerate(texts)] + [(200 + k, " ".join(f"{a}{b}" for a in "abcdefghijklmnop" for b in "qrstuvwxyzabcdef"), "xx", f"s{k % 2}") for k in range(3)]
+    rows += [(300, "solo", "yy", "s"), (301, None, "yy", "t")]
+    got = [tuple(r) for r in divergence.divergence(spark, docs_of(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == diverged(rows)
+    assert divergence.divergence(spark, docs_of(spark, [])).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.text(alphabet="aAzZé字- 0_", max_size=60)), max_size=8), st.sampled_from([1, 7, 4_000_000]))
+def test_runs_count_terms(rows, chunk):
+    """Whatever the bytes packed at once, and also where a text is cut."""
+    was, divergence.CHUNK = divergence.CHUNK, chunk
+    try:
+        batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows], "lang": [str(g) for g, _ in rows], "source": ["s"] * len(rows)}, pa.schema([(c, pa.string()) for c in ("text", "lang", "source")]))
+        found = pa.Table.from_batches(list(divergence._count(iter([batch])))).to_pylist()
+    finally:
+        divergence.CHUNK = was
+    n, docs = Counter(), Counter()
+    for r in found:
+        if r["term"] is not None:
+            n[r["lang"], r["term"]] += r["n"]
+            docs[r["lang"], r["term"]] += r["docs"]
+    want = [(str(g), TERM.findall(t.translate(CAPITALS))) for g, t in rows]
+    assert n == Counter((g, t) for g, terms in want for t in terms)
+    assert docs == Counter((g, t) for g, terms in want for t in set(terms))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 3)), max_size=50))
+def test_radix_order(rows):
+    a, b = (np.array([r[k] for r in rows], np.uint64) for k in (0, 1))
+    assert divergence.radix_order(b, a).tolist() == sorted(range(len(rows)), key=lambda i: (b[i], a[i]))
+
+
 # --- 13: filter audit -------------------------------------------------------------------------------
 
 
