@@ -79,6 +79,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every row of ``documents`` (see ``scan``)."""
+    from palimpsest.llm.secret_scan import scan
+
+    return scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How every source of ``documents`` differs from the others of its language (see ``divergence``)."""
     from palimpsest.llm.divergence import divergence
@@ -95,7 +102,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op5_tool_calls, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing, op12_divergence, op13_filter_audit)
+    for f in (op1_neighbours, op2_toxicity, op3_html, op4_warc, op5_tool_calls, op6_hamming, op7_jaccard, op8_mixing, op9_token_counts, op10_packing, op11_secret_scan, op12_divergence, op13_filter_audit)
 }
 
 ORACLE_SQL = {
