@@ -104,10 +104,12 @@ def is_synchronised(text: Column, html: Column) -> Column:
 
 #: No character has a number of more digits, leading zeros aside.
 DIGITS = 7
+SURROGATES = range(0xD800, 0xE000)
 
 
 def _referred(name: str) -> str | None:
-    """What stands between ``&`` and ``;`` as a character; '' for a number out of range, None if it is none."""
+    """What stands between ``&`` and ``;`` as a character; '' for a number out of range, U+FFFD for half of a surrogate
+    pair, which no text can hold, None if it is none."""
     if name in ENTITIES:
         return ENTITIES[name]
     base = 16 if name[:2] == "#x" else 10
@@ -116,6 +118,8 @@ def _referred(name: str) -> str | None:
         return None
     digits = digits.lstrip("0")
     number = int(digits, base) if 0 < len(digits) <= DIGITS else 0
+    if number in SURROGATES:
+        return "\ufffd"
     return chr(number) if 0 < number < sys.maxunicode else ""
 
 

@@ -21,8 +21,11 @@ def purge_plan(state: DataFrame, cutoff: int | None, server: bool = False) -> Da
     return gone if cutoff is None else gone.filter(F.col("deleted_at").isNull() | (F.col("deleted_at") < cutoff))
 
 
-def purge_stats(plan: DataFrame) -> DataFrame:
-    return plan.agg(F.countDistinct("identity").alias("items"), F.count("*").alias("purged"))
+def purge_stats(state: DataFrame, plan: DataFrame) -> DataFrame:
+    """items (all that were looked at) and purged (tombstones removed), as one row."""
+    items = state.agg(F.countDistinct("identity").alias("items"), F.lit(None).cast("long").alias("purged"))
+    both = items.unionByName(plan.agg(F.lit(None).cast("long").alias("items"), F.count("*").alias("purged")))
+    return both.agg(F.max("items").alias("items"), F.max("purged").alias("purged"))
 
 
 def orphans(registry: DataFrame, state: DataFrame, purged: DataFrame) -> DataFrame:

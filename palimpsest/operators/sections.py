@@ -56,39 +56,82 @@ def apply_fields(remote: DataFrame, parents: DataFrame, local: DataFrame, pushed
     return d.select(*keys, action.alias("action"))
 
 
+#: A form's digest is joined together with one of so many numbers, so a form that very many notes have is no hot key.
+SALTS = 16
+
+
+def digest(form: Column) -> Column:
+    return F.unhex(F.sha2(form, 256))
+
+
 def known_forms(notes: DataFrame) -> DataFrame:
-    """form: every form that a local note (text, html) has: text and html, as they are and without our markers."""
+    """item, form: digests of every form that an item's notes (item, text, html) have here: text and html, trimmed, as
+    they are and without our markers."""
     forms = F.array(F.trim("text"), T.without_text_marks(F.col("text")), F.trim("html"), T.without_marks(F.col("html"), "html"))
-    return notes.select(F.explode(forms).alias("form")).filter("form is not null and form <> ''").distinct()
+    forms = F.filter(forms, lambda f: F.coalesce(f, F.lit("")) != "")
+    return notes.select("item", F.explode(F.array_distinct(F.transform(forms, digest))).alias("form")).distinct()
+
+
+def note_contents(remote: DataFrame) -> DataFrame:
+    """``remote`` with ``safe``, the sanitised html of a note (its text as a paragraph without one), and ``content``,
+    that with the footer of the note's key and author."""
+    html = F.when(F.coalesce("html", F.lit("")) != "", T.sanitize_html(F.col("html"))).otherwise(F.concat(F.lit("<p>"), T.escape_html(F.coalesce("text", F.lit(""))), F.lit("</p>")))
+    author = F.when(F.coalesce("author", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("author"))
+    return remote.withColumn("safe", html).withColumn("content", F.concat("safe", T.footer(F.col("key"), T.escape_html(author))))
+
+
+def parents(notes: DataFrame, photos: DataFrame, photo: str = "photo") -> DataFrame:
+    """``notes`` (item, ``photo``) with ``parent``: the photo of that checksum in the note's own item (item, ordinal,
+    checksum), the item's first photo for a note that names none, null if there is no such photo."""
+    first = photos.groupBy("item").agg(F.min(F.struct("ordinal", "checksum"))["checksum"].alias("first_"))
+    there = photos.select("item", F.col("checksum").alias(photo)).distinct().withColumn("there_", F.lit(True))
+    d = notes.join(first, "item", "left").join(there, ["item", photo], "left")
+    return d.withColumn("parent", F.when(F.col("there_"), F.col(photo)).when(F.col(photo).isNull(), F.col("first_"))).drop("first_", "there_")
 
 
 def note_plan(remote: DataFrame, local: DataFrame, applied: DataFrame, photos: DataFrame, me: str) -> DataFrame:
-    """key, action of each live remote note (key, text, html, photo, author).
+    """item, key, action, parent, html of each live remote note (item, key, text, html, photo, author).
+
+    local: item, key (of the footer or the vault; null for notes of our own), text, html. applied: key, hash of
+    the html that was last applied. photos: item, ordinal, checksum. A note that is here already is
+    skip_present unless it was retracted; one whose item lacks its photo, or has none, is no_parent; one
+    edited here since it was applied stays (conflict_local), others are updated. A new one is not
+    created twice: dedup if its sanitised html, with or without the footer, or its text is a form of a
+    note of its own item. parent and html are what to write, null where nothing is.
 
-    local: key (of the footer or the vault; null for notes of our own), text, html. applied: key, hash of the html
-    that was last applied. photos: item, photo, ordinal. A note that is here already is skip_present unless it
-    was retracted; one edited here since it was applied stays (conflict_local), others are updated. A new one
-    needs its photo (no_parent), and is not created twice (dedup: its html or text is known in some form).
+    Forms meet by digests within an item and never as texts; an item with very many notes meets in
+    ``SALTS`` parts.
     """
     mine = local.filter("key is not null").groupBy("key").agg(F.max(F.struct("text", "html")).alias("mine")).select("key", F.col("mine.text").alias("l_text"), F.col("mine.html").alias("l_html"), F.lit(True).alias("here"))
-    forms = known_forms(local).withColumn("known", F.lit(True))
-    parents = photos.select("photo").distinct().withColumn("parent", F.lit(True))
-    html = F.coalesce(F.col("html"), F.concat(F.lit("<p>"), T.escape_html(F.col("text")), F.lit("</p>")))
-    d = remote.withColumn("safe", F.trim(html)).withColumn("plain", F.trim("text")).join(mine, "key", "left").join(applied.select("key", F.col("hash").alias("last")), "key", "left")
-    d = d.join(parents, "photo", "left").join(forms.withColumnRenamed("form", "safe").withColumnRenamed("known", "k1"), "safe", "left").join(forms.withColumnRenamed("form", "plain").withColumnRenamed("known", "k2"), "plain", "left")
+    d = parents(note_contents(remote), photos).join(mine, "key", "left").join(applied.select("key", F.col("hash").alias("last")), "key", "left")
     l_text, r_text = F.coalesce("l_text", F.lit("")), F.coalesce("text", F.lit(""))
-    now = field_hash(F.col("l_html"), "note")
+    salt = F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int")
+    asked = F.filter(F.array(F.trim("safe"), F.trim("content"), F.trim("text")), lambda f: F.coalesce(f, F.lit("")) != "")
+    asked = d.filter("here is null").select("item", "key", F.explode(F.array_distinct(F.transform(asked, digest))).alias("form")).withColumn("salt", salt)
+    known = asked.join(known_forms(local).withColumn("salt", salt), ["item", "salt", "form"], "left_semi").select("item", "key").distinct().withColumn("known", F.lit(True))
     action = (
         F.when(F.col("author").eqNullSafe(me), "skip_own")
         .when((r_text == "") & (F.coalesce("html", F.lit("")) == ""), "skip_empty")
         .when(F.col("here") & (r_text != "") & l_text.contains(r_text) & ~l_text.contains("[retracted"), "skip_present")
-        .when(F.col("photo").isNotNull() & F.col("parent").isNull(), "no_parent")
-        .when(F.col("here") & F.col("last").isNotNull() & (F.col("last") != now), "conflict_local")
+        .when(F.col("parent").isNull(), "no_parent")
+        .when(F.col("here") & F.col("last").isNotNull() & (F.col("last") != field_hash(F.col("l_html"), "note")), "conflict_local")
         .when(F.col("here"), "update")
-        .when(F.col("k1") | F.col("k2"), "dedup")
+        .when(F.col("known"), "dedup")
         .otherwise("create")
     )
-    return d.select("key", action.alias("action"))
+    d = d.join(known, ["item", "key"], "left").withColumn("action", action)
+    write = F.col("action").isin("update", "create")
+    return d.select("item", "key", "action", F.when(write, F.col("parent")).alias("parent"), F.when(write, F.col("content")).alias("html"))
+
+
+def applied_notes(plan: DataFrame, applied: DataFrame, cycle: int) -> DataFrame:
+    """key, hash, cycle of every note that was applied, after ``plan`` is carried out: what it writes replaces what was
+    remembered (key, hash, cycle); a note that stays as edited here, is present or a duplicate, counts as applied but
+    its hash stays as it was, null if there was none."""
+    done = plan.filter(F.col("action").isin("update", "create", "conflict_local", "skip_present", "dedup"))
+    now = done.groupBy("key").agg(F.max(F.when(F.col("html").isNotNull(), field_hash(F.col("html"), "note"))).alias("now"))
+    d = applied.join(now.withColumn("done", F.lit(True)), "key", "full")
+    return d.select("key", F.coalesce("now", "hash").alias("hash"), F.when(F.col("now").isNotNull() | (F.col("done") & F.col("cycle").isNull()), F.lit(cycle)).otherwise(F.col("cycle")).cast("long").alias("cycle"))
 
 
 def first_photo(notes: DataFrame, photos: DataFrame) -> DataFrame:
@@ -101,30 +144,31 @@ def first_photo(notes: DataFrame, photos: DataFrame) -> DataFrame:
 
 
 def selection_plan(remote: DataFrame, valid: Column, parents: DataFrame, applied: DataFrame, local: DataFrame, me: str) -> DataFrame:
-    """uuid, action of remote selections (uuid, photo, author, deleted, fp and the columns of ``valid``).
+    """item, uuid, action of remote selections (item, uuid, photo, author, deleted, fp and the columns of ``valid``).
 
-    Tombstones and what was applied before (uuid) do nothing, so later moves are not applied. parents: photo;
-    local: fp, the places of our own selections, to which an equal one is mapped.
+    Tombstones and what was applied before (uuid) do nothing, so later moves are not applied. parents: item,
+    photo; local: item, fp, the places of the item's own selections, to which an equal one is mapped.
     """
     d = remote.withColumn("fine", valid)
-    d = d.join(parents.select("photo").distinct().withColumn("parent", F.lit(True)), "photo", "left")
-    d = d.join(applied.select("uuid").distinct().withColumn("done", F.lit(True)), "uuid", "left").join(local.select("fp").distinct().withColumn("mine", F.lit(True)), "fp", "left")
+    d = d.join(parents.select("item", "photo").distinct().withColumn("parent", F.lit(True)), ["item", "photo"], "left")
+    d = d.join(applied.select("uuid").distinct().withColumn("done", F.lit(True)), "uuid", "left").join(local.select("item", "fp").distinct().withColumn("mine", F.lit(True)), ["item", "fp"], "left")
     action = (
         F.when(F.coalesce("deleted", F.lit(False)), "skip_deleted").when(F.col("author").eqNullSafe(me), "skip_own").when(F.col("done"), "skip_applied").when(~F.coalesce("fine", F.lit(False)), "skip_invalid")
         .when(F.col("parent").isNull(), "no_parent").when(F.col("mine"), "map").otherwise("create")
     )
-    return d.select("uuid", action.alias("action"))
+    return d.select("item", "uuid", action.alias("action"))
 
 
 def transcription_plan(remote: DataFrame, parents: DataFrame, applied: DataFrame, mapped: DataFrame, me: str) -> DataFrame:
-    """uuid, action of remote transcriptions (uuid, text, photo, author, deleted): a mapped one is replaced."""
-    d = remote.join(parents.select("photo").distinct().withColumn("parent", F.lit(True)), "photo", "left")
+    """item, uuid, action of remote transcriptions (item, uuid, text, photo, author, deleted): a mapped one is replaced,
+    another is created on its photo of the item (parents: item, photo)."""
+    d = remote.join(parents.select("item", "photo").distinct().withColumn("parent", F.lit(True)), ["item", "photo"], "left")
     d = d.join(applied.select("uuid").distinct().withColumn("done", F.lit(True)), "uuid", "left").join(mapped.select("uuid").distinct().withColumn("known", F.lit(True)), "uuid", "left")
     action = (
         F.when(F.coalesce("deleted", F.lit(False)), "skip_deleted").when(F.col("author").eqNullSafe(me), "skip_own").when(F.coalesce("text", F.lit("")) == "", "skip_empty").when(F.col("done"), "skip_applied")
         .when(F.col("parent").isNull(), "no_parent").when(F.col("known"), "replace").otherwise("create")
     )
-    return d.select("uuid", action.alias("action"))
+    return d.select("item", "uuid", action.alias("action"))
 
 
 def list_membership_plan(remote: DataFrame, lists: DataFrame, members: DataFrame, me: str, deletions: bool = True) -> DataFrame:
@@ -145,14 +189,20 @@ def lookup(names: DataFrame, here: DataFrame, fold: bool) -> DataFrame:
 
 
 def aliases(links: DataFrame) -> DataFrame:
-    """identity, old_identity, target, created: an alias is stored under the new identity; of several writes of one
-    the last counts."""
-    return links.groupBy("identity", "old_identity").agg(F.max(F.struct("created", "target")).alias("l")).select("identity", "old_identity", F.col("l.target").alias("target"), F.col("l.created").alias("created"))
-
-
-def purged_aliases(aliases: DataFrame, live: DataFrame) -> DataFrame:
-    """The aliases whose target has no live entry left (identity)."""
-    return aliases.join(live.select(F.col("identity").alias("target")).distinct(), "target", "left_anti")
+    """identity, old_identity, target, created of links that also have a clock: an alias is stored under the new
+    identity; of several writes of one the last counts. Aliases of the first format have no time (created is null)."""
+    last = links.groupBy("identity", "old_identity").agg(F.max(F.struct("clock", "target", "created")).alias("l"))
+    return last.select("identity", "old_identity", F.col("l.target").alias("target"), F.col("l.created").alias("created"))
+
+
+def purged_aliases(aliases: DataFrame, cutoff: int | Column | None, server: bool = False) -> DataFrame:
+    """The aliases (created in ms) to remove, by age alone: those without time and those from before the cutoff. A
+    client without a cutoff removes all; a server always has one."""
+    if cutoff is None:
+        if server:
+            raise ValueError("a server purges aliases by age: it needs a cutoff")
+        return aliases
+    return aliases.filter((F.coalesce("created", F.lit(0)) == 0) | (F.col("created") < cutoff))
 
 
 def full_apply(current: DataFrame, previous: DataFrame) -> DataFrame:

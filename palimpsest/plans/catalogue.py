@@ -161,9 +161,10 @@ def purge_plan_server(spark, sf_dir):
     return maintain.purge_plan(_state(spark, sf_dir), _cutoff(P.ops(spark, sf_dir)), server=True).select("identity", "section", "key", "deleted_at")
 
 
-@query(f"WITH {_STATE} SELECT count(DISTINCT identity) AS items, count(*) AS purged FROM state WHERE deleted")
+@query(f"WITH {_STATE} SELECT count(DISTINCT identity) AS items, count(*) FILTER (deleted) AS purged FROM state")
 def purge_stats(spark, sf_dir):
-    return maintain.purge_stats(maintain.purge_plan(_state(spark, sf_dir), None))
+    s = _state(spark, sf_dir)
+    return maintain.purge_stats(s, maintain.purge_plan(s, None))
 
 
 @query(f"WITH {_STATE} SELECT DISTINCT identity, key FROM ops WHERE (identity, key) NOT IN (SELECT identity, key FROM state WHERE NOT deleted)")

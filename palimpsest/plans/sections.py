@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar, text
 from palimpsest.operators import items, maintain, reconcile, report, sections, state, writes
-from palimpsest.plans.catalogue import _CUT, _UNITS, _WRAP, _LISTS, _OPS, _PHOTOS, _STATE, ME, _cutoff, _fnv_hex
+from palimpsest.plans.catalogue import _CUT, _UNITS, _WRAP, _escape_sql, _LISTS, _OPS, _PHOTOS, _STATE, ME, _cutoff, _fnv_hex
 from palimpsest.plans.registry import query
 from palimpsest.sources import projections as P
 from palimpsest.sources import readers
@@ -48,30 +48,60 @@ def push_plan_notes(spark, sf_dir):
     return sections.push_plan(local, remote, pushed.select("key", sections.content_hash(["html"]).alias("hash")), ["key"], ["text", "html"], ME, hashed=["html"])
 
 
-_NOTE_PLAN = f"""{_LOCAL_NOTES}, photos AS (SELECT DISTINCT 'cs' || l_partkey AS photo FROM lineitem WHERE l_partkey < 40),
-  mine AS (SELECT CASE WHEN doc_id % 4 = 1 THEN key END AS key, CASE WHEN doc_id % 8 = 5 THEN '[retracted] ' || text WHEN doc_id % 16 = 9 THEN 'mine' ELSE text END AS text, '<p>' || CASE WHEN doc_id % 32 = 9 THEN 'edited' ELSE text END || '</p>' AS html FROM n0 WHERE doc_id % 4 IN (1, 2)),
+#: Photos of items, one for each place; items of notes and transcriptions are orders of small numbers.
+_ITEM_PHOTOS = f"{_PHOTOS}, ip AS (SELECT local_id AS item, ordinal, max(checksum) AS checksum FROM photos GROUP BY 1, 2)"
+_NOTE_PLAN = f"""{_LOCAL_NOTES}, {_ITEM_PHOTOS}, first AS (SELECT item, arg_min(checksum, ordinal) AS first FROM ip GROUP BY item),
+  an AS (SELECT doc_id % 500 AS item, key, author, CASE WHEN doc_id % 6 = 1 THEN 'their text' ELSE text END AS text,
+      CASE WHEN doc_id % 6 = 1 THEN '<p>their text</p>' WHEN doc_id % 6 = 4 THEN '<p>' || {_escape_sql("text")} || '</p>' ELSE '<p>' || text || '</p>' END AS safe,
+      CASE WHEN doc_id % 10 = 8 THEN 'cs' || (doc_id % 50) WHEN doc_id % 10 <> 9 THEN checksum END AS photo
+    FROM n0 LEFT JOIN ip ON item = doc_id % 500 AND ordinal = 1 + doc_id % 3 WHERE doc_id % 3 <> 0 AND doc_id % 11 <> 0),
+  rp AS (SELECT an.*, safe || {_FOOTER} AS content, CASE WHEN photo IS NULL THEN first WHEN EXISTS (SELECT 1 FROM ip WHERE ip.item = an.item AND checksum = photo) THEN photo END AS parent FROM an LEFT JOIN first USING (item)),
+  mine AS (SELECT (doc_id + CASE WHEN doc_id % 8 = 6 THEN 1 ELSE 0 END) % 500 AS item, CASE WHEN doc_id % 4 = 1 THEN key END AS key, CASE WHEN doc_id % 8 = 5 THEN '[retracted] ' || text WHEN doc_id % 16 = 9 THEN 'mine' ELSE text END AS text,
+      '<p>' || CASE WHEN doc_id % 32 = 9 THEN 'edited' ELSE text END || '</p>' AS html FROM n0 WHERE doc_id % 4 IN (1, 2)),
   applied AS (SELECT key, '<p>' || text || '</p>' AS html FROM n0 WHERE doc_id % 4 = 1),
-  forms AS (SELECT DISTINCT trim(f) AS f FROM (SELECT unnest([text, regexp_replace(text, '^\\[(?:overlay:)?[^\\]]{{1,80}}\\]\\s*', ''), html]) AS f FROM mine) WHERE trim(f) <> '')"""
+  forms AS (SELECT DISTINCT item, trim(f) AS f FROM (SELECT item, unnest([text, regexp_replace(text, '^\\[(?:overlay:)?[^\\]]{{1,80}}\\]\\s*', ''), html]) AS f FROM mine) WHERE trim(f) <> ''),
+  plan AS (SELECT rp.item, rp.key, parent, content, CASE WHEN author = 'u0' THEN 'skip_own' WHEN coalesce(rp.text, '') = '' AND safe = '<p></p>' THEN 'skip_empty'
+      WHEN m.key IS NOT NULL AND rp.text <> '' AND contains(m.text, rp.text) AND NOT contains(m.text, '[retracted') THEN 'skip_present' WHEN parent IS NULL THEN 'no_parent'
+      WHEN m.key IS NOT NULL AND a.html <> m.html THEN 'conflict_local' WHEN m.key IS NOT NULL THEN 'update'
+      WHEN EXISTS (SELECT 1 FROM forms WHERE forms.item = rp.item AND f IN (trim(safe), trim(content), trim(rp.text))) THEN 'dedup' ELSE 'create' END AS action
+    FROM rp LEFT JOIN mine m USING (key) LEFT JOIN applied a USING (key))"""
 
 
-@query(f"""WITH {_NOTE_PLAN} SELECT rn.key, CASE WHEN rn.author = 'u0' THEN 'skip_own' WHEN coalesce(rn.text, '') = '' AND coalesce(rn.html, '') = '' THEN 'skip_empty'
-  WHEN m.key IS NOT NULL AND rn.text <> '' AND contains(m.text, rn.text) AND NOT contains(m.text, '[retracted') THEN 'skip_present'
-  WHEN rn.photo IS NOT NULL AND rn.photo NOT IN (SELECT photo FROM photos) THEN 'no_parent'
-  WHEN m.key IS NOT NULL AND a.html <> m.html THEN 'conflict_local' WHEN m.key IS NOT NULL THEN 'update'
-  WHEN trim(rn.html) IN (SELECT f FROM forms) OR trim(rn.text) IN (SELECT f FROM forms) THEN 'dedup' ELSE 'create' END AS action
-  FROM rn LEFT JOIN mine m USING (key) LEFT JOIN applied a USING (key) WHERE NOT rn.deleted""")
-def apply_plan_notes(spark, sf_dir):
-    _, remote, _ = _notes(spark, sf_dir)
-    n = P.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("n_"), "doc_id").alias("key"), "text")
-    number = F.col("doc_id")
+def _item_photos(spark, sf_dir):
+    return P.photos(spark, sf_dir).groupBy(F.col("local_id").alias("item"), "ordinal").agg(F.max("checksum").alias("checksum"))
+
+
+def _note_application(spark, sf_dir):
+    """The plan of the other replica's notes, and what was applied before. Some of its html is unsafe or missing; some of
+    our own notes equal one of theirs on another item."""
+    n = P.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("n_"), "doc_id").alias("key"), "text", F.concat(F.lit("u"), F.col("doc_id") % 5).alias("author"))
+    number, photos = F.col("doc_id"), _item_photos(spark, sf_dir)
+    paragraph = lambda c: F.concat(F.lit("<p>"), c, F.lit("</p>"))
+    unsafe = F.concat(F.lit('<p onclick="take()">'), "text", F.lit("</p><script>take()</script>"))
+    placed = n.filter("doc_id % 3 <> 0 AND doc_id % 11 <> 0").withColumn("item", number % 500).withColumn("ordinal", number % 3 + 1).join(photos, ["item", "ordinal"], "left")
+    html = F.when(number % 6 == 1, "<p>their text</p>").when(number % 6 == 2, unsafe).when(number % 6 != 4, paragraph(F.col("text")))
+    photo = F.when(number % 10 == 8, F.concat(F.lit("cs"), number % 50)).when(number % 10 != 9, F.col("checksum"))
+    remote = placed.select("item", "key", F.when(number % 6 == 1, "their text").otherwise(F.col("text")).alias("text"), html.alias("html"), photo.alias("photo"), "author")
     mine = n.filter("doc_id % 4 in (1, 2)").select(
+        ((number + F.when(number % 8 == 6, 1).otherwise(0)) % 500).alias("item"),
         F.when(number % 4 == 1, F.col("key")).alias("key"),
         F.when(number % 8 == 5, F.concat(F.lit("[retracted] "), "text")).when(number % 16 == 9, "mine").otherwise(F.col("text")).alias("text"),
-        F.concat(F.lit("<p>"), F.when(number % 32 == 9, "edited").otherwise(F.col("text")), F.lit("</p>")).alias("html"),
+        paragraph(F.when(number % 32 == 9, "edited").otherwise(F.col("text"))).alias("html"),
     )
-    applied = n.filter("doc_id % 4 = 1").select("key", reconcile.field_hash(F.concat(F.lit("<p>"), "text", F.lit("</p>")), "note").alias("hash"))
-    photos = P.photos(spark, sf_dir).filter(F.substring("checksum", 3, 20).cast("long") < 40).select(F.col("checksum").alias("photo"))
-    return sections.note_plan(remote.filter("not deleted"), mine, applied, photos, ME)
+    applied = n.filter("doc_id % 4 = 1").select("key", reconcile.field_hash(paragraph(F.col("text")), "note").alias("hash"), F.lit(1).cast("long").alias("cycle"))
+    return sections.note_plan(remote, mine, applied, photos, ME), applied
+
+
+@query(f"WITH {_NOTE_PLAN} SELECT item, key, action, CASE WHEN action IN ('update', 'create') THEN parent END AS parent, CASE WHEN action IN ('update', 'create') THEN content END AS html FROM plan")
+def apply_plan_notes(spark, sf_dir):
+    return _note_application(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_NOTE_PLAN}, done AS (SELECT key, CASE WHEN action IN ('update', 'create') THEN left(sha256(content || '|note'), 16) END AS now FROM plan WHERE action NOT IN ('skip_own', 'skip_empty', 'no_parent'))
+  SELECT coalesce(d.key, a.key) AS key, coalesce(d.now, left(sha256(a.html || '|note'), 16)) AS hash, CAST(CASE WHEN d.now IS NOT NULL OR a.key IS NULL THEN 2 ELSE 1 END AS BIGINT) AS cycle FROM done d FULL JOIN applied a ON a.key = d.key""")
+def note_hashes(spark, sf_dir):
+    plan, applied = _note_application(spark, sf_dir)
+    return sections.applied_notes(plan, applied, 2)
 
 
 @query(f"""WITH {_PHOTOS}, n AS (SELECT 'n_' || doc_id AS uuid, doc_id % 500 AS item, 'cs' || (doc_id % 50) AS photo FROM documents)
@@ -126,7 +156,7 @@ def apply_plan_photos(spark, sf_dir):
     return sections.apply_fields(remote, here, local.filter("p_partkey % 7 <> 0"), pushed, ["photo", "prop"], ME)
 
 
-_SELECTIONS = """ls AS (SELECT 's_' || l_orderkey || '_' || l_linenumber AS uuid, max(l_partkey) AS part, 'u' || max(l_suppkey % 5) AS author, max(l_quantity) AS x, max(l_extendedprice) / 1000 AS y, max(l_discount) * 100 AS w, max(l_tax) * 100 AS h, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY 1),
+_SELECTIONS = """ls AS (SELECT 's_' || l_orderkey || '_' || l_linenumber AS uuid, max(l_orderkey) AS item, max(l_partkey) AS part, 'u' || max(l_suppkey % 5) AS author, max(l_quantity) AS x, max(l_extendedprice) / 1000 AS y, max(l_discount) * 100 AS w, max(l_tax) * 100 AS h, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY 1),
   rs AS (SELECT uuid, part, author, CASE WHEN part % 4 = 1 THEN x + 1 ELSE x END AS x, y, w, h, part % 13 = 0 AS deleted FROM ls WHERE part % 3 <> 0),
   ps AS (SELECT uuid, CASE WHEN part % 6 = 1 THEN x - 1 ELSE x END AS x, y, w, h FROM ls WHERE part % 5 <> 0)"""
 
@@ -134,7 +164,7 @@ _SELECTIONS = """ls AS (SELECT 's_' || l_orderkey || '_' || l_linenumber AS uuid
 def _selections(spark, sf_dir):
     """Local, remote and last pushed selections; of rows with the same number the largest values."""
     d = P.read(spark, sf_dir, "lineitem").groupBy(F.concat_ws("_", F.lit("s"), "l_orderkey", "l_linenumber").alias("uuid")).agg(
-        F.max("l_partkey").alias("part"), F.concat(F.lit("u"), F.max(F.col("l_suppkey") % 5)).alias("author"), F.max("l_quantity").alias("x"), (F.max("l_extendedprice") / 1000).alias("y"),
+        F.max("l_orderkey").alias("item"), F.max("l_partkey").alias("part"), F.concat(F.lit("u"), F.max(F.col("l_suppkey") % 5)).alias("author"), F.max("l_quantity").alias("x"), (F.max("l_extendedprice") / 1000).alias("y"),
         (F.max("l_discount") * 100).alias("w"), (F.max("l_tax") * 100).alias("h"), F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"),
     )
     remote = d.filter("part % 3 <> 0").withColumn("x", F.when(F.col("part") % 4 == 1, F.col("x") + 1).otherwise(F.col("x"))).withColumn("deleted", F.col("part") % 13 == 0)
@@ -176,26 +206,29 @@ def apply_plan_selection_metadata(spark, sf_dir):
     return sections.apply_fields(remote, here, local.filter("part % 7 <> 0"), pushed, ["uuid", "prop"], ME)
 
 
-_PLACE = "part || ':' || CAST(floor(x + 0.5) AS BIGINT) || ':' || CAST(floor(y + 0.5) AS BIGINT) || ':' || CAST(floor(w + 0.5) AS BIGINT) || ':' || CAST(floor(h + 0.5) AS BIGINT)"
+_PLACE = "photo || ':' || CAST(floor(x + 0.5) AS BIGINT) || ':' || CAST(floor(y + 0.5) AS BIGINT) || ':' || CAST(floor(w + 0.5) AS BIGINT) || ':' || CAST(floor(h + 0.5) AS BIGINT)"
 
 
-@query(f"""WITH {_SELECTIONS}, here AS (SELECT p_partkey FROM part WHERE p_size <= 40), done AS (SELECT uuid FROM ps WHERE x > 25), mine AS (SELECT DISTINCT {_PLACE} AS fp FROM ls WHERE author IN ('u0', 'u1'))
-  SELECT uuid, CASE WHEN deleted THEN 'skip_deleted' WHEN author = 'u0' THEN 'skip_own' WHEN uuid IN (SELECT uuid FROM done) THEN 'skip_applied' WHEN NOT (w > 0 AND h > 0) THEN 'skip_invalid'
-  WHEN part NOT IN (SELECT p_partkey FROM here) THEN 'no_parent' WHEN {_PLACE} IN (SELECT fp FROM mine) THEN 'map' ELSE 'create' END AS action FROM rs""")
+@query(f"""WITH {_SELECTIONS}, here AS (SELECT DISTINCT l_orderkey AS item, l_partkey AS photo FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 40), done AS (SELECT uuid FROM ps WHERE x > 25),
+  mine AS (SELECT DISTINCT item, {_PLACE} AS fp FROM (SELECT *, part AS photo FROM ls) WHERE author IN ('u0', 'u1')),
+  theirs AS (SELECT rs.*, ls.item, CASE WHEN rs.part % 7 = 0 THEN rs.part + 1 ELSE rs.part END AS photo FROM rs JOIN ls USING (uuid))
+  SELECT item, uuid, CASE WHEN deleted THEN 'skip_deleted' WHEN author = 'u0' THEN 'skip_own' WHEN uuid IN (SELECT uuid FROM done) THEN 'skip_applied' WHEN NOT (w > 0 AND h > 0) THEN 'skip_invalid'
+  WHEN NOT EXISTS (SELECT 1 FROM here WHERE here.item = theirs.item AND here.photo = theirs.photo) THEN 'no_parent' WHEN EXISTS (SELECT 1 FROM mine WHERE mine.item = theirs.item AND fp = {_PLACE.replace("photo", "theirs.photo")}) THEN 'map' ELSE 'create' END AS action FROM theirs""")
 def apply_plan_selections(spark, sf_dir):
     local, remote, _ = _selections(spark, sf_dir)
-    place = F.concat_ws(":", F.col("part").cast("string"), *[scalar.round_half_up(F.col(c)).cast("string") for c in "xywh"])
-    here = P.read(spark, sf_dir, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("photo"))
+    place = F.concat_ws(":", F.col("photo").cast("string"), *[scalar.round_half_up(F.col(c)).cast("string") for c in "xywh"])
+    parts = P.read(spark, sf_dir, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("photo"))
+    here = P.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("photo")).join(parts, "photo", "left_semi")
     done = local.filter("part % 5 <> 0").filter(F.when(F.col("part") % 6 == 1, F.col("x") - 1).otherwise(F.col("x")) > 25).select("uuid")
-    mine = local.filter("author in ('u0', 'u1')").select(place.alias("fp"))
-    remote = remote.withColumn("photo", F.col("part")).withColumn("fp", place)
+    mine = local.filter("author in ('u0', 'u1')").withColumn("photo", F.col("part")).select("item", place.alias("fp"))
+    remote = remote.withColumn("photo", F.when(F.col("part") % 7 == 0, F.col("part") + 1).otherwise(F.col("part"))).withColumn("fp", place)
     return sections.selection_plan(remote, scalar.valid_rectangle(*[F.col(c) for c in "xywh"]), here, done, mine, ME)
 
 
 # --- transcriptions, lists -----------------------------------------------------------------------
 
 _TRANSCRIPTS = """lt AS (SELECT 't_' || conv_id || '_' || turn AS uuid, conv_id, turn, max(text) AS text FROM conversations GROUP BY ALL),
-  rt AS (SELECT uuid, conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN 'theirs' ELSE text END AS text, 'u' || (conv_id % 3) AS author, conv_id % 11 = 0 AS deleted, 'cs' || (conv_id * 7 % 60) AS photo FROM lt WHERE turn % 3 <> 2),
+  rt AS (SELECT uuid, conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN 'theirs' ELSE text END AS text, 'u' || (conv_id % 3) AS author, conv_id % 11 = 0 AS deleted FROM lt WHERE turn % 3 <> 2),
   pt AS (SELECT uuid, text FROM lt WHERE conv_id % 2 = 1)"""
 #: Longer transcriptions are not pushed; the option's default is far larger than the texts at hand.
 LARGE = 200
@@ -203,7 +236,7 @@ LARGE = 200
 
 def _transcripts(spark, sf_dir):
     d = P.transcriptions(spark, sf_dir).groupBy("uuid", "conv_id", "turn").agg(F.max("text").alias("text"))
-    remote = d.filter("turn % 3 <> 2").select("uuid", "turn", F.when(F.col("conv_id") % 4 == 1, "theirs").otherwise(F.col("text")).alias("text"), F.concat(F.lit("u"), F.col("conv_id") % 3).alias("author"), (F.col("conv_id") % 11 == 0).alias("deleted"), F.concat(F.lit("cs"), F.col("conv_id") * 7 % 60).alias("photo"))
+    remote = d.filter("turn % 3 <> 2").select("uuid", "turn", F.when(F.col("conv_id") % 4 == 1, "theirs").otherwise(F.col("text")).alias("text"), F.concat(F.lit("u"), F.col("conv_id") % 3).alias("author"), (F.col("conv_id") % 11 == 0).alias("deleted"), "conv_id")
     return d, remote, d.filter("conv_id % 2 = 1").select("uuid", "text")
 
 
@@ -215,13 +248,16 @@ def push_plan_transcriptions(spark, sf_dir):
     return sections.push_plan(local, remote, pushed.select("uuid", sections.content_hash(["text"]).alias("hash")), ["uuid"], ["text"], ME)
 
 
-@query(f"""WITH {_TRANSCRIPTS}, here AS (SELECT DISTINCT 'cs' || l_partkey AS photo FROM lineitem WHERE l_partkey < 50), done AS (SELECT uuid FROM lt WHERE turn % 5 = 3)
-  SELECT uuid, CASE WHEN deleted THEN 'skip_deleted' WHEN author = 'u0' THEN 'skip_own' WHEN coalesce(text, '') = '' THEN 'skip_empty' WHEN uuid IN (FROM done) THEN 'skip_applied'
-  WHEN photo NOT IN (FROM here) THEN 'no_parent' WHEN uuid IN (SELECT uuid FROM pt) THEN 'replace' ELSE 'create' END AS action FROM rt""")
+@query(f"""WITH {_TRANSCRIPTS}, {_ITEM_PHOTOS}, done AS (SELECT uuid FROM lt WHERE turn % 5 = 3),
+  theirs AS (SELECT rt.*, conv_id % 500 AS item, CASE WHEN conv_id % 5 = 0 THEN 'cs' || (conv_id * 7 % 60) ELSE checksum END AS photo FROM rt LEFT JOIN ip ON ip.item = conv_id % 500 AND ordinal = 1 + turn % 4)
+  SELECT item, uuid, CASE WHEN deleted THEN 'skip_deleted' WHEN author = 'u0' THEN 'skip_own' WHEN coalesce(text, '') = '' THEN 'skip_empty' WHEN uuid IN (FROM done) THEN 'skip_applied'
+  WHEN NOT EXISTS (SELECT 1 FROM ip WHERE ip.item = theirs.item AND checksum = photo) THEN 'no_parent' WHEN uuid IN (SELECT uuid FROM pt) THEN 'replace' ELSE 'create' END AS action FROM theirs""")
 def apply_plan_transcriptions(spark, sf_dir):
     local, remote, pushed = _transcripts(spark, sf_dir)
-    here = P.read(spark, sf_dir, "lineitem").filter("l_partkey < 50").select(F.concat(F.lit("cs"), "l_partkey").alias("photo"))
-    return sections.transcription_plan(remote, here, local.filter("turn % 5 = 3"), pushed, ME)
+    photos = _item_photos(spark, sf_dir)
+    remote = remote.withColumn("item", F.col("conv_id") % 500).withColumn("ordinal", F.col("turn") % 4 + 1).join(photos, ["item", "ordinal"], "left")
+    remote = remote.withColumn("photo", F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("cs"), F.col("conv_id") * 7 % 60)).otherwise(F.col("checksum")))
+    return sections.transcription_plan(remote, photos.select("item", F.col("checksum").alias("photo")), local.filter("turn % 5 = 3"), pushed, ME)
 
 
 _MEMBERS = ", theirs AS (SELECT identity, p_name AS name, author, deleted FROM state JOIN part ON CAST(substr(key, 2) AS BIGINT) = p_partkey WHERE section = 'lists'), here AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 10), members AS (SELECT DISTINCT identity, p_name AS name FROM ops JOIN part ON CAST(substr(key, 2) AS BIGINT) = p_partkey WHERE section = 'lists' AND author = 'u2')"
@@ -251,10 +287,11 @@ def list_scan(spark, sf_dir):
     return P.list_nodes(spark, sf_dir).select(F.col("uuid").alias("id"), "name", "parent")
 
 
-@query("SELECT upper(substr(s_name, 1, 12)) || c_nationkey AS name, (SELECT min(n_nationkey) FROM nation WHERE lower(n_name) = lower(upper(substr(s_name, 1, 12)) || c_nationkey)) AS local_id FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_custkey <= 100 UNION SELECT upper(n_name), (SELECT min(m.n_nationkey) FROM nation m WHERE lower(m.n_name) = lower(nation.n_name)) FROM nation")
+@query("SELECT upper(substr(s_name, 1, 12)) || c_nationkey AS name, (SELECT min(n_nationkey) FROM nation WHERE lower(n_name) = lower(upper(substr(s_name, 1, 12)) || c_nationkey)) AS local_id FROM supplier JOIN customer ON s_nationkey = c_nationkey UNION SELECT upper(n_name), (SELECT min(m.n_nationkey) FROM nation m WHERE lower(m.n_name) = lower(nation.n_name)) FROM nation")
 def tag_lookup(spark, sf_dir):
     s, c, n = (P.read(spark, sf_dir, t) for t in ("supplier", "customer", "nation"))
-    asked = s.join(c.filter("c_custkey <= 100"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.concat(F.upper(F.substring("s_name", 1, 12)), "c_nationkey").alias("name"))
+    nations = c.select("c_nationkey").distinct()
+    asked = s.join(nations, F.col("s_nationkey") == F.col("c_nationkey")).select(F.concat(F.upper(F.substring("s_name", 1, 12)), "c_nationkey").alias("name"))
     return sections.lookup(asked.union(n.select(F.upper("n_name"))), n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("local_id")), fold=True)
 
 
@@ -290,12 +327,14 @@ def list_tombstones(spark, sf_dir):
     return writes.tombstones(gone, ME, 7, 0).select("key", "author", "clock", "value", "deleted")
 
 
-_ALIASES = ", links AS (SELECT identity, 'item' || (CAST(substr(key, 2) AS BIGINT) % 50 + 10000) AS old_identity, 'item' || (CAST(substr(key, 2) AS BIGINT) % 400) AS target, clock AS created FROM ops WHERE section = 'notes'), al AS (SELECT identity, old_identity, arg_max(target, struct_pack(c := created, t := target)) AS target, max(created) AS created FROM links GROUP BY 1, 2)"
+_ALIASES = """, links AS (SELECT identity, 'item' || (CAST(substr(key, 2) AS BIGINT) % 50 + 10000) AS old_identity, 'item' || (CAST(substr(key, 2) AS BIGINT) % 400) AS target, clock, CASE WHEN clock % 7 <> 0 THEN "at" END AS created FROM ops WHERE section = 'notes'),
+  al AS (SELECT identity, old_identity, target, created FROM links QUALIFY row_number() OVER (PARTITION BY identity, old_identity ORDER BY clock DESC) = 1)"""
 
 
 def _aliases(ops):
+    """Aliases by their last write; one in seven is of the first format, without time."""
     n = F.substring("key", 2, 20).cast("long")
-    links = ops.filter("section = 'notes'").select("identity", F.concat(F.lit("item"), n % 50 + 10000).alias("old_identity"), F.concat(F.lit("item"), n % 400).alias("target"), F.col("clock").alias("created"))
+    links = ops.filter("section = 'notes'").select("identity", F.concat(F.lit("item"), n % 50 + 10000).alias("old_identity"), F.concat(F.lit("item"), n % 400).alias("target"), "clock", F.when(F.col("clock") % 7 != 0, F.col("at")).alias("created"))
     return sections.aliases(links)
 
 
@@ -304,24 +343,28 @@ def alias_write(spark, sf_dir):
     return _aliases(P.ops(spark, sf_dir))
 
 
-@query(f"WITH {_STATE}{_CUT}{_ALIASES}, left_ AS (SELECT DISTINCT identity FROM state, cut WHERE NOT (deleted AND deleted_at < t)) SELECT * FROM al WHERE target NOT IN (FROM left_)")
+@query(f"WITH {_OPS}{_CUT}{_ALIASES} SELECT al.* FROM al, cut WHERE created IS NULL OR created < t")
 def purge_aliases(spark, sf_dir):
     ops = P.ops(spark, sf_dir)
-    s = state.merge(ops)
-    left = s.join(maintain.purge_plan(s, _cutoff(ops), server=True).select(*state.KEY), state.KEY, "left_anti")
-    return sections.purged_aliases(_aliases(ops), left).select("identity", "old_identity", "target", "created")
+    return sections.purged_aliases(_aliases(ops), _cutoff(ops), server=True)
 
 
-@query(f"""WITH {_STATE}{_ALIASES}, gone AS (SELECT * FROM state WHERE deleted), live AS (SELECT * FROM state WHERE NOT deleted)
-  SELECT (SELECT count(DISTINCT identity) FROM gone) AS items, (SELECT count(*) FROM gone) AS purged, (SELECT count(*) FROM (SELECT DISTINCT identity, key FROM ops) WHERE (identity, key) NOT IN (SELECT identity, key FROM live)) AS uuids, (SELECT count(*) FROM al WHERE target NOT IN (SELECT identity FROM live)) AS aliases""")
+@query(f"""WITH {_STATE}{_CUT}{_ALIASES}, gone AS (SELECT state.* FROM state, cut WHERE deleted AND (deleted_at IS NULL OR deleted_at < t)), left_ AS (SELECT * FROM state WHERE (identity, section, key) NOT IN (SELECT identity, section, key FROM gone))
+  SELECT mode, (SELECT count(DISTINCT identity) FROM state) AS items, purged, uuids, aliases FROM (
+    SELECT 'all' AS mode, (SELECT count(*) FROM state WHERE deleted) AS purged, (SELECT count(*) FROM (SELECT DISTINCT identity, key FROM ops) WHERE (identity, key) NOT IN (SELECT identity, key FROM state WHERE NOT deleted)) AS uuids, (SELECT count(*) FROM al) AS aliases
+    UNION ALL SELECT 'older', (SELECT count(*) FROM gone), (SELECT count(*) FROM (SELECT DISTINCT identity, key FROM ops) WHERE (identity, key) NOT IN (SELECT identity, key FROM left_)), (SELECT count(*) FROM al, cut WHERE created IS NULL OR created < t))""")
 def purge_totals(spark, sf_dir):
+    """What a client's purge of all tombstones and aliases, and one of those before a cutoff, remove."""
     ops = P.ops(spark, sf_dir)
-    s = state.merge(ops)
-    plan = maintain.purge_plan(s, None)
-    uuids = maintain.orphans(ops.select("identity", "key").distinct(), s, plan).agg(F.count(F.lit(1)).alias("uuids"))
-    lost = sections.purged_aliases(_aliases(ops), state.live(s)).agg(F.count(F.lit(1)).alias("aliases"))
-    figures = maintain.purge_stats(plan).unionByName(uuids, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
-    return figures.agg(*[F.max(c).alias(c) for c in figures.columns])
+    s, registry = state.merge(ops), ops.select("identity", "key").distinct()
+    figures = []
+    for mode, cutoff in (("all", None), ("older", _cutoff(ops))):
+        plan = maintain.purge_plan(s, cutoff)
+        uuids = maintain.orphans(registry, s, plan).agg(F.count(F.lit(1)).alias("uuids"))
+        lost = sections.purged_aliases(_aliases(ops), cutoff).agg(F.count(F.lit(1)).alias("aliases"))
+        each = maintain.purge_stats(s, plan).unionByName(uuids, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
+        figures.append(each.agg(*[F.max(c).alias(c) for c in each.columns]).withColumn("mode", F.lit(mode)))
+    return figures[0].unionByName(figures[1])
 
 
 @query(f"WITH {_OPS}, first AS (SELECT identity, key, arg_min(section, clock) AS section FROM ops WHERE section <> 'tags' GROUP BY 1, 2) SELECT identity, CASE section WHEN 'notes' THEN 'note' WHEN 'selections' THEN 'selection' WHEN 'selectionNotes' THEN 'selectionNote' WHEN 'transcriptions' THEN 'transcription' ELSE 'list' END AS type, string_agg(key, ',' ORDER BY key) AS keys FROM first GROUP BY 1, 2")

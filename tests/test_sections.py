@@ -1,5 +1,6 @@
 """Decisions on small hand-made tables: chains of lists, forms of notes, hashes, streams."""
 
+import hashlib
 import uuid
 
 import pytest
@@ -26,15 +27,49 @@ def test_names_decide_the_hash_not_their_order(spark):
 
 
 def test_notes_are_known_by_every_form(spark):
-    d = spark.createDataFrame([("[a] b", "<p>[a] b</p><p><sub>[overlay:k from u — safe to delete, do not edit]</sub></p>"), (None, ""), ("x\n[overlay:k from u]", None)], "text string, html string")
-    assert {r.form for r in sections.known_forms(d).collect()} == {"[a] b", "b", "<p>[a] b</p>", "<p>[a] b</p><p><sub>[overlay:k from u — safe to delete, do not edit]</sub></p>", "x\n[overlay:k from u]", "x"}
+    rows = [(1, "[a] b", "<p>[a] b</p><p><sub>[overlay:k from u — safe to delete, do not edit]</sub></p>"), (1, None, ""), (2, "x\n[overlay:k from u]", None)]
+    forms = [(1, "[a] b"), (1, "b"), (1, "<p>[a] b</p>"), (1, "<p>[a] b</p><p><sub>[overlay:k from u — safe to delete, do not edit]</sub></p>"), (2, "x\n[overlay:k from u]"), (2, "x")]
+    d = spark.createDataFrame(rows, "item long, text string, html string")
+    assert {(r["item"], bytes(r.form)) for r in sections.known_forms(d).collect()} == {(i, hashlib.sha256(f.encode()).digest()) for i, f in forms}
+
+
+def test_notes_are_applied_within_their_item(spark):
+    """The same note here on another item, a photo of another item, and unsafe html decide nothing."""
+    footer = "<p><sub>[overlay:{} from {} — safe to delete, do not edit]</sub></p>"
+    remote = [
+        (1, "n_a", "same", "<p onclick='x()'>same</p><script>x</script>", None, "u1"), (2, "n_b", "same", "<p>same</p>", None, "u1"), (2, "n_c", "other", None, "p1", "u1"),
+        (2, "n_d", "1 < 2", "", "p3", "u<1"), (3, "n_e", "none", None, None, "u1"), (2, "n_f", "mine", None, None, "u0"), (2, "n_g", "", "", None, "u1"), (2, "n_h", "new", None, None, None),
+    ]
+    local = [(1, None, "same", "<p>same</p>"), (2, "n_h", "old", "<p>old</p>")]
+    photos = [(1, 1, "p1"), (2, 2, "p3"), (2, 1, "p2"), (2, 1, "p2")]
+    applied = spark.createDataFrame([("n_z", "h", 1)], "key string, hash string, cycle long")
+    plan = sections.note_plan(
+        spark.createDataFrame(remote, "item long, key string, text string, html string, photo string, author string"), spark.createDataFrame(local, "item long, key string, text string, html string"), applied,
+        spark.createDataFrame(photos, "item long, ordinal int, checksum string"), "u0",
+    )
+    assert {r.key: tuple(r)[2:] for r in plan.collect()} == {
+        "n_a": ("dedup", None, None), "n_b": ("create", "p2", "<p>same</p>" + footer.format("n_b", "u1")), "n_c": ("no_parent", None, None), "n_d": ("create", "p3", "<p>1 &lt; 2</p>" + footer.format("n_d", "u&lt;1")),
+        "n_e": ("no_parent", None, None), "n_f": ("skip_own", None, None), "n_g": ("skip_empty", None, None), "n_h": ("update", "p2", "<p>new</p>" + footer.format("n_h", "unknown")),
+    }
+    after = {r.key: (r.hash, r.cycle) for r in sections.applied_notes(plan, applied, 2).collect()}
+    assert set(after) == {"n_a", "n_b", "n_d", "n_h", "n_z"} and after["n_z"] == ("h", 1) and after["n_a"] == (None, 2) and after["n_b"][1] == 2
 
 
-def test_aliases_die_with_their_target(spark):
-    links = spark.createDataFrame([("n1", "o1", "n1", 1), ("n1", "o1", "n2", 5), ("n3", "o3", "n3", 2)], "identity string, old_identity string, target string, created long")
+def test_aliases_die_of_age(spark):
+    links = spark.createDataFrame([("n1", "o1", "n1", 1, 5), ("n1", "o1", "n2", 5, 30), ("n3", "o3", "n3", 2, 10), ("n4", "o4", "n4", 3, None), ("n5", "o5", "n5", 4, 0), ("n6", "o6", "n6", 4, 20)], "identity string, old_identity string, target string, clock long, created long")
     a = sections.aliases(links)
-    assert sorted(map(tuple, a.collect())) == [("n1", "o1", "n2", 5), ("n3", "o3", "n3", 2)]
-    assert [r.identity for r in sections.purged_aliases(a, spark.createDataFrame([("n2",), ("q",)], "identity string")).collect()] == ["n3"]
+    assert ("n1", "o1", "n2", 30) in [tuple(r) for r in a.collect()] and a.count() == 5
+    left = lambda gone: sorted({r.identity for r in a.collect()} - {r.identity for r in gone.collect()})
+    assert left(sections.purged_aliases(a, None)) == []
+    assert left(sections.purged_aliases(a, 20)) == left(sections.purged_aliases(a, 20, server=True)) == ["n1", "n6"]
+    with pytest.raises(ValueError):
+        sections.purged_aliases(a, None, server=True)
+
+
+def test_hashes_take_linear_time(spark):
+    """Texts of 200,000 characters, whose hash was once a pass over the text for each of them."""
+    d = spark.range(4).select(F.repeat(F.lit("note é😀 "), 25_000).alias("t"))
+    assert {len(r[0]) for r in d.select(scalar.note_key(F.col("t"), F.lit(None).cast("string"))).collect()} == {24}
 
 
 def test_changes_of_slices(spark):

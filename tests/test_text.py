@@ -43,6 +43,18 @@ def test_sanitize_is_idempotent():
         assert text.sanitize(once) == once
 
 
+def test_every_reference_is_a_text(spark):
+    """From none to beyond the last character, surrogates too: workers can hand over what comes out."""
+    numbers = [0, 1, 38, 0xD7FF, 0xD800, 0xDBFF, 0xDC00, 0xDFFF, 0xE000, 0xFFFF, 0x10000, 0x10FFFE, 0x10FFFF, 0x110000, 10**12]
+    for n in numbers:
+        want = "" if not 0 < n < 0x10FFFF else "\ufffd" if 0xD800 <= n < 0xE000 else chr(n)
+        assert text.decode_entities(f"a&#{n};b&#x{n:X};") == f"a{want}b{want}"
+    d = spark.createDataFrame([(f'<a href="/p?&#x{n:x};&#{n};" title="&#{n};">x</a>',) for n in numbers], "h string")
+    assert d.select(text.sanitize_html("h").alias("s")).filter("s LIKE '<a%>x</a>'").count() == len(numbers)
+    for n in range(0, 0x110001, 257):
+        text.decode_entities(f"&#{n};&#x{n:x};").encode()
+
+
 def test_render():
     def t(s, *marks):
         return {"type": "text", "text": s, "marks": [{"type": m} for m in marks]}
