@@ -811,4 +811,4 @@ def stream_state(spark, sf_dir):
 
 
 # the queries of all sections are in a module of their own, which uses the oracles' parts above
-from palimpsest.plans import sections  # noqa: E402, F401
+from palimpsest.plans import exchange, sections  # noqa: E402, F401

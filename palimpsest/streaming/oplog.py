@@ -3,110 +3,45 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.operators.state import KEY, merge
+from palimpsest.operators.state import merge
 from palimpsest.session import shared_dir
 from palimpsest.sources import readers
-
-ENTRY = "identity string, section string, key string, clock long, author string, value string, deleted boolean, deleted_at long"
-WINNER = "clock long, author string, value string, deleted boolean, at long"
-COLUMNS = ["clock", "author", "value", "deleted", "at"]
+from palimpsest.streaming.tiers import FAN, TieredState
 
 
 def change_feed(ops: DataFrame, me: str) -> DataFrame:
     """identity, section of what others changed."""
-    return ops.filter(~F.col("author").eqNullSafe(me)).select("identity", "section")
-
-
-def coalesced(ops: DataFrame, quiet: str = "2 seconds") -> DataFrame:
-    """One row for each identity and burst of changes: a burst ends after ``quiet`` without any."""
-    seen = ops.withColumn("seen", F.current_timestamp()).withWatermark("seen", quiet)
-    return seen.groupBy("identity", F.session_window("seen", quiet)).agg(F.count("*").alias("n"))
-
-
-def _merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else None
-    for pdf in batches:
-        for row in pdf[COLUMNS].itertuples(index=False, name=None):
-            if best is None or row[:3] > best[:3]:
-                best = row
-    clock, author, value, deleted, at = best
-    state.update((int(clock), author, value, bool(deleted), int(at)))
-    yield pd.DataFrame([(*key, int(clock), author, value, bool(deleted), int(at) if deleted else None)], columns=[c.split()[0] for c in ENTRY.split(", ")])
-
-
-def merged(ops: DataFrame) -> DataFrame:
-    """The winner of every key that a micro-batch touches, kept in the state store.
-
-    Any old op still merges: there is no watermark. A key purged from the state comes back with the next
-    op of a replica that still has it.
-    """
-    return ops.groupBy(*KEY).applyInPandasWithState(_merge, ENTRY, WINNER, "update", GroupStateTimeout.NoTimeout)
-
-
-def upsert(path: str):
-    """A foreachBatch sink: each batch's winners as a new directory; a batch that runs again replaces its own."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
+    return foreign_ops(ops, me).select("identity", "section")
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The state behind ``upsert``: of each key the entry of the last batch."""
-    d = spark.read.schema(ENTRY + ", batch int").parquet(path)
-    columns = ["clock", "author", "value", "deleted", "deleted_at"]
-    return d.groupBy(*KEY).agg(F.max(F.struct("batch", *columns)).alias("m")).select(*KEY, *[f"m.{c}" for c in columns])
+def foreign_ops(ops: DataFrame, me: str) -> DataFrame:
+    """What others changed; a change without author is one of others."""
+    return ops.filter(~F.col("author").eqNullSafe(me))
 
 
-def fold(path: str):
-    """A foreachBatch sink that keeps the whole state: version n is version n - 1 merged with the batch.
-
-    A batch is reduced to its winners first, so hot keys combine before the shuffle, and merging is idempotent: a
-    batch that runs again writes the same version. Older versions but the last are removed.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        ops = batch.select(*KEY, *COLUMNS)
-        if number:
-            before = spark.read.schema(ENTRY).parquet(f"{path}/v{number - 1}")
-            ops = ops.unionByName(before.withColumnRenamed("deleted_at", "at").select(*KEY, *COLUMNS))
-        merge(ops).write.mode("overwrite").parquet(f"{path}/v{number}")
-        if number > 1:
-            drop(spark, f"{path}/v{number - 2}")
-
-    return write
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version behind ``fold``; no entries before the first batch."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.schema(ENTRY).parquet(f"{path}/v{max(numbers)}") if numbers else spark.createDataFrame([], ENTRY)
-
-
-def replay(spark: SparkSession, ops: DataFrame, files: int = 3) -> DataFrame:
-    """Writes an op-log in parts by clock and streams it; the state after the last part."""
+def replay_tiers(spark: SparkSession, ops: DataFrame, parts: int = 3, ttl_ms: int | None = None, fan: int = FAN) -> TieredState:
+    """Writes an op-log in parts by time and streams it into a state in tiers, which is compacted at the end."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ops.withColumn("file", F.col("clock") % files).repartition(files, "file").drop("file").write.parquet(f"{at}/log")
+    a, b = ops.agg(F.min("at"), F.max("at")).first()
+    state = TieredState(spark, f"{at}/state", ttl_ms, fan)
+    if a is None:
+        return state
+    step = (b - a) // parts + 1
+    for k in range(parts):
+        ops.filter((F.col("at") >= a + k * step) & (F.col("at") < a + (k + 1) * step)).write.mode("append").parquet(f"{at}/log")
     stream = readers.op_stream(spark, f"{at}/log")
-    stream.writeStream.foreachBatch(fold(f"{at}/state")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return newest(spark, f"{at}/state")
+    stream.writeStream.foreachBatch(state.absorb).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    state.compact()
+    return state
+
+
+def replay(spark: SparkSession, ops: DataFrame) -> DataFrame:
+    """The state after an op-log was streamed; every op of any time merges."""
+    return replay_tiers(spark, ops).read()
 
 
 def safety_poll(ops: DataFrame, applied: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Decisions on small hand-made tables: chains of lists, forms of notes, hashes, streams."""
 
 import hashlib
+import json
 import uuid
 
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalar
 from palimpsest.operators import hierarchy, sections, state
 from palimpsest.session import shared_dir
-from palimpsest.sources import readers
-from palimpsest.streaming import oplog
+from palimpsest.sources import graph
+from palimpsest.streaming import oplog, sessions
+from palimpsest.streaming.tiers import TieredState
 
 
 @pytest.mark.parametrize("n", [1, 3, 100])
@@ -77,27 +79,105 @@ def test_changes_of_slices(spark):
     assert sorted(map(tuple, sections.local_changes(side([("a", "1"), ("b", "2"), ("c", "3")]), side([("a", "1"), ("b", "9"), ("d", "4")]), ["k"]).collect())) == [("b", "changed"), ("c", "added"), ("d", "removed")]
 
 
-def test_state_store_and_folding_agree_with_the_batch(spark):
+KINDS = "identity string, section string, key string, author string, clock long, value string, deleted boolean, at long"
+
+
+def test_tiers_agree_with_the_batch(spark):
     ops = spark.range(200).select(
         F.concat(F.lit("i"), F.col("id") % 7).alias("identity"), F.lit("tags").alias("section"), F.concat(F.lit("k"), F.col("id") % 5).alias("key"), F.concat(F.lit("u"), F.col("id") % 3).alias("author"),
         (F.col("id") * 7 % 200).alias("clock"), F.col("id").cast("string").alias("value"), (F.col("id") % 9 == 0).alias("deleted"), F.col("id").alias("at"),
     )
-    want = sorted(map(repr, map(tuple, state.merge(ops).collect())))
-    columns = state.merge(ops).columns
-    at = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    ops.repartition(3).write.parquet(f"{at}/log")
-    stream = oplog.merged(readers.op_stream(spark, f"{at}/log"))
-    stream.writeStream.outputMode("update").foreachBatch(oplog.upsert(f"{at}/state")).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(map(repr, map(tuple, oplog.latest(spark, f"{at}/state").select(*columns).collect()))) == want
-    assert sorted(map(repr, map(tuple, oplog.replay(spark, ops).select(*columns).collect()))) == want
-    again = oplog.fold(f"{at}/again")
-    for n, part in enumerate([ops.filter("clock % 2 = 0"), ops.filter("clock % 2 = 1"), ops.filter("clock % 2 = 1")]):
-        again(part, n)
-        again(part, n)  # a batch that runs twice
-    assert sorted(map(repr, map(tuple, oplog.newest(spark, f"{at}/again").select(*columns).collect()))) == want
-    assert oplog.newest(spark, f"{at}/none").count() == 0
+    merged = state.merge(ops)
+    told = lambda d: sorted(map(repr, map(tuple, d.select(*merged.columns).collect())))
+    assert told(oplog.replay(spark, ops)) == told(merged)
+    tiers = TieredState(spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", fan=2)
+    assert tiers.read().count() == 0
+    for n in range(7):
+        part = ops.filter(F.col("clock") % 7 == n)
+        tiers.absorb(part, n)
+        tiers.absorb(part, n)  # a batch that runs twice
+    assert told(tiers.read()) == told(merged)
+    assert [r["level"] for r in tiers.manifest()["runs"]] == [2, 1, 0]
+    tiers.compact()
+    tiers.absorb(ops, 7)  # all of it again
+    assert told(tiers.read()) == told(merged)
+    assert oplog.replay(spark, ops.limit(0)).count() == 0
+
+
+def test_a_batch_writes_what_it_changes(spark):
+    """One key in a hundred changes: the batch's run has a hundredth of the rows; ten batches rewrite a tenth, not ten times all."""
+    tiers = TieredState(spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}")
+    op = lambda n, m, clock: spark.range(n).selectExpr("concat('i', id) AS identity", "'tags' AS section", "'k' AS key", "'u' AS author", f"{clock}L AS clock", "'v' AS value", "false AS deleted", f"{clock}L AS at").limit(m)
+    rows = lambda m: sum(spark.read.parquet(f"{tiers.path}/runs/{r['name']}").count() for r in m["runs"])
+    tiers.absorb(op(10_000, 10_000, 0), 0)
+    for n in range(1, 7):
+        before = {r["name"] for r in tiers.manifest()["runs"]}
+        tiers.absorb(op(100, 100, n), n)
+        new = [r for r in tiers.manifest()["runs"] if r["name"] not in before]
+        assert [spark.read.parquet(f"{tiers.path}/runs/{r['name']}").count() for r in new] == [100]
+    assert rows(tiers.manifest()) == 10_600 and tiers.read().count() == 10_000
+
+
+def test_tombstones_expire_and_keys_come_back(spark):
+    """A tombstone hides older values until it is too old; a late op then brings its key back, as on a peer that purged it."""
+    tiers = TieredState(spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", ttl_ms=10, fan=3)
+    send = lambda n, *rows: tiers.absorb(spark.createDataFrame([("i", "tags", k, "u", c, v, gone, at) for k, c, v, gone, at in rows], KINDS), n)
+    now = lambda: {r.key: (r.value, r.deleted) for r in tiers.read().collect()}
+    send(0, ("a", 1, "old", False, 1), ("b", 1, "kept", False, 1))
+    send(1, ("a", 5, None, True, 5))
+    assert now()["a"] == (None, True)
+    tiers.compact()
+    assert now()["a"] == (None, True), "not old yet"
+    send(2, ("c", 6, "x", False, 30))
+    tiers.compact()
+    assert now() == {"b": ("kept", False), "c": ("x", False)}
+    send(3, ("a", 2, "late", False, 31))
+    assert now()["a"] == ("late", False)
+    # a tombstone in a younger run must not go before it met the oldest one
+    send(4, ("b", 9, None, True, 2), ("z", 9, "z", False, 99))
+    for n in range(5, 9):
+        send(n, ("z", 10 + n, "z", False, 99))
+        assert now().get("b", (None, True)) == (None, True), "the value that it hides is not back"
+
+
+def test_bursts_end_by_quiet_and_clients_by_silence(spark):
+    rows = [("i", "u1", 0), ("i", "u1", 900), ("i", "u1", 2500), ("j", "u1", 1000), (None, "u1", 5), ("i", "u0", 1700)]
+    d = spark.createDataFrame(rows, "identity string, author string, at long")
+    out = sessions.replay(spark, d, lambda s: sessions.bursts(oplog.foreign_ops(s, "u0"), "1 second", late="1 minute"))
+    assert sorted(map(tuple, out.collect()), key=repr) == [("i", 0, 900, 2), ("i", 2500, 2500, 1), ("j", 1000, 1000, 1), (None, 5, 5, 1)]
+    beats = spark.createDataFrame([("r", "a", "A", 0), ("r", "a", None, 800), ("r", "b", None, 100), ("r", "a", "AA", 5000), ("q", "a", "Q", 1)], "room string, client string, name string, at long")
+    out = sessions.replay(spark, beats, lambda s: sessions.presence(s, "1 second", late="1 minute"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("r", "a", "A", 0, 800, 1800), ("r", "b", None, 100, 100, 1100), ("r", "a", "AA", 5000, 5000, 6000), ("q", "a", "Q", 1, 1, 1001)], key=repr)
 
 
 def test_feeds(spark):
     d = spark.createDataFrame([("i1", "s", "u0"), ("i1", "s", "u1"), ("i2", "t", None)], "identity string, section string, author string")
     assert sorted(map(tuple, oplog.change_feed(d, "u0").collect())) == [("i1", "s"), ("i2", "t")]
+
+
+def test_graphs_in_every_form(spark, tmp_path):
+    v = "http://example.org/vocab/"
+    context = {"dc": "http://purl.org/dc/elements/1.1/", "bad": "noslash", "when": {"@id": "http://e.org/when", "@type": "date"}, "none": {"@type": "x"}, "@vocab": v}
+    items = [
+        {"@id": "a", "plain": "p", "dc:title:lost": "t", "bad:x": "b", "when": "w", "none": 3, "http://full/y": {"text": "f", "type": "k", "language": "fr"}, "list": [2], "_rev": "r", "photo": {"checksum": "c1"}},
+        {f"{v}photo": [{f"{v}checksum": {"@value": "c2"}, f"{v}selection": {"checksum": "q"}}, {"checksum": ""}, {"note": None}], "when": {"@value": "typed", "@type": "own"}, "when2": ["x"], "nothing": None},
+        {"photo": [], "plain": "no identity"},
+    ]
+    (tmp_path / "a.json").write_text(json.dumps({"@context": context, "@graph": items}))
+    (tmp_path / "b.json").write_text(json.dumps([{"photo": {"checksum": 7}, "plain": "bare"}]))
+    (tmp_path / "c.json").write_text("{broken")
+    g = graph.graphs(spark, str(tmp_path)).cache()
+    found = graph.items_of(g)
+    sums = {(r.document[-6:], r.ordinal): r.c for r in found.select("document", "ordinal", graph.checksums(F.col("item"), v).alias("c")).collect()}
+    assert sums == {("a.json", 0): ["c1"], ("a.json", 1): ["c2", "q"], ("a.json", 2): [], ("b.json", 0): ["7"]}
+    full = graph.expand(found, graph.terms_of(g)).select("document", "ordinal", "key", graph.literal(F.col("value"), F.col("type")).alias("v"))
+    told = {(r.document[-6:], r.ordinal, r.key): tuple(r.v) for r in full.collect()}
+    string = graph.STRING
+    assert told["a.json", 0, v + "plain"] == ("p", string, None) and told["a.json", 0, "http://purl.org/dc/elements/1.1/title"] == ("t", string, None)
+    assert told["a.json", 0, "bad:x"] == ("b", string, None) and told["a.json", 0, "http://e.org/when"] == ("w", "date", None) and told["a.json", 0, v + "none"] == ("3", string, None)
+    assert told["a.json", 0, "http://full/y"] == ("f", "k", "fr") and told["a.json", 1, "http://e.org/when"] == ("typed", "own", None) and told["a.json", 1, v + "when2"] == ("", string, None)
+    assert ("a.json", 0, "list") in told and ("b.json", 0, "plain") in told
+    ops = graph.export_ops(found, graph.terms_of(g), "me", 4, v).collect()
+    assert {(o.section, o.key) for o in ops} >= {("metadata", v + "plain"), ("metadata", "http://full/y")} and len({o.identity for o in ops}) == 2
+    assert graph.export_ops(found.limit(0), graph.terms_of(g), "me", 4, v).count() == 0
+    assert spark.range(1).select(graph.split_list(F.lit(",a,,b"))).first()[0] == ["a", "b"]
