@@ -145,7 +145,7 @@ def search(data: DataFrame, queries: DataFrame, codes, k: int, radius: int, n: i
             out += best(q_id, q, rows_id, rows_x, rows_u, index.within(code, radius), k)
         return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    found = d.unionByName(q).groupBy("i", "j").applyInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = d.unionByName(q).groupBy("i", "j").applyInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(f"rank <= {k}")
 
 
@@ -161,7 +161,7 @@ def brute_force(spark: SparkSession, data: DataFrame, queries: list, k: int) ->
                 out += best(q_id, q, ids, x, unit, np.arange(len(ids)), k)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    found = data.select("vec_id", "x").mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = data.select("vec_id", "x").mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(f"rank <= {k}")
 
 

@@ -201,6 +201,9 @@ def test_nearest(spark):
     assert [r.vec_id for r in by[1000]] == [1001, 1002, 1003, 1004, 1005]
     assert [(r.query_id, r.vec_id) for r in hamming.nearest(spark, vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])]), "vec_id = 0").collect()] == [(0, 1)]
     assert hamming.nearest(spark, vectors(spark, []).limit(0), "true").count() == 0
+    twice = [(0, [1.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0]), (1, [0.1, 0.9, 0.1]), (2, [0.9, 0.2, 0.1]), (2, [0.0, 0.0, 1.0])]
+    best = {r.vec_id: r.score for r in hamming.nearest(spark, vectors(spark, twice), "vec_id = 0").collect()}
+    assert best[1] == pytest.approx(0.9 / math.sqrt(0.83)) and best[2] == pytest.approx(0.9 / math.sqrt(0.86)), "the best of the vectors of a repeated vec_id, as query and as answer"
 
 
 def test_pigeonhole():
