@@ -19,7 +19,8 @@ class SyncConfig:
     sync_notes: bool = True
     sync_selections: bool = True
     sync_transcriptions: bool = True
-    sync_lists: bool = True
+    sync_lists: bool = False
+    sync_photo_adjustments: bool = False
     sync_deletions: bool = False
     add_wins: bool = False
     # fixed values: limits in UTF-16 units, entries and days

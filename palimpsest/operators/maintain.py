@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.scalar import utf16_length
 from palimpsest.operators.state import merge
 
 DAY_MS = 86_400_000
@@ -55,6 +56,44 @@ def write_version(spark: SparkSession, df: DataFrame, path: str, kept: int = 10)
     return name
 
 
+ENTRY = ["section", "key", "value"]
+
+
+def item_hashes(entries: DataFrame) -> DataFrame:
+    """room, identity, hash, size of every item's entries (room, identity, section, key, value).
+
+    The hash adds up hashes of entries, so it needs no order and an item of any size is never gathered; the
+    size is that of the entries as JSON in UTF-16 units, as limits count.
+    """
+    text = F.to_json(F.struct(*ENTRY))
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return entries.groupBy("room", "identity").agg(F.sum(part).cast("string").alias("hash"), F.sum(utf16_length(text)).alias("size"))
+
+
+def gated_snapshot(entries: DataFrame, last: DataFrame, max_size: int) -> tuple[DataFrame, DataFrame]:
+    """What a snapshot before an apply writes, and what is remembered of it.
+
+    entries: room, identity, section, key, value. last: room, identity, hash of the items as they were
+    last written. An item whose hash is the last one is not written again; a room whose changed items have
+    more than ``max_size`` units together is skipped, and remembers nothing, so it is tried again.
+    The first result has the columns of ``entries``, the second room, identity, hash, action (write, skip_size, skip_same).
+    """
+    now = item_hashes(entries)
+    same = now.join(last.select("room", "identity", "hash"), ["room", "identity", "hash"], "left_semi").withColumn("action", F.lit("skip_same"))
+    changed = now.join(last.select("room", "identity", "hash"), ["room", "identity", "hash"], "left_anti")
+    fits = changed.groupBy("room").agg(F.sum("size").alias("total"))
+    changed = changed.join(fits, "room").withColumn("action", F.when(F.col("total") > max_size, "skip_size").otherwise("write")).drop("total")
+    told = changed.unionByName(same).select("room", "identity", "hash", "action")
+    rows = entries.join(told.filter("action = 'write'").select("room", "identity"), ["room", "identity"], "left_semi")
+    return rows, told
+
+
+def remembered(told: DataFrame, last: DataFrame) -> DataFrame:
+    """room, identity, hash after a snapshot: what was written replaces what was remembered."""
+    new = told.filter("action = 'write'").select("room", "identity", "hash")
+    return last.select("room", "identity", "hash").join(new.select("room", "identity"), ["room", "identity"], "left_anti").unionByName(new)
+
+
 def rollback(version: DataFrame, state: DataFrame, author: str, clock: int) -> DataFrame:
     """Compensating ops that bring the entries of a version back where the state differs."""
     keys = ["identity", "section", "key"]

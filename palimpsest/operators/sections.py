@@ -159,6 +159,33 @@ def selection_plan(remote: DataFrame, valid: Column, parents: DataFrame, applied
     return d.select("item", "uuid", action.alias("action"))
 
 
+def standing_selections(plan: DataFrame) -> DataFrame:
+    """item, uuid of the selections that are here once a ``selection_plan`` was carried out: created, mapped, or applied before."""
+    return plan.filter(F.col("action").isin("create", "map", "skip_applied")).select("item", "uuid").distinct()
+
+
+def selection_note_plan(remote: DataFrame, selections: DataFrame, local: DataFrame, me: str) -> DataFrame:
+    """item, key, action of live remote notes on selections (item, selection, key, text, html, author).
+
+    selections: item, uuid of those that are here, which have to be known first; local: key, text of notes
+    here, by the key in their footers. A note needs its selection (no_parent); one that is here is updated unless
+    its text is in it already and was not retracted (skip_present).
+    """
+    there = selections.select("item", F.col("uuid").alias("selection")).distinct().withColumn("parent", F.lit(True))
+    mine = local.groupBy("key").agg(F.max("text").alias("l_text")).withColumn("here", F.lit(True))
+    d = remote.join(there, ["item", "selection"], "left").join(mine, "key", "left")
+    l_text, r_text = F.coalesce("l_text", F.lit("")), F.coalesce("text", F.lit(""))
+    action = (
+        F.when(F.col("author").eqNullSafe(me), "skip_own")
+        .when((r_text == "") & (F.coalesce("html", F.lit("")) == ""), "skip_empty")
+        .when(F.col("parent").isNull(), "no_parent")
+        .when(F.col("here") & (r_text != "") & l_text.contains(r_text) & ~l_text.contains("[retracted"), "skip_present")
+        .when(F.col("here"), "update")
+        .otherwise("create")
+    )
+    return d.select("item", "key", action.alias("action"))
+
+
 def transcription_plan(remote: DataFrame, parents: DataFrame, applied: DataFrame, mapped: DataFrame, me: str) -> DataFrame:
     """item, uuid, action of remote transcriptions (item, uuid, text, photo, author, deleted): a mapped one is replaced,
     another is created on its photo of the item (parents: item, photo)."""

@@ -476,7 +476,8 @@ def changed_items(spark, sf_dir):
     return reconcile.changed(now, last).select("identity", "hash")
 
 
-@query()
+@query(f"""WITH {_STATE}, e AS (SELECT identity, section, '{{' || string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) || '}}' AS entries FROM state WHERE NOT deleted GROUP BY 1, 2)
+  SELECT *, substr(sha256('{{"entries":"' || replace(entries, '"', '\\"') || '","identity":"' || identity || '","section":"' || section || '"}}'), 1, 16) AS hash FROM e""")
 def backup_snapshot(spark, sf_dir):
     d = state.snapshot(_state(spark, sf_dir))
     return d.select("identity", "section", F.to_json("entries").alias("entries"), scalar.content_hash("identity", "section", entries=F.to_json("entries")).alias("hash"))
@@ -811,4 +812,5 @@ def stream_state(spark, sf_dir):
 
 
 # the queries of all sections are in a module of their own, which uses the oracles' parts above
-from palimpsest.plans import exchange, sections  # noqa: E402, F401
+from palimpsest.plans import sections  # noqa: E402, F401, I001
+from palimpsest.plans import exchange  # noqa: E402, F401

@@ -3,14 +3,21 @@ whole cycles, each with its twin in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from palimpsest.config import SyncConfig
 from palimpsest.functions.scalar import identity_of
-from palimpsest.plans.catalogue import _CUT, _OPS, _PHOTOS, _STATE, ME, _cutoff
-from palimpsest.plans.registry import query
-from palimpsest.session import written
-from palimpsest.sources import graph
+from palimpsest.operators import cycle, maintain, sections, state
+from palimpsest.plans import catalogue
+from palimpsest.plans import sections as decisions
+from palimpsest.plans.catalogue import _CUT, _OPS, _PHOTOS, _STATE, ME
+from palimpsest.plans.registry import SQL, query
+from palimpsest.session import shared_dir, written
+from palimpsest.sources import graph, snapshots
 from palimpsest.sources import projections as P
+from palimpsest.sources.vaults import VaultStore
 
 # --- graphs --------------------------------------------------------------------------------------
 
@@ -144,3 +151,132 @@ def live_presence(spark, sf_dir):
     e = P.read(spark, sf_dir, "events")
     beats = e.select(F.concat(F.lit("room"), F.col("user_id") % 4).alias("room"), F.concat(F.lit("u"), "user_id").alias("client"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("name"), F.col("event_id") % 9)).alias("name"), P.millis("ts").alias("at"))
     return sessions.replay(spark, beats, lambda s: sessions.presence(s, f"{QUIET_MS} milliseconds", late="11 days"))
+
+
+# --- stores --------------------------------------------------------------------------------------
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {_OPS}, u AS (SELECT CAST(substr(author, 2) AS BIGINT) AS n, author, 'room ' || (clock % 40) AS room, max(clock) AS seq FROM ops GROUP BY ALL),
+  r AS (SELECT room, CAST(substr(room, 6) AS BIGINT) AS k, max(seq) AS seq FROM u GROUP BY 1, 2)
+  SELECT u.room, author AS user, CASE WHEN n % 2 = 0 THEN 'user' WHEN k % 3 <> 0 THEN 'shared' END AS origin,
+    CASE WHEN n = 4 THEN NULL WHEN n % 2 = 0 THEN u.seq + CASE WHEN k % 4 = 0 THEN 1000 ELSE 0 END WHEN k % 3 <> 0 THEN r.seq END AS push_seq FROM u JOIN r USING (room)""")
+def vault_store(spark, sf_dir):
+    """Vaults of users, of rooms that have a shared one, and of neither, after two saves; one user's text is broken."""
+    ops = P.ops(spark, sf_dir)
+    users = ops.groupBy("author", F.concat(F.lit("room "), F.col("clock") % 40).alias("room")).agg(F.max("clock").alias("seq")).withColumn("n", F.substring("author", 2, 5).cast("long")).withColumn("k", F.substring("room", 6, 5).cast("long"))
+    text = lambda seq: F.concat(F.lit('{"version":4,"pushSeq":'), seq.cast("string"), F.lit("}"))
+    own = users.filter("n % 2 = 0").select("room", F.col("author").alias("user"), F.when(F.col("n") == 4, "{broken").otherwise(text(F.col("seq"))).alias("value"))
+    shared = users.filter("k % 3 <> 0").groupBy("room").agg(F.max("seq").alias("seq")).select("room", F.lit(None).cast("string").alias("user"), text(F.col("seq")).alias("value"))
+    later = users.filter("n % 2 = 0 AND n <> 4 AND k % 4 = 0").select("room", F.col("author").alias("user"), text(F.col("seq") + 1000).alias("value"))
+    store = VaultStore(spark, _folder(spark, "vaults"))
+    store.save(own.unionByName(shared))
+    store.save(later)
+    return store.load(users.select("room", F.col("author").alias("user"))).select("room", "user", "origin", F.col("vault.pushSeq").alias("push_seq"))
+
+
+_ENTRIES = """, live AS (SELECT 'room' || (CAST(substr(identity, 5) AS BIGINT) % 20) AS room, identity, section, key, value, CAST(substr(identity, 5) AS BIGINT) AS n,
+    '{"section":"' || section || '","key":"' || key || '","value":"' || value || '"}' AS text FROM state WHERE NOT deleted),
+  now AS (SELECT room, identity, n, sum(length(text)) AS size FROM live GROUP BY ALL), changed AS (SELECT * FROM now WHERE n % 3 <> 0),
+  fits AS (SELECT room FROM changed GROUP BY room HAVING sum(size) <= 12000)"""
+
+
+@query(f"WITH {_STATE}{_ENTRIES} SELECT room, identity, section, key, value FROM live WHERE n % 3 <> 0 AND room IN (FROM fits)")
+def capped_snapshot(spark, sf_dir):
+    """What a snapshot writes where a third of the items did not change since the last, in rooms that are not too large."""
+    live = state.live(state.merge(P.ops(spark, sf_dir))).withColumn("n", F.substring("identity", 5, 20).cast("long"))
+    entries = live.select(F.concat(F.lit("room"), F.col("n") % 20).alias("room"), "identity", "section", "key", "value", "n")
+    last = maintain.item_hashes(entries).withColumn("n", F.substring("identity", 5, 20).cast("long"))
+    last = last.select("room", "identity", F.when(F.col("n") % 3 == 0, F.col("hash")).when(F.col("n") % 3 == 1, "older").alias("hash")).filter("hash IS NOT NULL")
+    return maintain.gated_snapshot(entries.drop("n"), last, 12_000)[0].select("room", "identity", "section", "key", "value")
+
+
+@query(f"WITH {_STATE} SELECT * FROM state")
+def snapshot_source(spark, sf_dir):
+    """A replica's state put where others pull it, pulled and merged with our ops; a snapshot that nobody put is empty."""
+    snapshots.register(spark)
+    ops, at = P.ops(spark, sf_dir), _folder(spark, "snapshot")
+    theirs = state.merge(ops.filter("clock % 2 = 0")).select(*[c.split()[0] for c in snapshots.ENTRY.split(", ")])
+    theirs.write.format("snapshot").option("auth", "key").mode("overwrite").save(at)
+    pulled = spark.read.format("snapshot").load(at).unionByName(spark.read.format("snapshot").load(f"{at}-none"))
+    return state.merge(sections.snapshot_ops(pulled, ops.filter("clock % 2 = 1")))
+
+
+# --- cycles --------------------------------------------------------------------------------------
+
+
+def _rows(d, item, key):
+    return d.select(F.col(item).cast("string").alias("item") if item else F.lit(None).cast("string").alias("item"), F.concat_ws(":", *key).alias("key"), "action")
+
+
+def _selection_notes(spark, sf_dir, selections):
+    remote = decisions._selections(spark, sf_dir)[1].filter("part % 5 <> 4 AND NOT deleted")
+    note = F.concat(F.lit("note "), F.col("part"))
+    remote = remote.select("item", F.col("uuid").alias("selection"), F.concat("uuid", F.lit(":n")).alias("key"), note.alias("text"), F.lit(None).cast("string").alias("html"), F.concat(F.lit("u"), F.col("part") % 3).alias("author"), "part")
+    local = remote.filter("part % 7 < 2").select("key", F.when(F.col("part") % 7 == 0, F.col("text")).otherwise("[retracted]").alias("text"))
+    return sections.selection_note_plan(remote, selections, local, ME)
+
+
+def _selection_metadata(spark, sf_dir, selections):
+    local, remote, pushed = decisions._selection_fields(spark, sf_dir)
+    return sections.apply_fields(remote, selections.select("uuid"), local.filter("part % 7 <> 0"), pushed, ["uuid", "prop"], ME)
+
+
+def stages(spark, sf_dir):
+    """The stages of a cycle in their order: notes and metadata of selections need the selections that are here by then."""
+    q = lambda f: lambda _: f(spark, sf_dir)
+    rows = lambda f, item, *key: lambda done: _rows(f(done), item, key)
+    here = lambda done: sections.standing_selections(done["apply_selections"].select("item", F.col("key").alias("uuid"), "action"))
+    A, P_, S = cycle.APPLY, cycle.PUSH, cycle.Stage
+    return [
+        S("apply_metadata", A, rows(q(catalogue.apply_plan_metadata), "identity", "key"), "sync_metadata"),
+        S("apply_tags", A, rows(q(catalogue.apply_tags), "identity", "key"), "sync_tags"),
+        S("apply_notes", A, rows(q(decisions.apply_plan_notes), "item", "key"), "sync_notes"),
+        S("apply_photos", A, rows(q(decisions.apply_plan_photos), None, "photo", "prop"), "sync_photo_adjustments"),
+        S("apply_selection_notes", A, rows(lambda done: _selection_notes(spark, sf_dir, here(done)), "item", "key"), "sync_notes", ("apply_selections",)),
+        S("apply_selections", A, rows(q(decisions.apply_plan_selections), "item", "uuid"), "sync_selections"),
+        S("apply_selection_metadata", A, rows(lambda done: _selection_metadata(spark, sf_dir, here(done)), None, "uuid", "prop"), "sync_photo_adjustments", ("apply_selections",)),
+        S("apply_transcriptions", A, rows(q(decisions.apply_plan_transcriptions), "item", "uuid"), "sync_transcriptions"),
+        S("apply_lists", A, rows(q(decisions.apply_plan_lists), "identity", "name"), "sync_lists"),
+        S("push_metadata", P_, rows(q(catalogue.push_plan_metadata), "identity", "key"), "sync_metadata"),
+        S("push_tags", P_, rows(q(catalogue.push_plan_tags), "identity", "key"), "sync_tags"),
+        S("push_notes", P_, rows(q(decisions.push_plan_notes), None, "key"), "sync_notes"),
+        S("push_photos", P_, rows(q(decisions.push_plan_photos), None, "photo", "prop"), "sync_photo_adjustments"),
+        S("push_selections", P_, rows(q(decisions.push_plan_selections), None, "uuid"), "sync_selections"),
+        S("push_selection_metadata", P_, rows(q(decisions.push_plan_selection_metadata), None, "uuid", "prop"), "sync_photo_adjustments"),
+        S("push_transcriptions", P_, rows(q(decisions.push_plan_transcriptions), None, "uuid"), "sync_transcriptions"),
+    ]
+
+
+_PUSHED = {"push_metadata": ("push_plan_metadata", "identity", "key"), "push_tags": ("push_plan_tags", "identity", "key"), "push_notes": ("push_plan_notes", "NULL", "key"), "push_photos": ("push_plan_photos", "NULL", "photo || ':' || prop"),
+    "push_selections": ("push_plan_selections", "NULL", "uuid"), "push_selection_metadata": ("push_plan_selection_metadata", "NULL", "uuid || ':' || prop"), "push_transcriptions": ("push_plan_transcriptions", "NULL", "uuid")}
+_APPLIED = {"apply_metadata": ("apply_plan_metadata", "identity", "key"), "apply_tags": ("apply_tags", "identity", "key"), "apply_notes": ("apply_plan_notes", "CAST(item AS VARCHAR)", "key"), "apply_photos": ("apply_plan_photos", "NULL", "photo || ':' || prop"),
+    "apply_selections": ("apply_plan_selections", "CAST(item AS VARCHAR)", "uuid"), "apply_transcriptions": ("apply_plan_transcriptions", "CAST(item AS VARCHAR)", "uuid"), "apply_lists": ("apply_plan_lists", "identity", "name")}
+
+
+def _told(named):
+    return " UNION ALL ".join(f"SELECT '{stage}' AS stage, CAST({item} AS VARCHAR) AS item, {key} AS key, action FROM ({SQL[name]})" for stage, (name, item, key) in named.items())
+
+
+_STANDING = f"standing AS (SELECT item, uuid FROM ({SQL['apply_plan_selections']}) WHERE action IN ('create', 'map', 'skip_applied'))"
+_ON_SELECTIONS = f"""SELECT 'apply_selection_notes' AS stage, CAST(item AS VARCHAR) AS item, key, action FROM (WITH {decisions._SELECTIONS}, {_STANDING},
+    n AS (SELECT ls.item, rs.uuid, rs.uuid || ':n' AS key, rs.part FROM rs JOIN ls USING (uuid) WHERE rs.part % 5 <> 4 AND NOT rs.deleted)
+    SELECT n.item, key, CASE WHEN part % 3 = 0 THEN 'skip_own' WHEN standing.uuid IS NULL THEN 'no_parent' WHEN part % 7 = 0 THEN 'skip_present' WHEN part % 7 = 1 THEN 'update' ELSE 'create' END AS action FROM n LEFT JOIN standing ON standing.uuid = n.uuid AND standing.item = n.item)
+  UNION ALL SELECT 'apply_selection_metadata', NULL, uuid || ':' || prop, action FROM (WITH {decisions._SELECTION_FIELDS}, {_STANDING}, here AS (SELECT uuid AS subject FROM standing), l AS (SELECT * FROM lf WHERE part % 7 <> 0)
+    SELECT uuid, prop, {decisions._APPLY_FIELD} FROM rf r LEFT JOIN here h ON h.subject = r.uuid LEFT JOIN l USING (uuid, prop) LEFT JOIN pf p USING (uuid, prop))"""
+
+
+@query(f"{_told(_APPLIED | _PUSHED)} UNION ALL {_ON_SELECTIONS}")
+def cycle_plan(spark, sf_dir):
+    """All stages of a cycle, with every option on."""
+    config = SyncConfig(user_id=ME, sync_lists=True, sync_photo_adjustments=True)
+    return cycle.Cycles(spark, _folder(spark, "cycles")).run(1, stages(spark, sf_dir), config)
+
+
+@query(_told({name: told for name, told in _PUSHED.items() if name not in ("push_photos", "push_selection_metadata")}))
+def cycle_push(spark, sf_dir):
+    """A cycle of a replica that only pushes, with the options as they come: nothing that applies is planned."""
+    return cycle.Cycles(spark, _folder(spark, "cycles")).run(1, stages(spark, sf_dir), SyncConfig(user_id=ME, mode="push"))
