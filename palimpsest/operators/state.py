@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["identity", "section", "key"]
@@ -23,6 +23,11 @@ def live(state: DataFrame) -> DataFrame:
     return state.filter(~F.coalesce("deleted", F.lit(False)))
 
 
+def members(state: DataFrame, member: Column) -> DataFrame:
+    """The live entries, of lists only those of which the item is a member."""
+    return live(state).filter((F.col("section") != "lists") | F.coalesce(member, F.lit(False)))
+
+
 def tombstones(state: DataFrame) -> DataFrame:
     return state.filter("deleted")
 

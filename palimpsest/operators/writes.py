@@ -61,3 +61,32 @@ def actions(plan: DataFrame, kind: str) -> DataFrame:
     action = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("action")]
     rest = [c for c in plan.columns if c != "action"]
     return plan.select(F.concat(F.lit(f"{kind}."), action).alias("action"), F.col(rest[0]).alias("target"), F.to_json(F.struct(*rest)).alias("payload")).filter("action is not null")
+
+
+# fixed values: what a host is asked to do for a row of a stage, in its order
+HOST_ACTIONS = {
+    ("apply_metadata", "apply"): ("metadata.save",),
+    ("apply_photos", "apply"): ("metadata.save",),
+    ("apply_selection_metadata", "apply"): ("metadata.save",),
+    ("apply_tags", "add"): ("item.tag.create",),
+    ("apply_tags", "remove"): ("item.tag.delete",),
+    ("apply_notes", "create"): ("note.create",),
+    ("apply_notes", "update"): ("note.delete", "note.create"),
+    ("apply_selections", "create"): ("selection.create",),
+    ("apply_selection_notes", "create"): ("note.create",),
+    ("apply_selection_notes", "update"): ("note.delete", "note.create"),
+    ("apply_transcriptions", "create"): ("transcription.create",),
+    ("apply_transcriptions", "replace"): ("transcription.delete", "transcription.create"),
+    ("apply_lists", "add"): ("list.item.add",),
+    ("apply_lists", "remove"): ("list.item.remove",),
+}
+
+
+def host_actions(rows: DataFrame) -> DataFrame:
+    """stage, item, key, step, type of what a host does for the rows of a cycle (stage, item, key, action): most rows are one
+    action, an update of a note or transcription is a delete and a create. Rows that change nothing here give none."""
+    types = F.lit(None).cast("array<string>")
+    for (stage, action), names in HOST_ACTIONS.items():
+        types = F.when((F.col("stage") == stage) & (F.col("action") == action), F.array(*map(F.lit, names))).otherwise(types)
+    d = rows.select("stage", "item", "key", F.posexplode(types).alias("step", "type"))
+    return d.withColumn("step", F.col("step") + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import SyncConfig
 from palimpsest.functions.scalar import identity_of
-from palimpsest.operators import cycle, maintain, sections, state
+from palimpsest.operators import cycle, items, maintain, sections, state, writes
 from palimpsest.plans import catalogue
 from palimpsest.plans import sections as decisions
 from palimpsest.plans.catalogue import _CUT, _OPS, _PHOTOS, _STATE, ME
@@ -81,9 +81,9 @@ _ITEMS = f"{_KEPT}, o AS (SELECT o_orderkey AS local_id, max(o_orderstatus) AS s
 def graph_expand(spark, sf_dir):
     """Metadata of exported items by the terms of their documents' contexts, typed by them."""
     graphs = _graphs(spark, sf_dir)
-    items = graph.items_of(graphs)
-    d = graph.expand(items, graph.terms_of(graphs)).filter(~F.col("key").rlike("^@") & ~F.col("key").isin("list", "tag", "photo", f"{VOCAB}photo"))
-    ids = items.select("document", "ordinal", graph.first_text(F.col("item"), "@id").alias("id"))
+    found = graph.items_of(graphs)
+    d = graph.expand(found, graph.terms_of(graphs)).filter(~F.col("key").rlike("^@") & ~F.col("key").isin("list", "tag", "photo", f"{VOCAB}photo"))
+    ids = found.select("document", "ordinal", graph.first_text(F.col("item"), "@id").alias("id"))
     return d.join(ids, ["document", "ordinal"]).select("id", "key", graph.literal(F.col("value"), F.col("type")).alias("v"), "container").select("id", "key", "v.*", "container")
 
 
@@ -280,3 +280,58 @@ def cycle_plan(spark, sf_dir):
 def cycle_push(spark, sf_dir):
     """A cycle of a replica that only pushes, with the options as they come: nothing that applies is planned."""
     return cycle.Cycles(spark, _folder(spark, "cycles")).run(1, stages(spark, sf_dir), SyncConfig(user_id=ME, mode="push"))
+
+
+_HOST = ", ".join(f"('{stage}', '{action}', {step}, '{name}')" for (stage, action), names in writes.HOST_ACTIONS.items() for step, name in enumerate(names, 1))
+
+
+@query(f"SELECT c.stage, c.item, c.key, h.step, h.type FROM ({SQL['cycle_plan']}) c JOIN (VALUES {_HOST}) h(stage, action, step, type) ON c.stage = h.stage AND c.action = h.action")
+def cycle_actions(spark, sf_dir):
+    """What a host is asked to do by a whole cycle, over all sections."""
+    return writes.host_actions(cycle_plan(spark, sf_dir))
+
+
+# --- items ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_OPS}, {_PHOTOS}, t AS (SELECT CAST(substr(identity, 5) AS BIGINT) AS local_id, section, key FROM ops WHERE section IN ('tags', 'lists') AND NOT deleted)
+  SELECT o_orderkey AS local_id, o_orderpriority AS template, coalesce((SELECT string_agg(checksum, ',' ORDER BY ordinal, checksum) FROM photos p WHERE p.local_id = o_orderkey), '') AS photos,
+    coalesce((SELECT string_agg(DISTINCT key, ',' ORDER BY key) FROM t WHERE t.local_id = o_orderkey AND section = 'tags'), '') AS tags, coalesce((SELECT string_agg(DISTINCT key, ',' ORDER BY key) FROM t WHERE t.local_id = o_orderkey AND section = 'lists'), '') AS lists FROM orders""")
+def item_summaries(spark, sf_dir):
+    o = P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("local_id"), F.col("o_orderpriority").alias("template"))
+    ops = P.ops(spark, sf_dir).filter("not deleted").select(F.substring("identity", 5, 20).cast("long").alias("local_id"), "section", F.col("key").alias("id"))
+    of = lambda s: ops.filter(F.col("section") == s).select("local_id", "id")
+    d = items.summaries(o, P.photos(spark, sf_dir).withColumnRenamed("checksum", "id"), of("tags"), of("lists"))
+    return d.select("local_id", "template", *[F.array_join(c, ",").alias(c) for c in ("photos", "tags", "lists")])
+
+
+_PROPS = """pr AS (SELECT 'cs' || p_partkey AS subject, 'brand' AS prop, p_brand AS text FROM part UNION ALL SELECT 'cs' || p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT 's_' || doc_id, 'lang', lang FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'status', o_orderstatus FROM orders WHERE o_orderkey % 2 = 0),
+  mt AS (SELECT subject, string_agg(prop || '=' || text, ';' ORDER BY prop) AS meta FROM (SELECT subject, prop, max(text) AS text FROM pr GROUP BY ALL) GROUP BY 1)"""
+
+
+@query(f"""WITH {_PROPS}, t AS ({SQL['item_tree']}), sl AS (SELECT 'cs' || (doc_id % 200) AS checksum, string_agg('s_' || doc_id || ':' || coalesce(meta, ''), ',' ORDER BY 's_' || doc_id) AS on_selections FROM documents LEFT JOIN mt ON subject = 's_' || doc_id GROUP BY 1)
+  SELECT t.*, coalesce(a.meta, '') AS on_item, coalesce(b.meta, '') AS on_photo, coalesce(on_selections, '') AS on_selections FROM t LEFT JOIN mt a ON a.subject = CAST(t.local_id AS VARCHAR) LEFT JOIN mt b ON b.subject = t.checksum LEFT JOIN sl USING (checksum)""")
+def item_documents(spark, sf_dir):
+    """Whole items as one tree: metadata of items, photos and selections, tags, notes, transcriptions."""
+    part, docs, orders = (P.read(spark, sf_dir, t) for t in ("part", "documents", "orders"))
+    photo = F.concat(F.lit("cs"), "p_partkey")
+    props = part.select(photo.alias("subject"), F.lit("brand").alias("prop"), F.col("p_brand").alias("text"))
+    for more in (
+        part.filter("p_partkey % 3 = 0").select(photo, F.lit("size"), F.col("p_size").cast("string")),
+        docs.filter("doc_id % 4 = 0").select(F.concat(F.lit("s_"), "doc_id"), F.lit("lang"), "lang"),
+        orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string"), F.lit("status"), "o_orderstatus"),
+    ):
+        props = props.union(more)
+    d = decisions._tree(spark, sf_dir, props.withColumn("type", F.lit(graph.STRING)))
+    told = lambda m: F.coalesce(F.array_join(F.transform(m, lambda p: F.concat(p["prop"], F.lit("="), p["text"])), ";"), F.lit(""))
+    d = d.select("local_id", "title", F.array_join("tag", ",").alias("tags"), told(F.col("metadata")).alias("on_item"), F.inline("photo"))
+    on = F.array_join(F.transform("selection", lambda s: F.concat(s["uuid"], F.lit(":"), told(s["metadata"]))), ",").alias("on_selections")
+    return d.select("local_id", "title", "tags", "ordinal", "checksum", *decisions.flat_photo(), "on_item", told(F.col("metadata")).alias("on_photo"), on)
+
+
+@query(f"WITH {_STATE} SELECT identity, section, key FROM state WHERE NOT deleted AND (section <> 'lists' OR clock % 3 <> 0)")
+def active_members(spark, sf_dir):
+    """Live entries; a membership in a list also has to say that the item is a member."""
+    s = state.merge(P.ops(spark, sf_dir))
+    return state.members(s, F.col("clock") % 3 != 0).select("identity", "section", "key")

@@ -423,14 +423,21 @@ def snapshot_pull(spark, sf_dir):
 # --- whole items, vaults, connections, warnings --------------------------------------------------
 
 
-def _tree(spark, sf_dir):
+def _tree(spark, sf_dir, metadata=None):
     orders = P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("local_id"), F.col("o_orderpriority").alias("title"))
     tags = P.ops(spark, sf_dir).filter("section = 'tags' and not deleted").select(F.substring("identity", 5, 20).cast("long").alias("local_id"), F.col("key").alias("name"))
     docs = P.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("n_"), "doc_id").alias("uuid"), F.col("lang").alias("text"))
     notes = docs.select(F.concat(F.lit("cs"), F.col("doc_id") % 300).alias("parent"), "uuid", "text").union(docs.filter("doc_id % 2 = 0").select(F.concat(F.lit("s_"), "doc_id"), F.concat(F.lit("m_"), "doc_id"), "text"))
     selections = docs.select(F.concat(F.lit("cs"), F.col("doc_id") % 200).alias("checksum"), F.concat(F.lit("s_"), "doc_id").alias("uuid"))
     tx = P.transcriptions(spark, sf_dir).select(F.concat(F.lit("cs"), F.col("conv_id") % 250).alias("checksum"), "uuid", "text")
-    return items.tree(orders, P.photos(spark, sf_dir), tags, notes, selections, tx)
+    return items.tree(orders, P.photos(spark, sf_dir), tags, notes, selections, tx, metadata)
+
+
+def flat_photo():
+    """notes, selections and n_tx of a photo of a tree as text and numbers."""
+    notes = F.array_join(F.transform("note", lambda n: F.concat(n["uuid"], n["text"])), ",")
+    marks = F.transform("selection", lambda s: F.concat(s["uuid"], F.lit(":"), F.array_join(F.transform(s["note"], lambda n: n["uuid"]), ";")))
+    return notes.alias("notes"), F.array_join(marks, ",").alias("selections"), F.size("transcription").cast("long").alias("n_tx")
 
 
 @query(f"""WITH {_OPS}, {_PHOTOS}, tg AS (SELECT CAST(substr(identity, 5) AS BIGINT) AS local_id, string_agg(DISTINCT key, ',' ORDER BY key) AS tags FROM ops WHERE section = 'tags' AND NOT deleted GROUP BY 1),
@@ -441,9 +448,7 @@ def _tree(spark, sf_dir):
   FROM orders LEFT JOIN tg ON o_orderkey = tg.local_id JOIN photos ON o_orderkey = photos.local_id LEFT JOIN nt USING (checksum) LEFT JOIN sl USING (checksum) LEFT JOIN tr USING (checksum)""")
 def item_tree(spark, sf_dir):
     d = _tree(spark, sf_dir).select("local_id", "title", F.array_join("tag", ",").alias("tags"), F.inline("photo"))
-    notes = F.array_join(F.transform("note", lambda n: F.concat(n["uuid"], n["text"])), ",")
-    marks = F.transform("selection", lambda s: F.concat(s["uuid"], F.lit(":"), F.array_join(F.transform(s["note"], lambda n: n["uuid"]), ";")))
-    return d.select("local_id", "title", "tags", "ordinal", "checksum", notes.alias("notes"), F.array_join(marks, ",").alias("selections"), F.size("transcription").cast("long").alias("n_tx"))
+    return d.select("local_id", "title", "tags", "ordinal", "checksum", *flat_photo())
 
 
 @query(f"""WITH {_OPS} SELECT author, count(DISTINCT key) FILTER (WHERE section = 'notes') AS applied, count(DISTINCT key) FILTER (WHERE section = 'notes' AND deleted) * 3 AS failures, max(clock) AS push_seq, count(DISTINCT key) FILTER (WHERE section = 'lists') AS mapped FROM ops GROUP BY 1""")
