@@ -299,27 +299,63 @@ def test_large_host_and_near_copies(spark):
     assert {r.page_id: r.text for r in html.extract(d).collect()} == want
 
 
-def test_repeats():
-    rng = np.random.default_rng(7)
-    streams = [rng.integers(0, 6, n).astype(np.uint64) for n in (40, 0, 3, 60, 25)]
-    k = 4
-    found = defaultdict(set)
-    for p, i, run in zip(*(x.tolist() for x in html.repeats(streams, k)), strict=True):
-        found[run].add((p, i))
-    want = defaultdict(set)
-    for p, s in enumerate(streams):
-        for i in range(len(s) - k + 1):
-            want[tuple(s[i : i + k].tolist())].add((p, i))
-            assert html.grams(s, k)[i] == html.grams(s[i : i + k], k)[0]
-    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+def test_articles_inside_chrome():
+    texts = lambda h: [t for k, t in html.blocks(h) if k == html.ARTICLE]
+    assert texts("<article><p>Main</p></article><aside><article><p>Related teaser text</p></article></aside>") == ["Main"]
+    assert texts("<nav><ul><li>a<article><p>main</p></article>") == ["main"] and texts("<aside><article>only</article></aside>") == ["only"]
+    assert texts("<nav>x<article>m</article><footer><article>t</article></footer>") == ["m"] and texts("<div class='has-sidebar'><article>m</article></div>") == ["m"]
+    for name in ("class='sidebar-widget'", "class='cookie-banner'", "id='related-posts'", "class='comments-area'", "class='newsletter-signup'"):
+        assert texts(f"<main><p>one</p><div {name}>no</div></main>") == texts(f"<article><p>one</p><div {name}>no</div></article>") == ["one"], name
+    assert texts("<main><div class='share-prices'>a</div><div class='article-body'>b</div></main>") == ["a", "b"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=12), max_size=6))
+def test_longest_repeats(streams):
+    """The suffix array against a search for every length at every place."""
+    rows = [(p, i, np.array(s[i:], np.uint64)) for p, s in enumerate(streams) for i in range(len(s))]
+    has = lambda p, x: any(streams[p][i : i + len(x)] == x for i in range(len(streams[p])))
+    want = []
+    for p, i, _ in rows:
+        n = [k for k in range(1, len(streams[p]) - i + 1) if sum(has(q, streams[p][i : i + k]) for q in range(len(streams))) >= html.PAGES]
+        want.append(max(n, default=0))
+    assert html.longest_repeats([r[2] for r in rows], [(r[0],) for r in rows]) == want
+
+
+def test_grams():
+    s = np.random.default_rng(7).integers(0, 6, 40).astype(np.uint64)
+    assert all(html.grams(s, 4)[i] == html.grams(s[i : i + 4], 4)[0] for i in range(37)) and len(html.grams(s[:3], 4)) == 0
 
 
 def test_unique_blocks():
-    texts = ["a b c", "d e f g h i", "j"]
-    assert html.unique_blocks(texts, [True] * 3, [4], 8) == ["a b c", "j"]
-    assert html.unique_blocks(texts, [True] * 3, [6], 4) == texts  # a part of a block is no block
-    assert html.unique_blocks(texts, [True, False, True], [0, 4], 8) == ["j"]
-    assert html.unique_blocks(["a b"], [True], [0], 4) == ["a b"]
+    texts = ["a b c", "d e f g h i", "j"]  # in the stream at 1, 5 and 12
+    assert html.unique_blocks(texts, [True] * 3, [(4, 8)]) == ["a b c", "j"]
+    assert html.unique_blocks(texts, [True] * 3, [(6, 5)]) == texts  # a part of a block is no block
+    assert html.unique_blocks(texts, [True] * 3, [(4, 5), (7, 6)]) == ["a b c", "d e f g h i"]  # and neither are two parts
+    assert html.unique_blocks(texts, [True, False, True], [(0, 12)]) == ["j"]
+    assert html.unique_blocks(["a b"], [True], [(0, 4)]) == ["a b"]
+    long = " ".join("abcdefghij" * 10)
+    assert html.unique_blocks([long, "z"], [True] * 2, [(p, min(html.DEPTH, 102 - p)) for p in range(95)]) == ["z"]
+    assert html.unique_blocks([long, "z"], [True] * 2, [(p, min(html.DEPTH, 102 - p)) for p in range(95) if p != 30]) == [long, "z"]
+
+
+def test_only_one_repeat_makes_boilerplate(spark):
+    """Every eight tokens of a page's paragraph are on three other pages, the whole of it on none: counts of eight tokens
+    would remove it, the longest repeats of the suffix array do not. The notice is one repeat."""
+    words_of = lambda *seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 12)).split()
+    left, right = words_of(1), words_of(2)
+    stitched = " ".join(left + right)
+    notice = "all rights are reserved by the owners of this site and its friends"
+    pages = [(0, f"<p>{stitched}</p><p>{notice}</p>")]
+    for k in range(3):
+        pages.append((1 + k, f"<p>{' '.join(words_of(3, k) + left + right[:7] + words_of(4, k))}</p><p>{notice}</p>"))
+        pages.append((4 + k, f"<p>{' '.join(words_of(5, k) + left[5:] + right + words_of(6, k))}</p><p>{notice}</p>"))
+    d = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in pages], "page_id long, url string, html string").repartition(3)
+    out = {r.page_id: r.text for r in html.extract(d).collect()}
+    assert out[0] == stitched and not any(notice in t for t in out.values()) and len(out) == 7
+    s = html.stream_of([stitched])
+    on = lambda x: sum(x in html.grams(html.stream_of([re.findall("<p>(.*?)</p>", h)[0]])).tolist() for _, h in pages[1:])
+    assert all(on(g) >= html.PAGES for g in html.grams(s).tolist()[1:-1]), "but for its edges, it is made of common tokens"
 
 
 # --- 4: warc ----------------------------------------------------------------------------------------
