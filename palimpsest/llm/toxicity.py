@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence gets a probability from its words; noisy-or combines
-them: a document is toxic unless every sentence is clean, p = 1 - prod(1 - p_s). The sentence model is
-trained through the noisy-or from document labels alone, and then points at the sentences.
-
-A sentence counts only for what its words say beyond a sentence without evidence: 1 - p_s is divided by
-that of the bias alone, and is 1 at most. A document is scored by the noisy-or of its worst ``SPAN``
-sentences in a row, so that weak evidence counts where it is dense, and does not add up over a long text.
+A document is a bag of sentences. Each sentence gets a probability from its words, for what they say beyond a
+sentence without evidence: 1 - p_s is divided by that of the bias alone, and is 1 at most. Noisy-or combines
+the sentences of a passage, p = 1 - prod(1 - p_s), and a document is as toxic as its worst passage: ``SPAN``
+sentences in a row, so weak evidence counts where it is dense and does not add up over a long text. A small
+leak is the chance that a label is none of the sentences' doing.
+
+That one formula is both what is scored and what is fitted: the sentence model is trained through it, leak,
+passages and all, from document labels alone, and then points at the sentences.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ BITS = 18
 MIN_DOCS, LIFT = 3, 3.0
 #: LASSO: a feature needs the evidence of about so many documents to get a weight.
 STEPS, RATE, LASSO = 200, 0.1, 1.5
-THRESHOLD, SPAN = 0.3, 12
+THRESHOLD, SPAN, LEAK = 0.3, 12, 1e-3
+#: Longer texts (characters) are not fitted on, so what comes to the driver is bounded; they are scored like all others.
+FIT_LENGTH = 200_000
 EDGE = "\x1e"
 PUNCTUATION = ".,;:!?|\"'()[]"
 
@@ -73,6 +76,14 @@ def log_clean(z: np.ndarray, bias: float) -> np.ndarray:
     return np.minimum(0, np.logaddexp(0, bias) - np.logaddexp(0, z))
 
 
+def passages(clean: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the passage of ``SPAN`` sentences up to each sentence the logarithm of the chance that it is clean, from those of
+    its sentences, and where it begins: not before ``first``, the first sentence of the document."""
+    upto = np.concatenate([[0], np.cumsum(clean)])
+    begin = np.maximum(first, np.arange(len(clean)) - SPAN + 1)
+    return np.minimum(0, upto[1:] - upto[begin]), begin
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -87,14 +98,12 @@ class Model:
             first = np.flatnonzero(np.diff(sentence, prepend=-1))
             of = doc[first]
             p = -np.expm1(log_clean(z, self.bias))
-            upto = np.concatenate([[0], np.cumsum(log_clean(z, self.bias))])
-            begin = np.maximum(np.searchsorted(of, of), np.arange(len(of)) - SPAN + 1)
-            np.minimum.at(clean, of, upto[1:] - upto[begin])
+            np.minimum.at(clean, of, passages(log_clean(z, self.bias), np.searchsorted(of, of))[0])
             np.maximum.at(worst, of, p)
             number = np.arange(len(of)) - np.searchsorted(of, of)
             hit = np.flatnonzero(p >= worst[of])[::-1]
             at[of[hit]] = number[hit]
-        return np.clip(np.maximum(-np.expm1(clean), worst), 0, 1), at, worst
+        return np.clip(-np.expm1(clean + np.log1p(-LEAK)), 0, 1), at, worst
 
 
 def candidates(counts: list[tuple[int, float, float]], n_clean: float, n_toxic: float) -> np.ndarray:
@@ -104,8 +113,8 @@ def candidates(counts: list[tuple[int, float, float]], n_clean: float, n_toxic:
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, used: np.ndarray) -> Model:
     """Proximal gradient descent (Adam steps, soft thresholds) on the weighted log loss of the
-    noisy-or of bags (number of sentences, and sentence and feature of each occurrence of the ``used``
-    features, which alone get weights).
+    worst passages of bags (number of sentences, and sentence and feature of each occurrence of the ``used``
+    features, which alone get weights): what ``Model.score`` computes.
 
     The soft thresholds choose among them in the first half of the steps; the second half fits the
     chosen ones without shrinking them.
@@ -119,18 +128,31 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, weig
     sent = np.concatenate([*(s + at for (_, s, _), at in zip(bags, starts.tolist(), strict=True)), np.zeros(0, int)]).astype(np.int64)
     feat = index[np.concatenate([*(f for _, _, f in bags), np.zeros(0, int)]).astype(np.int64)]
     doc_of = np.repeat(np.arange(len(bags)), counts)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     w, b = np.full(len(used) + 1, 2.0), -7.0  # from zero no sentence would have enough gradient to begin
     lasso = LASSO / max(1.0, weights.sum())
     weights = weights / max(1e-9, weights.sum())
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1 if base and y.any() else 1):
         z = np.bincount(sent, w[feat], base) + b
-        clean = np.bincount(doc_of, -np.logaddexp(0, z), len(bags))  # log of 1 - p
-        p = -np.expm1(np.minimum(clean, -1e-12))
+        value, begin = passages(log_clean(z, b), starts[doc_of])
+        clean = np.zeros(len(bags))
+        np.minimum.at(clean, doc_of, value)
+        ends = np.flatnonzero(value <= clean[doc_of])[::-1]
+        last = np.full(len(bags), -1)
+        last[doc_of[ends]] = ends  # where the first of the worst passages ends
+        last = last[last >= 0]
+        edge = np.zeros(base + 1, np.int64)
+        np.add.at(edge, begin[last], 1)
+        np.add.at(edge, last + 1, -1)
+        counted = (np.cumsum(edge)[:-1] > 0) & (z > b)
+        clean += np.log1p(-LEAK)  # log of 1 - p
+        p = -np.expm1(clean)
         # d loss / d clean: negatives lose -clean, positives -log(1 - exp(clean))
-        g = np.where(y, weights * (1 - p) / p, -weights)
-        dz = -g[doc_of] / (1 + np.exp(-np.clip(z, -60, 60)))
-        grad = np.append(np.bincount(feat, dz[sent], len(used)), dz.sum())
+        g = np.where(y, weights * (1 - p) / p, -weights)[doc_of]
+        dz = np.where(counted, -g * sigmoid(z), 0)
+        db = np.where(counted, g * (sigmoid(b) - sigmoid(z)), 0).sum()
+        grad = np.append(np.bincount(feat, dz[sent], len(used)), db)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         scale = RATE / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         step = scale * m / (1 - 0.9**t)
@@ -139,7 +161,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, weig
             w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - lasso * scale[:-1])
         else:
             w = np.where(w != 0, w - step, 0)
-        b -= step[-1]
+        b -= float(step[-1])
     out = np.zeros(1 << BITS)
     out[used] = w[:-1]
     return Model(out, b)
@@ -152,7 +174,7 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from the labelled documents that are not held out.
 
-    Fitted are at most ``rows`` documents of each label; to the driver come the numbers of their sentences and
+    Fitted are at most ``rows`` documents of each label, of at most ``FIT_LENGTH`` characters; to the driver come the numbers of their sentences and
     the occurrences of features that are candidates, not their texts. Null labels and ids count as no label; of
     repeated labels the largest holds; repeated documents count as often as they occur. Without any positive row
     the model calls nothing toxic.
@@ -164,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     chosen = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic").collect()
     spark = docs.sparkSession
     picked = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int")
-    picked = Scratch(spark, "toxicity").table(only(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id"), "picked")
+    picked = Scratch(spark, "toxicity").table(only(docs, doc_id="long", text="string").filter(F.coalesce(F.length("text"), F.lit(0)) <= FIT_LENGTH).join(F.broadcast(picked), "doc_id"), "picked")
     weight = {k: n / max(1, min(n, rows)) for k, n in total.items()}
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, worst_sentence, worst_score of every row of ``docs``.
 
-    A null or empty text has score 0 and worst_sentence -1. A null doc_id is not held out.
+    A null or empty text has the score ``LEAK`` and worst_sentence -1. A null doc_id is not held out.
     """
     shared = spark.sparkContext.broadcast(model)
 

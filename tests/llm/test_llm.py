@@ -235,7 +235,7 @@ def test_toxicity(spark):
     held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(800))
     assert sum(out[i].predicted == int(i % 5 == 0) for i in held) / len(held) > 0.97
-    assert out[901].score == out[902].score == 0.0 and all(0 <= r.score <= 1 for r in out.values())
+    assert out[901].score == out[902].score == pytest.approx(toxicity.LEAK) and all(0 <= r.score <= 1 for r in out.values())
     spots = toxicity.locate(spark, d, model).collect()
     assert spots and all(re.search("nasty|vile", r.sentence) for r in spots if r.doc_id < 800)
     kept = toxicity.drop_toxic(spark, d, labels)
@@ -248,11 +248,47 @@ def test_toxicity(spark):
     sigmoid = lambda z: 1 / (1 + math.exp(-z))
     for i, t, _ in rows[:40]:
         p = [max(0.0, 1 - (1 - sigmoid(sum(map(idf, x.lower().split())) + model.bias)) / (1 - sigmoid(model.bias))) for x in re.split(r"(?<=[.!?])\s+", t)]
-        assert abs(out[i].score - max(1 - math.prod(1 - x for x in p[k : k + toxicity.SPAN]) for k in range(len(p)))) < 1e-9 and abs(out[i].worst_score - max(p)) < 1e-9
+        assert abs(out[i].score - max(1 - (1 - toxicity.LEAK) * math.prod(1 - x for x in p[k : k + toxicity.SPAN]) for k in range(len(p)))) < 1e-9 and abs(out[i].worst_score - max(p)) < 1e-9
         assert p[out[i].worst_sentence] >= max(p) - 1e-12
     assert toxicity.score(spark, d, toxicity.train(d.limit(0), labels.limit(0))).agg(F.max("score")).first()[0] < 0.3
 
 
+def test_what_is_fitted_is_what_is_scored():
+    """The gradient of the loss by differences of ``Model.score``: fitted weights are where it is nearly level, both ways."""
+    rng = np.random.default_rng(8)
+    texts, labels = [], []
+    for i in range(200):
+        w = [str(x) for x in rng.choice([f"plain{k}" for k in range(40)], 90)]
+        if i % 4 == 0:
+            w[int(rng.integers(90))] = "awful"
+        if i % 8 == 1:
+            w[int(rng.integers(90))] = "rude"  # in clean documents too
+        if i % 16 == 0:
+            w[int(rng.integers(90))] = "rude"
+        texts.append(". ".join(" ".join(w[k : k + 5]) for k in range(0, 90, 5)))
+        labels.append(int(i % 4 == 0))
+    docs, y = pa.array(texts), np.array(labels)
+    doc, sentence, codes, table = toxicity.sentences(docs)
+    used = np.unique(toxicity.features_of(pa.array(["awful", "rude"])))
+    cut, bags = np.searchsorted(doc, np.arange(len(texts) + 1)), []
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        at, which = np.nonzero(np.isin(table[codes[a:z]], used))
+        bags.append((int(sentence[z - 1] - sentence[a]) + 1, sentence[a:z][at] - sentence[a], table[codes[a:z]][at, which]))
+    model = toxicity.fit(bags, y, np.ones(len(y)), used)
+
+    def loss(weights, bias):
+        p = np.clip(toxicity.Model(weights, bias).score(docs)[0], 1e-9, 1 - 1e-9)
+        return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+    fitted, scores = loss(model.weights, model.bias), model.score(docs)[0]
+    for f in used[model.weights[used] != 0]:
+        for by in (-1.0, 1.0):
+            moved = model.weights.copy()
+            moved[f] += by
+            assert loss(moved, model.bias) > fitted - 2e-3
+    assert scores[y == 1].min() > 0.5 > 0.3 > scores[y == 0].max()
+
+
 # --- 3: html ----------------------------------------------------------------------------------------
 
 
