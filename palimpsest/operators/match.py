@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalar import identity_of
+from palimpsest.session import written
 
 
 def identities(photos: DataFrame, key: str) -> DataFrame:
@@ -33,12 +34,15 @@ def alias(remote: DataFrame, local: DataFrame, matched: DataFrame, aliases: Data
     return found.groupBy("local_id").agg(F.min("remote_id").alias("remote_id")).select("remote_id", "local_id")
 
 
-def _sets(photos: DataFrame, key: str, common: DataFrame, threshold: float) -> DataFrame:
-    """key, set (rarest checksum first), head: the first of its checksums, one of which is in the head of
-    any set that is similar enough."""
+def _sets(photos: DataFrame, key: str, common: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Items with the digest of their set (key, digest), and the distinct sets, written: digest, the smallest key, set
+    (rarest checksum first), size, head: the first of its checksums, one of which is in the head of any set that is similar enough."""
     d = photos.filter("checksum is not null").select(key, "checksum").distinct().join(common, "checksum")
     d = d.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "checksum")))["checksum"].alias("set"))
-    return d.withColumn("head", F.slice("set", 1, (F.size("set") - F.ceil(F.size("set") * threshold - 1e-9) + 1).cast("int")))
+    d = written(d.withColumn("digest", F.unhex(F.sha2(F.array_join("set", "\x1f"), 256))), "sets")
+    one = d.groupBy("digest").agg(F.min(key).alias(key), F.first("set").alias("set")).withColumn("size", F.size("set"))
+    head = F.slice("set", 1, (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))
+    return d.select(key, "digest"), written(one.withColumn("head", head), "distinct-sets")
 
 
 def similar(remote_photos: DataFrame, local_photos: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -47,23 +51,22 @@ def similar(remote_photos: DataFrame, local_photos: DataFrame, threshold: float
 
     An inverted index of set heads: sets are sorted rarest checksum first, and of two similar sets the
     first common checksum is in both heads, so a checksum that very many items share brings pairs only
-    where a set has little else. Items with equal sets are compared once.
+    where a set has little else. Items with equal sets are compared once; sets move by digest, and whole
+    only to where pairs that can be similar are verified.
     """
     both = remote_photos.select("checksum").unionByName(local_photos.select("checksum"))
-    common = both.groupBy("checksum").agg(F.count(F.lit(1)).alias("n"))
-    r, m = _sets(remote_photos, "remote_id", common, threshold), _sets(local_photos, "local_id", common, threshold)
-    one = r.groupBy("set", "head").agg(F.min("remote_id").alias("r"))
-    of = m.groupBy("set", "head").agg(F.min("local_id").alias("local_id"))
+    common = written(both.groupBy("checksum").agg(F.count(F.lit(1)).alias("n")), "checksums")
+    r, one = _sets(remote_photos, "remote_id", common, threshold)
+    _, of = _sets(local_photos, "local_id", common, threshold)
     # what two sets share ends with what follows a common checksum in each, itself included
-    left = lambda d, key, rest: d.select(key, F.size("set").alias(f"{rest}_all"), F.posexplode("head").alias("at", "checksum")).withColumn(rest, F.col(f"{rest}_all") - F.col("at")).drop("at")
+    left = lambda d, key, rest: d.select(key, F.col("size").alias(f"{rest}_all"), F.posexplode("head").alias("at", "checksum")).withColumn(rest, F.col(f"{rest}_all") - F.col("at")).drop("at")
     enough = F.least("a", "b") >= (F.col("a_all") + F.col("b_all")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = left(one, "r", "a").join(left(of, "local_id", "b"), "checksum").filter(enough).select("r", "local_id").distinct()
+    pairs = left(one, "remote_id", "a").join(left(of, "local_id", "b"), "checksum").filter(enough).select("remote_id", "local_id").distinct()
     shared = F.size(F.array_intersect("remote_set", "local_set"))
-    scored = pairs.join(one.select("r", F.col("set").alias("remote_set")), "r").join(of.select("local_id", F.col("set").alias("local_set")), "local_id")
-    scored = scored.select("r", "local_id", (shared / (F.size("remote_set") + F.size("local_set") - shared)).alias("score")).filter(F.col("score") >= threshold)
-    best = scored.groupBy("r").agg(F.max(F.struct("score", (-F.col("local_id")).alias("o"))).alias("m"))
-    best = one.join(best, "r").select("set", "m")
-    return r.select("remote_id", "set").join(best, "set").select("remote_id", (-F.col("m.o")).alias("local_id"), F.col("m.score").alias("score"))
+    scored = pairs.join(one.select("remote_id", "digest", F.col("set").alias("remote_set")), "remote_id").join(of.select("local_id", F.col("set").alias("local_set")), "local_id")
+    scored = scored.select("digest", "local_id", (shared / (F.size("remote_set") + F.size("local_set") - shared)).alias("score")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("digest").agg(F.max(F.struct("score", (-F.col("local_id")).alias("o"))).alias("m"))
+    return r.join(best, "digest").select("remote_id", (-F.col("m.o")).alias("local_id"), F.col("m.score").alias("score"))
 
 
 def resolve(exact_matches: DataFrame, alias_matches: DataFrame, fuzzy: DataFrame) -> DataFrame:

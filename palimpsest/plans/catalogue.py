@@ -735,6 +735,24 @@ def sanitize_html(spark, sf_dir):
     return P.read(spark, sf_dir, "pages").select("page_id", text.sanitize_html("html").alias("html"))
 
 
+#: Attacks on a sanitiser around a name (@), and what is left of them.
+_ATTACKS = (
+    ('<p onclick="x()">@</p><script>alert(1)</script>', "<p>@</p>"),
+    ('<a href="javascript:alert(1)" title="t">@</a>', '<a title="t">@</a>'),
+    ('<a href="&#106;avascript&#58;x">@</a><iframe src=x>y</iframe>', "<a>@</a>"),
+    ('<span style="text-decoration: underline; color: red" data-x="1">@</span>', '<span style="text-decoration: underline">@</span>'),
+    ("<h1>@</h1><!-- c --> 1 < 2", "@ 1 &lt; 2"),
+    ('<a href="/p?&#xD800;&#55296;=@">x</a>', '<a href="/p?\ufffd\ufffd=@">x</a>'),
+    ('<a href="//evil.example/@">x</a><svg><p>y</p></svg>', "<a>x</a>"),
+)
+
+
+@query("SELECT c_custkey AS id, replace(CASE " + " ".join(f"WHEN c_custkey % {len(_ATTACKS)} = {k} THEN '{clean}'" for k, (_, clean) in enumerate(_ATTACKS)) + " END, '@', c_name) AS html FROM customer")
+def sanitize_attacks(spark, sf_dir):
+    html = F.element_at(F.array(*[F.lit(attack) for attack, _ in _ATTACKS]), (F.col("c_custkey") % len(_ATTACKS) + 1).cast("int"))
+    return P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.sanitize_html(F.replace(html, F.lit("@"), F.col("c_name"))).alias("html"))
+
+
 @query("SELECT doc_id, '<p>' || " + _escape_sql("text") + " || '</p>' AS html FROM documents")
 def render_note(spark, sf_dir):
     node = F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"))

@@ -8,16 +8,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from palimpsest.config import SyncConfig
-from palimpsest.functions.scalar import identity_of
+from palimpsest.functions.scalar import FNV_SEEDS, fast_hash, identity_of
 from palimpsest.operators import cycle, items, maintain, sections, state, writes
 from palimpsest.plans import catalogue
 from palimpsest.plans import sections as decisions
 from palimpsest.plans.catalogue import _CUT, _OPS, _PHOTOS, _STATE, ME
 from palimpsest.plans.registry import SQL, query
 from palimpsest.session import shared_dir, written
-from palimpsest.sources import graph, snapshots
+from palimpsest.sources import graph, readers, snapshots
 from palimpsest.sources import projections as P
 from palimpsest.sources.vaults import VaultStore
+from palimpsest.streaming import oplog, sessions
 
 # --- graphs --------------------------------------------------------------------------------------
 
@@ -123,9 +124,7 @@ def export_ops(spark, sf_dir):
 @query(f"""WITH {_STATE}{_CUT} SELECT * FROM state WHERE NOT (deleted AND deleted_at < (SELECT max("at") FROM ops) - {10 * 86_400_000})""")
 def stream_expiry(spark, sf_dir):
     """The op-log streamed in six parts by time into tiers that merge two by two; tombstones of more than ten days expire."""
-    from palimpsest.streaming.oplog import replay_tiers
-
-    return replay_tiers(spark, P.ops(spark, sf_dir), parts=6, ttl_ms=10 * 86_400_000, fan=2).read()
+    return oplog.replay_tiers(spark, P.ops(spark, sf_dir), parts=6, ttl_ms=10 * 86_400_000, fan=2).read()
 
 
 QUIET_MS = 6 * 3_600_000
@@ -135,19 +134,14 @@ _ISLANDS = """i AS (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY "at") AS
 @query(f"""WITH {_OPS}, f AS (SELECT * FROM ops WHERE author <> 'u0'), {_ISLANDS.format(k="identity", quiet=QUIET_MS, t="f")} SELECT identity, min("at") AS first, max("at") AS last, count(*) AS n FROM i GROUP BY identity, burst""")
 def debounced_changes(spark, sf_dir):
     """Bursts of what others changed, one row each once an item was quiet for six hours, as a running query."""
-    from palimpsest.streaming import sessions
-    from palimpsest.streaming.oplog import foreign_ops
-
     ops = P.ops(spark, sf_dir).select("identity", "author", "at")
-    return sessions.replay(spark, ops, lambda s: sessions.bursts(foreign_ops(s, ME), f"{QUIET_MS} milliseconds", late="11 days"))
+    return sessions.replay(spark, ops, lambda s: sessions.bursts(oplog.foreign_ops(s, ME), f"{QUIET_MS} milliseconds", late="11 days"))
 
 
 @query(f"""WITH b AS (SELECT 'room' || (user_id % 4) AS room, 'u' || user_id AS client, CASE WHEN event_id % 3 = 0 THEN 'name' || (event_id % 9) END AS name, epoch_us(ts) // 1000 AS "at" FROM events),
   {_ISLANDS.format(k="room, client", quiet=QUIET_MS, t="b")} SELECT room, client, arg_max(name, "at") FILTER (name IS NOT NULL) AS name, min("at") AS since, max("at") AS last, max("at") + {QUIET_MS} AS expired FROM i GROUP BY room, client, burst""")
 def live_presence(spark, sf_dir):
     """Stays of clients in rooms: one row once a client was silent for six hours."""
-    from palimpsest.streaming import sessions
-
     e = P.read(spark, sf_dir, "events")
     beats = e.select(F.concat(F.lit("room"), F.col("user_id") % 4).alias("room"), F.concat(F.lit("u"), "user_id").alias("client"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("name"), F.col("event_id") % 9)).alias("name"), P.millis("ts").alias("at"))
     return sessions.replay(spark, beats, lambda s: sessions.presence(s, f"{QUIET_MS} milliseconds", late="11 days"))
@@ -335,3 +329,33 @@ def active_members(spark, sf_dir):
     """Live entries; a membership in a list also has to say that the item is a member."""
     s = state.merge(P.ops(spark, sf_dir))
     return state.members(s, F.col("clock") % 3 != 0).select("identity", "section", "key")
+
+
+# --- logs and hashes -----------------------------------------------------------------------------
+
+
+@query(f"WITH {_OPS} SELECT * FROM ops")
+def op_log(spark, sf_dir):
+    """The log as a late reader finds it: all files, whoever added them when."""
+    ops, at = P.ops(spark, sf_dir), _folder(spark, "log")
+    for part in (0, 1):
+        ops.filter(F.col("clock") % 2 == part).write.mode("append").parquet(at)
+    return readers.op_log(spark, at).select(*ops.columns)
+
+
+@query(f"WITH {_OPS} SELECT identity, section FROM ops WHERE author IS DISTINCT FROM 'u0'")
+def remote_feed(spark, sf_dir):
+    """What others changed, write by write."""
+    return oplog.change_feed(P.ops(spark, sf_dir), ME)
+
+
+@query(f"WITH {_STATE} SELECT identity, section, key, 'u0' AS author, CAST(77 AS BIGINT) AS clock, value, false AS deleted FROM state WHERE section = 'notes' AND NOT deleted")
+def entry_upserts(spark, sf_dir):
+    """Ops that write entries anew, and so win over what was there."""
+    notes = state.live(state.merge(P.ops(spark, sf_dir))).filter("section = 'notes'")
+    return writes.upserts(notes, ME, 77).drop("at")
+
+
+@query("SELECT c_custkey AS id, lower(to_base(" + catalogue._fnv("c_name || c_mktsegment", FNV_SEEDS[0]) + ", 36)) AS hash FROM customer")
+def fast_hashes(spark, sf_dir):
+    return P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), fast_hash(F.concat("c_name", "c_mktsegment")).alias("hash"))
