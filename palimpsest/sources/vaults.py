@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.scalar import or_else, room_name
+from palimpsest.functions.scalar import room_name
 from palimpsest.sources import files
 from palimpsest.sources.readers import parse_vault
 
