@@ -95,6 +95,14 @@ def _identifiers(words: Column) -> Column:
     return F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 3).cast("int") - 1), join)).otherwise(F.array().cast("array<string>"))
 
 
+def _some(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """At most ``FIT_DOCS`` distinct values of a column of ``n`` rows, those with the smallest hashes. Only a share of the
+    rows whose hashes are small enough takes part, so no task gathers more than a few times that many."""
+    share = min(1.0, 4 * FIT_DOCS / max(1, n))
+    h = rows.select(F.xxhash64(column).alias("h"), column).filter(F.col("h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    return h.groupBy("h").agg(F.first(column).alias(column)).orderBy("h").limit(FIT_DOCS).select(column)
+
+
 def labelled_samples(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
     """text, label: 1 for random strings (values of patterns, and digests in the alphabets of keys), 0 for ordinary ones
     (what else documents are made of, the same joined as in identifiers and paths, and runs of a character). Documents
@@ -102,15 +110,16 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, found: DataFrame) ->
     plain = F.coalesce("text", F.lit(""))
     for kind in KINDS:
         plain = F.regexp_replace(plain, PATTERNS[kind], " ")
-    words = only(docs, text="string").select(F.left("text", F.lit(FIT_TEXT)).alias("text")).orderBy(F.xxhash64("text")).limit(FIT_DOCS)
+    words = _some(only(docs, text="string").select(F.left("text", F.lit(FIT_TEXT)).alias("text")), "text", found.count())
     words = words.select(F.slice(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0)), 1, FIT_WORDS).alias("words"))
     words = words.select(F.filter("words", lambda w: ~(w.rlike(STRING) & w.rlike("[0-9]"))).alias("words"))  # what is to be told is of neither label
     words = words.select(F.explode(F.concat("words", _identifiers(F.col("words")))).alias("text"))
     runs = spark.range(FIT_RANDOM).select(F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), F.lit(12)).alias("text"))
     words = words.unionByName(runs)
     words = words.withColumn("label", F.lit(0))
-    values = found.filter(F.size("base") > 0).select(F.transform(F.slice("base", 1, FIT_WORDS), lambda b: F.left(b["value"], F.lit(FIT_CHARS))).alias("values"))
-    values = values.orderBy(F.xxhash64("values")).limit(FIT_DOCS).select(F.explode("values").alias("text"), F.lit(1).alias("label"))
+    with_base = found.filter(F.size("base") > 0)
+    values = with_base.select(F.transform(F.slice("base", 1, FIT_WORDS), lambda b: F.left(b["value"], F.lit(FIT_CHARS))).alias("values"))
+    values = _some(values, "values", with_base.count()).select(F.explode("values").alias("text"), F.lit(1).alias("label"))
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     key = F.base64(F.unhex(digest))
     drawn = spark.range(FIT_RANDOM).select(F.explode(F.array(digest, key, F.upper(F.regexp_replace(key, "[+/=]", "")))).alias("text"), F.lit(1).alias("label"))
