@@ -731,7 +731,7 @@ def test_oracles(spark):
     from palimpsest.llm import queries
 
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "labels"):
         at = f"{SF}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at if os.path.isfile(at) else glob.glob(at + '/*.parquet')[0]}'")
     for name, sql in queries.ORACLE_SQL.items():
