@@ -394,6 +394,58 @@ def test_only_one_repeat_makes_boilerplate(spark):
     assert all(on(g) >= html.PAGES for g in html.grams(s).tolist()[1:-1]), "but for its edges, it is made of common tokens"
 
 
+def test_elements_in_doubt_are_decided_by_the_host(spark):
+    """On pages that mark their article the suffix array decides elements whose names leave in doubt whether they are
+    chrome. Pages of one chrome and different articles are different pages."""
+    page = "<nav>Home</nav><article><p>Opening {0}</p><div class='{1}'><p>{2}</p></div><p>the same closing words on every single page of this whole site</p></article>"
+    offer, prices = "get all of our best stories every week in your mail", "the prices of shares rose by {} in the first days of the year"
+    pages = [(i, f"http://h/{i}", page.format(i, "post-newsletter-cta", offer)) for i in range(4)]
+    pages += [(10 + i, f"http://h/{i}", page.format(10 + i, "share-prices", prices.format(i))) for i in range(4)]
+    pages += [(20 + i, f"http://two/{i}", page.format(20 + i, "post-newsletter-cta", offer)) for i in range(2)]
+    pages += [(30 + i, f"http://wrapped/{i}", page.format(30 + i, "has-social-sharing", f"{offer}</p><p>own words of page {i}")) for i in range(4)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    out = {r.page_id: r.text.split("\n")[1:-1] for r in html.extract(d).collect()}
+    assert out == {i: [] if i < 10 else [prices.format(i - 10)] if i < 20 else [offer] if i < 30 else [offer, f"own words of page {i - 30}"] for i, _, _ in pages}
+
+
+def test_long_repeats_are_one(spark):
+    """Of two paragraphs longer than what suffixes are compared by at once, every part of that length is on three other
+    pages of one host. Only the one that is whole on them goes."""
+    words_of = lambda n, *seed: [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, n)]
+    n = html.DEPTH
+    stitched, notice = words_of(2 * n, 1), " ".join(words_of(2 * n, 2))
+    pages = [(0, f"<p>{' '.join(stitched)}</p><p>{notice}</p>")]
+    for k in range(3):
+        pages.append((1 + k, f"<p>{' '.join(words_of(9, 3, k) + stitched[: n + n // 2] + words_of(9, 4, k))}</p><p>{notice}</p>"))
+        pages.append((4 + k, f"<p>{' '.join(words_of(9, 5, k) + stitched[n // 2 - 1 :] + words_of(9, 6, k))}</p><p>{notice}</p>"))
+    d = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in pages], "page_id long, url string, html string").repartition(3)
+    out = {r.page_id: r.text for r in html.extract(d).collect()}
+    assert out[0] == " ".join(stitched) and not any(notice in t for t in out.values()) and len(out) == 7
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "é c", "a a b"]), max_size=4), max_size=5))
+def test_streams_of_many_pages(pages):
+    stream, n = html.streams_of(pa.array(pages, pa.list_(pa.string())))
+    assert [x.tolist() for x in np.split(stream, np.cumsum(n)[:-1])][: len(pages)] == [html.stream_of(p).tolist() for p in pages]
+    windows = [(p, k) for p in range(len(stream)) for k in range(1, len(stream) - p + 1)]
+    named = {}
+    for k in range(len(stream)):
+        for p, h in enumerate(html.window_hashes(stream, np.minimum(k + 1, len(stream) - np.arange(len(stream)))).tolist()):
+            named[p, min(k + 1, len(stream) - p)] = h
+    assert len(set(named.values())) == len({tuple(stream[p : p + k].tolist()) for p, k in windows}) and set(named) == set(windows)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=20))
+def test_names(tokens):
+    """Windows have one name if they have the same tokens, and only then."""
+    s = np.array(tokens, np.uint64)
+    windows = [(p, n) for p in range(len(s)) for n in range(1, len(s) - p + 1)]
+    named = list(zip(html.names(s, windows), (tuple(tokens[p : p + n]) for p, n in windows), strict=True))
+    assert len({a for a, _ in named}) == len({b for _, b in named}) == len(set(named))
+
+
 # --- 4: warc ----------------------------------------------------------------------------------------
 
 
