@@ -440,7 +440,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
     parsed = pages.mapInArrow(parse, "page_id long, url string, marks array<int>, sure array<string>, rest array<string>, asks boolean")
     parsed = parsed.withColumn("host", host).withColumn("key", F.xxhash64("host", "sure", "rest")).withColumn("row", F.monotonically_increasing_id())
-    parsed = scratch.table(parsed, "parsed")
+    parsed = scratch.table(parsed, "parsed", "zstd")
     # the array counts pages; here it is enough to leave out what too few rows or one page alone have
     streams = parsed.select("row", "key", "host", "rest")
     common = streams.mapInArrow(met_grams, "gram long, key long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("z"))
@@ -448,9 +448,10 @@ def extract(pages: DataFrame) -> DataFrame:
     own = maybe_in(streams.mapInArrow(places, "row long, key long, place long, id long, gram long"), "gram", common, scratch)
     if common.count() > SLOTS * SLOT_BITS // 4:
         own = own.join(common, "gram", "left_semi")
-    array = scratch.table(own.select("row", "key", "place", "id"), "places")
+    array = scratch.table(own.select("row", "key", "place", "id"), "places", "zstd")
     # a suffix that many pages share is one row; of those on fewer than PAGES pages the least and the largest are all
-    each = array.groupBy("id").agg(F.countDistinct("key").alias("n"), F.min(F.struct("key", "row", "place")).alias("first"), F.max("key").alias("z"))
+    each = array.groupBy("id", "key").agg(F.min("row").alias("row"), F.min("place").alias("place"))  # rows of one key have one stream
+    each = each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "row", "place")).alias("first"), F.max("key").alias("z"))
     firsts = each.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("id", "n", F.col("first.key").alias("a"), "z", F.col("first.place").alias("place"))).alias("firsts"))
     each = streams.join(firsts, "row").mapInArrow(suffixes, "range long, id long, n long, a long, z long, suffix array<long>")
     found = scratch.table(each.groupBy("range").applyInArrow(lengths, "id long, length long").filter(F.col("length") >= MIN_TOKENS), "lengths")
