@@ -33,9 +33,19 @@ _SHOTS = """shots AS (SELECT local_id, ordinal, max(checksum) AS checksum FROM p
 _KEPT = f"{_PHOTOS}, {_SHOTS}, shot AS (SELECT * FROM kept WHERE local_id % 3 <> 2 OR ordinal = first)"
 
 
+#: Orders that give each of the twenty documents one part, of a hundred items: a whole document is too large for one value.
+_PART = 2_000
+
+
 def _graphs(spark, sf_dir):
-    """Exports of orders, twenty documents: items in compact form, in expanded form, and with one photo that is no array."""
-    p = P.photos(spark, sf_dir).groupBy("local_id", "ordinal").agg(F.max("checksum").alias("checksum"))
+    """Exports of orders, twenty documents in parts: items in compact form, in expanded form, and with one photo that is no array.
+
+    Orders and lines are dealt out once, by the range of their number, while they are narrow; no JSON is shuffled."""
+    place = F.floor(F.col("local_id") / _PART).alias("place")
+    lines = P.photos(spark, sf_dir).select(place, "local_id", "ordinal", "checksum", F.lit(False).alias("ordered"))
+    orders = P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("local_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.lit(True).alias("ordered"))
+    rows = lines.unionByName(orders.select(place, "*"), allowMissingColumns=True).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "place")
+    p = rows.groupBy("place", "local_id", "ordered", "ordinal").agg(*[F.max(c).alias(c) for c in ("checksum", "status", "priority")])
     part, number = F.substring("checksum", 3, 20).cast("long"), F.concat_ws("_", "local_id", "ordinal")
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     note = (
@@ -48,18 +58,19 @@ def _graphs(spark, sf_dir):
     tx = F.when(part % 7 == 0, text('"transcription":[{"@id":"t', number, '","text":"whole","data":{"lines":[1,2]}}],')).otherwise("")
     body = text(note, selection, tx, '"metadata":{"id":7,"dc:size":{"text":"', part % 9, '","type":"int"},"empty":""}}')
     plain, full = text('{"checksum":"', F.col("checksum"), '",', body), text(f'{{"{VOCAB}checksum":{{"@value":"', F.col("checksum"), '"},', body)
-    shots = p.withColumn("json", F.when(F.col("local_id") % 3 == 1, full).otherwise(plain)).groupBy("local_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "json"))).alias("p"))
-    every = F.array_join(F.transform("p", lambda s: s["json"]), ",")
+    shot = F.when(~F.col("ordered"), F.struct("ordinal", F.when(F.col("local_id") % 3 == 1, full).otherwise(plain).alias("json")))
+    o = p.groupBy("place", "local_id").agg(F.max("status").alias("status"), F.max("priority").alias("priority"), F.max("ordered").alias("ordered"), F.sort_array(F.collect_list(shot)).alias("p")).filter("ordered")
+    o = o.withColumn("p", F.when(F.size("p") > 0, F.col("p")))
+    every = F.array_join(F.col("p")["json"], ",")
     form = F.col("local_id") % 3
     photo = F.when(form == 0, text('"photo":[', every, "]")).when(form == 1, text(f'"{VOCAB}photo":[', every, "]")).otherwise(text('"photo":', F.col("p")[0]["json"]))
-    o = P.read(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("local_id")).agg(F.max("o_orderstatus").alias("status"), F.max("o_orderpriority").alias("priority"))
     tag = F.element_at(F.array(F.lit('"tag":"Red",'), F.lit('"tag":{"name":"Blue","color":"c1"},'), F.lit('"tag":["A","b",{"@value":"c"}],'), F.lit("")), (F.col("local_id") % 4 + 1).cast("int"))
     item = text('{"@id":"i', F.col("local_id"), '","@type":"Item","title":"', F.col("priority"), '","when":"', F.col("status"), '","many":["x"],"dc:date":{"@value":"d', F.col("local_id") % 7, '","@type":"date","@language":"en"},"list":[1],', tag)
     item = text(item, F.coalesce(photo, F.lit('"photo":[]')), "}")
     document = F.col("local_id") % 20
-    d = o.join(shots, "local_id", "left").groupBy(document.alias("document")).agg(F.array_sort(F.collect_list(F.struct("local_id", item.alias("json")))).alias("i"))
-    whole = F.concat(F.lit(f'{{"@context":{_CONTEXT},"version":"1","@graph":['), F.array_join(F.transform("i", lambda i: i["json"]), ","), F.lit("]}"))
-    return written(d.select(F.col("document").cast("string").alias("document"), F.parse_json(whole).alias("graph")), "graphs")
+    d = o.groupBy("place", document.alias("document")).agg(F.sort_array(F.collect_list(F.struct("local_id", item.alias("json")))).alias("i"))
+    whole = F.concat(F.lit(f'{{"@context":{_CONTEXT},"version":"1","@graph":['), F.array_join(F.col("i")["json"], ","), F.lit("]}"))
+    return written(d.select(F.col("document").cast("string").alias("document"), (F.col("place") * _PART).alias("first"), F.parse_json(whole).alias("graph")), "graphs", group_bytes=16 << 20)
 
 
 @query(f"""WITH {_KEPT}, c AS (SELECT local_id, ordinal, unnest(CASE WHEN part % 3 = 0 THEN [checksum, 'q' || part] ELSE [checksum] END) AS c FROM shot)
@@ -115,7 +126,7 @@ _SHAPE = "CAST(part % 2 AS DOUBLE)"
   QUALIFY row_number() OVER (PARTITION BY identity, e.section, e.key ORDER BY CAST(document AS VARCHAR) DESC, local_id DESC, e.value DESC) = 1""")
 def export_ops(spark, sf_dir):
     graphs = _graphs(spark, sf_dir)
-    return graph.export_ops(graph.items_of(graphs), graph.terms_of(graphs), ME, 9, VOCAB).drop("deleted", "at")
+    return graph.export_ops(graph.items_of(graphs), graph.terms_of(graphs), ME, 9, VOCAB, spread=True).drop("deleted", "at")
 
 
 # --- running streams -----------------------------------------------------------------------------

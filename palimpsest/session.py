@@ -38,8 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, which cuts its lineage."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, which cuts its lineage. Tables of long values take small row groups: a
+    reader holds up to 4,096 rows of a group at a time."""
+    at, spark = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession
+    shred, was = "spark.sql.variant.inferShreddingSchema", spark.conf.get("spark.sql.variant.inferShreddingSchema", None)
+    spark.conf.set(shred, "false")  # a VARIANT is put back together from all of its columns when it is read whole
+    try:
+        df.write.options(**({"parquet.block.size": str(group_bytes)} if group_bytes else {})).parquet(at)
+    finally:
+        spark.conf.unset(shred) if was is None else spark.conf.set(shred, was)
+    return spark.read.schema(df.schema).parquet(at)

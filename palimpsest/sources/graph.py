@@ -38,22 +38,27 @@ def first_text(v: Column, *names: str) -> Column:
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """Looks at the outermost level alone: a schema would be that of all that the value holds."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
-def each(v: Column) -> Column:
-    """The values of an array; one value is an array of it, none (or JSON's null) an empty one."""
-    one = lambda v: F.filter(F.array(v), lambda x: x.isNotNull() & ~F.is_variant_null(x))
-    return bound(v, lambda v: F.coalesce(F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")), one(v)))
+def each(v: Column, *names: str) -> Column:
+    """The values of an array; one value is an array of it, none (or JSON's null) an empty one. With ``names``, of the
+    first of them that an object has with a value that is not null."""
+    told = []
+    for path in [f"$['{n}']" for n in names] or ["$"]:
+        one = lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), F.array(x))
+        told += [F.try_variant_get(v, path, "array<variant>"), bound(F.try_variant_get(v, path, "variant"), one)]
+    return F.coalesce(*told, F.array().cast("array<variant>"))
 
 
 def fields(v: Column) -> Column:
     """The members of an object as a map; an empty one of anything else."""
-    return bound(v, lambda v: F.coalesce(F.when(is_object(v), F.try_variant_get(v, "$", "map<string,variant>")), F.create_map().cast("map<string,variant>")))
+    return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
 
 def graphs(spark: SparkSession, path: str) -> DataFrame:
@@ -63,9 +68,12 @@ def graphs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def items_of(graphs: DataFrame) -> DataFrame:
-    """document, ordinal, item of each document: those of its ``@graph``, or of the array that it is."""
-    listed = F.when(is_array(F.col("graph")), F.col("graph")).otherwise(get(F.col("graph"), "@graph"))
-    return graphs.select("document", F.posexplode(each(listed)).alias("ordinal", "item"))
+    """document, ordinal, item of each document: those of its ``@graph``, or of the array that it is. A document too
+    large for one value comes in parts, each with the ordinal of its ``first`` item."""
+    whole = F.col("graph")
+    listed = graphs.withColumn("at", F.col("first") if "first" in graphs.columns else F.lit(0))
+    listed = listed.select("document", "at", F.posexplode(F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), each(whole, "@graph"))).alias("ordinal", "item"))
+    return listed.select("document", (F.col("at") + F.col("ordinal")).alias("ordinal"), "item")
 
 
 def terms_of(graphs: DataFrame) -> DataFrame:
@@ -82,28 +90,30 @@ def terms_of(graphs: DataFrame) -> DataFrame:
 
 
 def expand(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """document, ordinal, key (in full), value, type, container of every member of every item.
+    """document, ordinal, key (in full), value, type, container of every member of every item, with the items' further columns.
 
     ``prefix:name`` is completed by a plain term whose id has a slash (segments after the second are lost),
     another key by its term, else by the document's ``@vocab``; ``@`` keys, URIs and structural names stay.
     ``type`` is the term's, for values that are plain strings: such a value is typed by its context.
     """
-    rows = items.select("document", "ordinal", F.explode(fields(F.col("item"))).alias("name", "value"))
+    rest = [c for c in items.columns if c != "item"]
+    rows = items.select(*rest, F.explode(fields(F.col("item"))).alias("name", "value"))
     stays = F.col("name").startswith("@") | F.col("name").contains("/") | F.col("name").isin(*KEPT)
     asked = F.when(~stays, F.substring_index("name", ":", 1))
     vocab = terms.filter("term = '@vocab' and plain").select("document", F.col("id").alias("vocab"))
+    terms = terms.withColumnRenamed("id", "term_id")
     d = rows.withColumn("term", asked).join(terms, ["document", "term"], "left").join(vocab, "document", "left")
     prefixed = F.col("name").contains(":")
     full = (
         F.when(stays, F.col("name"))
-        .when(prefixed & F.col("plain") & F.col("id").contains("/"), F.concat("id", F.split_part("name", F.lit(":"), F.lit(2))))
+        .when(prefixed & F.col("plain") & F.col("term_id").contains("/"), F.concat("term_id", F.split_part("name", F.lit(":"), F.lit(2))))
         .when(prefixed, F.col("name"))
-        .when(F.col("id").isNotNull(), F.col("id"))
+        .when(F.col("term_id").isNotNull(), F.col("term_id"))
         .otherwise(F.concat(F.coalesce("vocab", F.lit("")), "name"))
     )
     own = ~stays & ~prefixed
-    typed = F.when(own & (F.schema_of_variant("value") == "STRING"), F.col("type"))
-    return d.select("document", "ordinal", full.alias("key"), "value", typed.alias("type"), F.when(own, F.col("container")).alias("container"))
+    typed = F.when(own & F.col("type").isNotNull() & (F.schema_of_variant("value") == "STRING"), F.col("type"))
+    return d.select(*rest, full.alias("key"), "value", typed.alias("type"), F.when(own, F.col("container")).alias("container"))
 
 
 def literal(value: Column, kind: Column) -> Column:
@@ -121,17 +131,22 @@ def literal(value: Column, kind: Column) -> Column:
 
 def checksum(v: Column, vocab: str) -> Column:
     """A photo's or selection's checksum: plain, or the value of an object; null without one."""
-    told = lambda c: F.when(is_object(c), F.coalesce(first_text(c, "@value"), F.lit("[object Object]"))).otherwise(as_string(c))
-    return F.nullif(bound(get(v, "checksum", f"{vocab}checksum"), told), F.lit(""))
+    told = None
+    for path in (f"$['{vocab}checksum']", "$['checksum']"):
+        plain, value = F.try_variant_get(v, path, "string"), F.try_variant_get(v, f"{path}['@value']", "string")
+        of_object = F.coalesce(F.nullif(value, F.lit("")), F.lit("[object Object]"))
+        one = F.when(F.try_variant_get(v, path, "struct<>").isNotNull(), of_object).when(F.try_variant_get(v, path, "array<variant>").isNull(), plain)
+        told = one if told is None else F.when(plain.isNotNull(), one).otherwise(told)
+    return F.nullif(told, F.lit(""))
 
 
 def photos_of(item: Column, vocab: str) -> Column:
-    return each(get(item, "photo", f"{vocab}photo"))
+    return each(item, "photo", f"{vocab}photo")
 
 
 def checksums(item: Column, vocab: str) -> Column:
     """The checksums of an item's photos and of their selections, in their order, repeats too."""
-    own = lambda p: F.concat(F.array(checksum(p, vocab)), F.transform(each(get(p, "selection", f"{vocab}selection")), lambda s: checksum(s, vocab)))
+    own = lambda p: F.concat(F.array(checksum(p, vocab)), F.transform(each(p, "selection", f"{vocab}selection"), lambda s: checksum(s, vocab)))
     return F.filter(F.flatten(F.transform(photos_of(item, vocab), own)), lambda c: c.isNotNull())
 
 
@@ -160,41 +175,43 @@ def _new_id(prefix: str, *place: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in place]), 256), 1, 32))
 
 
-def _computed(d: DataFrame, name: str, value: Column) -> DataFrame:
+def computed(d: DataFrame, name: str, value: Column) -> DataFrame:
     """``d`` with a column that is computed once a row: filters on what a generator gives stay behind it."""
     return d.select("*", F.explode(F.array(value)).alias(name))
 
 
-def export_ops(items: DataFrame, terms: DataFrame, author: str, clock: int, vocab: str) -> DataFrame:
+def export_ops(items: DataFrame, terms: DataFrame, author: str, clock: int, vocab: str, spread: bool = False) -> DataFrame:
     """Ops (identity, section, key, author, clock, value as JSON, deleted, at) that write a graph's items whole, without
     asking what is there: metadata, tags, notes, photo metadata, selections, their notes, transcriptions. Items and
-    their photos are written first, so that a graph is parsed once.
+    their photos are written first, so that a graph is parsed once. Items are dealt out anew unless they are ``spread``
+    over enough tasks already.
 
     Items without a checksum have no identity and are left out; of items with the same identity and key the
     later one counts. Notes that carry our markers are echoes and stay out; their html is normalised.
     """
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parsing costs more than its few bytes tell Spark
-    items = items.repartition(parts, "document", "ordinal")
-    d = written(items.withColumn("identity", scalar.identity_of(checksums(F.col("item"), vocab))).filter("identity is not null"), "graph-items")
+    if not spread:  # parsing costs more than its few bytes tell Spark
+        items = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document", "ordinal")
+    terms = written(terms, "graph-terms")  # of a known size, so that few of them are not shuffled for
+    d = computed(items, "identity", scalar.identity_of(checksums(F.col("item"), vocab)))
+    d = written(d.filter("identity is not null"), "graph-items")
     place = ["document", "ordinal", "identity"]
 
-    full = expand(d.select("document", "ordinal", "item"), terms).filter(is_property(F.col("key")) & ~F.col("key").isin(*STRUCTURAL))
-    full = _computed(full, "v", literal(F.col("value"), F.col("type"))).select("document", "ordinal", "key", "v")
-    metadata = full.filter("v.text <> ''").join(d.select(*place), ["document", "ordinal"]).select(*place, F.lit("metadata").alias("section"), "key", F.to_json("v").alias("value"))
+    full = expand(d.select(*place, "item"), terms).filter(is_property(F.col("key")) & ~F.col("key").isin(*STRUCTURAL))
+    metadata = computed(full, "v", literal(F.col("value"), F.col("type"))).filter("v.text <> ''").select(*place, F.lit("metadata").alias("section"), "key", F.to_json("v").alias("value"))
 
-    tag = d.select(*place, F.explode(each(get(F.col("item"), "tag", f"{vocab}tag"))).alias("t"))
+    tag = d.select(*place, F.explode(each(F.col("item"), "tag", f"{vocab}tag")).alias("t"))
     named = bound(F.col("t"), lambda t: F.when(is_object(t), F.struct(first_text(t, "name", "@value").alias("name"), first_text(t, "color").alias("color"))).otherwise(F.struct(as_string(t).alias("name"), F.lit(None).cast("string").alias("color"))))
-    tags = _computed(tag, "c", named).select(*place, "c.*").filter("coalesce(name, '') <> ''").select(*place, F.lit("tags").alias("section"), F.lower("name").alias("key"), F.to_json(F.struct("name", "color")).alias("value"))
+    tags = computed(tag, "c", named).select(*place, "c.*").filter("coalesce(name, '') <> ''").select(*place, F.lit("tags").alias("section"), F.lower("name").alias("key"), F.to_json(F.struct("name", "color")).alias("value"))
 
     photo = d.select(*place, F.posexplode(photos_of(F.col("item"), vocab)).alias("at_photo", "p"))
     photo = written(photo.withColumn("at_photo", F.col("at_photo").cast("string")).withColumn("photo", checksum(F.col("p"), vocab)), "graph-photos")
-    note = photo.select(*place, "photo", F.lit(None).cast("string").alias("selection"), "at_photo", F.posexplode(each(get(F.col("p"), "note", f"{vocab}note"))).alias("at_note", "n"))
-    sel = photo.filter("photo is not null").select(*place, "photo", "at_photo", F.posexplode(each(get(F.col("p"), "selection", f"{vocab}selection"))).alias("at_sel", "s"))
+    note = photo.select(*place, "photo", F.lit(None).cast("string").alias("selection"), "at_photo", F.posexplode(each(F.col("p"), "note", f"{vocab}note")).alias("at_note", "n"))
+    sel = photo.filter("photo is not null").select(*place, "photo", "at_photo", F.posexplode(each(F.col("p"), "selection", f"{vocab}selection")).alias("at_sel", "s"))
     local = first_text(F.col("s"), "@id", "id")
     sel = sel.withColumn("selection", F.when(local.isNotNull(), _new_id("s_", F.lit("id"), local)).otherwise(_new_id("s_", F.col("identity"), F.col("at_photo"), F.col("at_sel"))))
-    of_sel = sel.select(*place, "photo", "selection", "at_photo", F.posexplode(each(get(F.col("s"), "note", f"{vocab}note"))).alias("at_note", "n"))
-    n = _computed(note.unionByName(of_sel), "c", _note(F.col("n"), vocab)).filter(~T.is_synchronised(F.col("c.text"), F.col("c.html")))
-    n = _computed(n, "html", T.normalize_html(F.col("c.html"))).filter("c.text <> '' or html <> ''")
+    of_sel = sel.select(*place, "photo", "selection", "at_photo", F.posexplode(each(F.col("s"), "note", f"{vocab}note")).alias("at_note", "n"))
+    n = computed(note.unionByName(of_sel), "c", _note(F.col("n"), vocab)).filter(~T.is_synchronised(F.col("c.text"), F.col("c.html")))
+    n = computed(n, "html", T.normalize_html(F.col("c.html"))).filter("c.text <> '' or html <> ''")
     uuid = F.when(F.col("c.id").isNotNull(), _new_id("n_", F.lit("id"), F.col("c.id"))).otherwise(_new_id("n_", F.col("identity"), F.coalesce("selection", "at_photo"), F.col("at_note")))
     whole = F.to_json(F.struct("c.text", "html", "c.language", "photo"))
     notes = n.select(
@@ -203,16 +220,16 @@ def export_ops(items: DataFrame, terms: DataFrame, author: str, clock: int, voca
     )
 
     of_photo = photo.filter("photo is not null").select(*place, "photo", F.explode(fields(get(F.col("p"), "metadata"))).alias("prop", "v")).filter("prop <> 'id'")
-    of_photo = _computed(of_photo, "l", literal(F.col("v"), F.lit(None).cast("string"))).filter("l.text <> ''")
+    of_photo = computed(of_photo, "l", literal(F.col("v"), F.lit(None).cast("string"))).filter("l.text <> ''")
     photos = of_photo.select(*place, F.lit("photos").alias("section"), F.concat_ws(":", "photo", "prop").alias("key"), F.to_json(F.struct("l.text", "l.type")).alias("value"))
 
     number = lambda name: F.try_variant_get("s", f"$['{name}']", "double")
     rect = [number(c) for c in ("x", "y", "width", "height")]
     box = F.struct(*[v.alias(c) for v, c in zip(rect, "xywh", strict=True)], F.coalesce(number("angle"), F.lit(0.0)).alias("angle"), F.col("photo"))
-    boxes = _computed(sel, "box", box)
+    boxes = computed(sel, "box", box)
     selections = boxes.filter(scalar.valid_rectangle(*[F.col(f"box.{c}") for c in "xywh"])).select(*place, F.lit("selections").alias("section"), F.col("selection").alias("key"), F.to_json("box").alias("value"))
 
-    at = lambda d, v: F.posexplode(each(get(F.col(v), "transcription", f"{vocab}transcription"))).alias("at_tx", "t")
+    at = lambda d, v: F.posexplode(each(F.col(v), "transcription", f"{vocab}transcription")).alias("at_tx", "t")
     tx = photo.filter("photo is not null").select(*place, "photo", F.lit(None).cast("string").alias("selection"), "at_photo", at(photo, "p")).unionByName(sel.select(*place, "photo", "selection", "at_photo", at(sel, "s")))
     known = first_text(F.col("t"), "@id", "id")
     key = F.when(known.isNotNull(), _new_id("t_", F.lit("id"), known)).otherwise(_new_id("t_", F.col("identity"), F.coalesce("selection", "at_photo"), F.col("at_tx")))

@@ -9,7 +9,7 @@ from palimpsest.config import SyncConfig
 from palimpsest.operators import cycle, maintain, sections
 from palimpsest.plans import exchange
 from palimpsest.session import shared_dir
-from palimpsest.sources import files, snapshots
+from palimpsest.sources import files, graph, snapshots
 from palimpsest.sources.vaults import VaultStore
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +129,24 @@ def test_snapshots_are_pulled_by_anyone_and_put_with_a_key(spark):
     assert read().count() == 2, "the whole state is replaced"
     put(d.limit(0))
     assert read().count() == 0
+
+
+def test_exported_documents_come_in_parts_of_bounded_size(spark, tmp_path):
+    n = 4_500
+    spark.range(n).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 30).alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    graphs = exchange._graphs(spark, str(tmp_path))
+    per_part = graphs.select(F.size(graph.each(F.col("graph"), "@graph")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert tuple(per_part) == (100, n)
+    items = graph.items_of(graphs).select("document", "ordinal", graph.first_text(F.col("item"), "@id").alias("id")).collect()
+    assert len({(i.document, i.ordinal) for i in items}) == n
+    for d in range(20):
+        mine = [int(i.id[1:]) for i in sorted((i for i in items if i.document == str(d)), key=lambda i: i.ordinal)]
+        assert mine == list(range(d, n, 20))
+
+
+def test_kinds_of_values_are_told_by_the_outermost_level(spark):
+    values = ['{"a":[1]}', "{}", "[1]", "[]", "[null]", '"x"', "5", "null", None]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, j string").withColumn("v", F.parse_json("j"))
+    found = d.orderBy("i").select(graph.is_object(F.col("v")).alias("o"), graph.is_array(F.col("v")).alias("a"), F.size(graph.each(F.col("v"))).alias("n")).collect()
+    assert [(r.o, r.a, r.n) for r in found] == [(True, False, 1), (True, False, 1), (False, True, 1), (False, True, 0), (False, True, 1), (False, False, 1), (False, False, 1), (False, False, 0), (False, False, 0)]
