@@ -77,8 +77,8 @@ def _graphs(spark, sf_dir):
   SELECT 'i' || local_id AS id, substr(sha256(string_agg(c, ':' ORDER BY c)), 1, 32) AS identity, string_agg(c, ',' ORDER BY c) AS checksums, count(*) AS n FROM c GROUP BY local_id""")
 def graph_checksums(spark, sf_dir):
     d = graph.items_of(_graphs(spark, sf_dir)).select(graph.first_text(F.col("item"), "@id").alias("id"), graph.checksums(F.col("item"), VOCAB).alias("c"))
-    stored = d.withColumn("c", graph.split_list(graph.join_list(F.col("c")))).filter("size(c) > 0")
-    return stored.select("id", identity_of(F.col("c")).alias("identity"), graph.join_list(F.array_sort("c")).alias("checksums"), F.size("c").cast("long").alias("n"))
+    stored = graph.computed(d, "stored", F.array_sort(graph.split_list(graph.join_list(F.col("c"))))).select("id", F.col("stored").alias("c")).filter("size(c) > 0")
+    return stored.select("id", identity_of(F.col("c")).alias("identity"), graph.join_list(F.col("c")).alias("checksums"), F.size("c").cast("long").alias("n"))
 
 
 _ITEMS = f"{_KEPT}, o AS (SELECT o_orderkey AS local_id, max(o_orderstatus) AS status, max(o_orderpriority) AS priority FROM orders GROUP BY 1)"
