@@ -93,10 +93,9 @@ _ITEMS = f"{_KEPT}, o AS (SELECT o_orderkey AS local_id, max(o_orderstatus) AS s
 def graph_expand(spark, sf_dir):
     """Metadata of exported items by the terms of their documents' contexts, typed by them."""
     graphs = _graphs(spark, sf_dir)
-    found = graph.items_of(graphs)
-    d = graph.expand(found, graph.terms_of(graphs)).filter(~F.col("key").rlike("^@") & ~F.col("key").isin("list", "tag", "photo", f"{VOCAB}photo"))
-    ids = found.select("document", "ordinal", graph.first_text(F.col("item"), "@id").alias("id"))
-    return d.join(ids, ["document", "ordinal"]).select("id", "key", graph.literal(F.col("value"), F.col("type")).alias("v"), "container").select("id", "key", "v.*", "container")
+    found = graph.items_of(graphs).withColumn("id", graph.first_text(F.col("item"), "@id"))
+    d = graph.expand(found, written(graph.terms_of(graphs), "graph-terms")).filter(~F.col("key").rlike("^@") & ~F.col("key").isin("list", "tag", "photo", f"{VOCAB}photo"))
+    return d.select("id", "key", graph.literal(F.col("value"), F.col("type")).alias("v"), "container").select("id", "key", "v.*", "container")
 
 
 _NEW = "{0} || substr(sha256({1}), 1, 32)"
