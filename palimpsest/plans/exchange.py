@@ -3,6 +3,7 @@ whole cycles, each with its twin in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -216,41 +217,47 @@ def _rows(d, item, key):
     return d.select(F.col(item).cast("string").alias("item") if item else F.lit(None).cast("string").alias("item"), F.concat_ws(":", *key).alias("key"), "action")
 
 
-def _selection_notes(spark, sf_dir, selections):
-    remote = decisions._selections(spark, sf_dir)[1].filter("part % 5 <> 4 AND NOT deleted")
+def _selection_notes(spark, sf_dir, selections, every):
+    remote = decisions._selections(spark, sf_dir, every)[1].filter("part % 5 <> 4 AND NOT deleted")
     note = F.concat(F.lit("note "), F.col("part"))
     remote = remote.select("item", F.col("uuid").alias("selection"), F.concat("uuid", F.lit(":n")).alias("key"), note.alias("text"), F.lit(None).cast("string").alias("html"), F.concat(F.lit("u"), F.col("part") % 3).alias("author"), "part")
     local = remote.filter("part % 7 < 2").select("key", F.when(F.col("part") % 7 == 0, F.col("text")).otherwise("[retracted]").alias("text"))
     return sections.selection_note_plan(remote, selections, local, ME)
 
 
-def _selection_metadata(spark, sf_dir, selections):
-    local, remote, pushed = decisions._selection_fields(spark, sf_dir)
+def _selection_metadata(spark, sf_dir, selections, every):
+    local, remote, pushed = decisions._selection_fields(spark, sf_dir, every)
     return sections.apply_fields(remote, selections.select("uuid"), local.filter("part % 7 <> 0"), pushed, ["uuid", "prop"], ME)
 
 
 def stages(spark, sf_dir):
-    """The stages of a cycle in their order: notes and metadata of selections need the selections that are here by then."""
+    """The stages of a cycle in their order: notes and metadata of selections need the selections that are here by then.
+
+    Selections and fields, which several stages read, are gathered and written once, by the first planned stage that
+    asks for them."""
     q = lambda f: lambda _: f(spark, sf_dir)
+    selections = functools.cache(lambda: written(decisions._selection_rows(spark, sf_dir), "cycle-selections"))
+    metadata = functools.cache(lambda: written(P.reconcile_input(spark, sf_dir), "cycle-fields"))
+    of = lambda f, every: lambda _: f(spark, sf_dir, every())
     rows = lambda f, item, *key: lambda done: _rows(f(done), item, key)
     here = lambda done: sections.standing_selections(done["apply_selections"].select("item", F.col("key").alias("uuid"), "action"))
     A, P_, S = cycle.APPLY, cycle.PUSH, cycle.Stage
     return [
-        S("apply_metadata", A, rows(q(catalogue.apply_plan_metadata), "identity", "key"), "sync_metadata"),
+        S("apply_metadata", A, rows(of(catalogue.apply_plan_metadata, metadata), "identity", "key"), "sync_metadata"),
         S("apply_tags", A, rows(q(catalogue.apply_tags), "identity", "key"), "sync_tags"),
         S("apply_notes", A, rows(q(decisions.apply_plan_notes), "item", "key"), "sync_notes"),
         S("apply_photos", A, rows(q(decisions.apply_plan_photos), None, "photo", "prop"), "sync_photo_adjustments"),
-        S("apply_selection_notes", A, rows(lambda done: _selection_notes(spark, sf_dir, here(done)), "item", "key"), "sync_notes", ("apply_selections",)),
-        S("apply_selections", A, rows(q(decisions.apply_plan_selections), "item", "uuid"), "sync_selections"),
-        S("apply_selection_metadata", A, rows(lambda done: _selection_metadata(spark, sf_dir, here(done)), None, "uuid", "prop"), "sync_photo_adjustments", ("apply_selections",)),
+        S("apply_selection_notes", A, rows(lambda done: _selection_notes(spark, sf_dir, here(done), selections()), "item", "key"), "sync_notes", ("apply_selections",)),
+        S("apply_selections", A, rows(of(decisions.apply_plan_selections, selections), "item", "uuid"), "sync_selections"),
+        S("apply_selection_metadata", A, rows(lambda done: _selection_metadata(spark, sf_dir, here(done), selections()), None, "uuid", "prop"), "sync_photo_adjustments", ("apply_selections",)),
         S("apply_transcriptions", A, rows(q(decisions.apply_plan_transcriptions), "item", "uuid"), "sync_transcriptions"),
         S("apply_lists", A, rows(q(decisions.apply_plan_lists), "identity", "name"), "sync_lists"),
-        S("push_metadata", P_, rows(q(catalogue.push_plan_metadata), "identity", "key"), "sync_metadata"),
+        S("push_metadata", P_, rows(of(catalogue.push_plan_metadata, metadata), "identity", "key"), "sync_metadata"),
         S("push_tags", P_, rows(q(catalogue.push_plan_tags), "identity", "key"), "sync_tags"),
         S("push_notes", P_, rows(q(decisions.push_plan_notes), None, "key"), "sync_notes"),
         S("push_photos", P_, rows(q(decisions.push_plan_photos), None, "photo", "prop"), "sync_photo_adjustments"),
-        S("push_selections", P_, rows(q(decisions.push_plan_selections), None, "uuid"), "sync_selections"),
-        S("push_selection_metadata", P_, rows(q(decisions.push_plan_selection_metadata), None, "uuid", "prop"), "sync_photo_adjustments"),
+        S("push_selections", P_, rows(of(decisions.push_plan_selections, selections), None, "uuid"), "sync_selections"),
+        S("push_selection_metadata", P_, rows(of(decisions.push_plan_selection_metadata, selections), None, "uuid", "prop"), "sync_photo_adjustments"),
         S("push_transcriptions", P_, rows(q(decisions.push_plan_transcriptions), None, "uuid"), "sync_transcriptions"),
     ]
 

@@ -150,3 +150,22 @@ def test_kinds_of_values_are_told_by_the_outermost_level(spark):
     d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, j string").withColumn("v", F.parse_json("j"))
     found = d.orderBy("i").select(graph.is_object(F.col("v")).alias("o"), graph.is_array(F.col("v")).alias("a"), F.size(graph.each(F.col("v"))).alias("n")).collect()
     assert [(r.o, r.a, r.n) for r in found] == [(True, False, 1), (True, False, 1), (False, True, 1), (False, True, 0), (False, True, 1), (False, False, 1), (False, False, 1), (False, False, 0), (False, False, 0)]
+
+
+def test_a_cycle_gathers_selections_and_fields_once(spark, monkeypatch):
+    asked = []
+    for owner, name in ((exchange.decisions, "_selection_rows"), (exchange.P, "reconcile_input")):
+        f = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, f=f, name=name: asked.append(name) or f(*a))
+    exchange.cycle_plan(spark, SF)
+    assert sorted(asked) == ["_selection_rows", "reconcile_input"]
+    asked.clear()
+    exchange.cycle_push(spark, SF)
+    assert sorted(asked) == ["_selection_rows", "reconcile_input"]
+
+
+def test_photos_of_asked_items_are_all_of_theirs(spark):
+    asked = spark.range(0, 300, 3).select(F.col("id").alias("item"))
+    found = exchange.decisions._item_photos(spark, SF, asked.unionByName(asked))
+    photos = exchange.P.photos(spark, SF).filter("local_id < 300 AND local_id % 3 = 0").groupBy(F.col("local_id").alias("item"), "ordinal").agg(F.max("checksum").alias("checksum"))
+    assert found.count() > 0 and found.exceptAll(photos).count() == 0 and photos.exceptAll(found).count() == 0
