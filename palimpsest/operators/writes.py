@@ -88,5 +88,6 @@ def host_actions(rows: DataFrame) -> DataFrame:
     types = F.lit(None).cast("array<string>")
     for (stage, action), names in HOST_ACTIONS.items():
         types = F.when((F.col("stage") == stage) & (F.col("action") == action), F.array(*map(F.lit, names))).otherwise(types)
-    d = rows.select("stage", "item", "key", F.posexplode(types).alias("step", "type"))
+    told = rows.filter(F.col("stage").isin(*sorted({stage for stage, _ in HOST_ACTIONS})) & F.col("action").isin(*sorted({action for _, action in HOST_ACTIONS})))  # files of other stages are not read
+    d = told.select("stage", "item", "key", F.posexplode(types).alias("step", "type"))
     return d.withColumn("step", F.col("step") + 1)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.config import SyncConfig
-from palimpsest.operators import cycle, maintain, sections
+from palimpsest.operators import cycle, maintain, sections, writes
 from palimpsest.plans import exchange
 from palimpsest.session import shared_dir
 from palimpsest.sources import files, graph, snapshots
@@ -169,3 +169,13 @@ def test_photos_of_asked_items_are_all_of_theirs(spark):
     found = exchange.decisions._item_photos(spark, SF, asked.unionByName(asked))
     photos = exchange.P.photos(spark, SF).filter("local_id < 300 AND local_id % 3 = 0").groupBy(F.col("local_id").alias("item"), "ordinal").agg(F.max("checksum").alias("checksum"))
     assert found.count() > 0 and found.exceptAll(photos).count() == 0 and photos.exceptAll(found).count() == 0
+
+
+def test_host_actions_leave_rows_without_any_in_the_files(spark):
+    at = folder(spark)
+    rows = [("apply_notes", "i", "k1", "update"), ("apply_notes", "i", "k2", "dedup"), ("push_notes", "i", "k3", "create"), ("apply_lists", "i", "k4", "update")]
+    spark.createDataFrame(rows, "stage string, item string, key string, action string").write.parquet(at)
+    d = writes.host_actions(spark.read.parquet(at))
+    assert sorted((r.key, r.step, r.type) for r in d.collect()) == [("k1", 1, "note.delete"), ("k1", 2, "note.create")]
+    scan = next(line for line in d._jdf.queryExecution().executedPlan().toString().splitlines() if "PushedFilters" in line)
+    assert "In(stage" in scan and "push_notes" not in scan
