@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import SyncConfig
 from palimpsest.operators import hierarchy, maintain, match, reconcile, report, state
+from palimpsest.plans import catalogue
 from palimpsest.sources import readers
 from palimpsest.streaming import oplog
 
@@ -126,3 +127,13 @@ def test_ranks_go_on_from_block_to_block(spark):
     out = report.ranked(spark.createDataFrame(rows, "k string, v long").repartition(5), "k", "v", "place").collect()
     want = {("a", v): i + 1 for i, v in enumerate(range(0, 40000, 7))} | {("b", -5): 1, ("b", 4095): 2, ("b", 4096): 3, ("b", 9000): 4, (None, 3): 1, ("c", None): 1, ("c", 1): 2}
     assert {(r.k, r.v): r.place for r in out} == want
+
+
+def test_only_what_nothing_else_matched_is_compared_by_similarity(spark, monkeypatch):
+    sf, asked = "/root/testdata/sf0.001", []
+    similar = match.similar
+    monkeypatch.setattr(match, "similar", lambda remote, local: asked.append({r.remote_id for r in remote.select("remote_id").collect()}) or similar(remote, local))
+    found = {r.remote_id: r.kind for r in catalogue.match_resolved(spark, sf).collect()}
+    by_kind = {kind: {r for r, k in found.items() if k == kind} for kind in ("exact", "alias", "fuzzy")}
+    assert all(by_kind.values()) and by_kind["fuzzy"] <= asked[0]
+    assert not asked[0] & (by_kind["exact"] | by_kind["alias"])
